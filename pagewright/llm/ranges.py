@@ -45,3 +45,9 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     hot = right.where(F.col(count) > most).drop(count)
     cold = right.where(F.col(count) <= most).drop(count)
     return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+def text_tasks(rows: DataFrame, bytes_per_task: int = 32 << 20) -> int:
+    """How many tasks give each about so many bytes of ``text``."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, math.ceil(size / bytes_per_task))
