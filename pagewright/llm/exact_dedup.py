@@ -10,6 +10,7 @@ grouped anew by the bytes themselves. DataFrame operations only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,22 +34,29 @@ def keyed_state(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(_rank("n_chars", "doc_id", "locator")).alias("best"), F.count("*").alias("n"))
 
 
-def _session(spark: SparkSession) -> SparkSession:
-    """A session on the same context whose streams keep state in RocksDB."""
+#: Keys that one state store is meant to hold. The number of stores is fixed by the first run.
+KEYS_PER_STORE = 100_000
+
+
+def _session(spark: SparkSession, stores: int) -> SparkSession:
+    """A session on the same context whose streams keep state in so many RocksDB stores."""
     own = spark.newSession()
     for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(key, spark.conf.get(key))
+    own.conf.set("spark.sql.streaming.internal.stateStore.partitions", str(stores))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Files aren't extended ahead of need: there is one store per state partition.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return own
 
 
-def run_stream(spark: SparkSession, source: str, schema, state_path: str, out_path: str, files_per_batch: int | None = None) -> None:
+def run_stream(spark: SparkSession, source: str, schema, state_path: str, out_path: str, stores: int, files_per_batch: int | None = None) -> None:
     """Feed the Parquet files of ``source`` that the checkpoint at ``state_path`` hasn't seen
     into the state; what changed goes to ``out_path``/batch=N. Call it again as files arrive:
     state, and the answer, carry on where they were."""
-    own = _session(spark)
+    own = _session(spark, stores)
     reader = own.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -87,7 +95,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] | None = No
     if not total:
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     out = shared_path(spark, "exact-state-rows")
-    run_stream(spark, path, schema, shared_path(spark, "exact-state"), out, files_per_batch)
+    run_stream(spark, path, schema, shared_path(spark, "exact-state"), out, max(12, math.ceil(total / KEYS_PER_STORE)), files_per_batch)
     state = written(latest(spark, out, keyed_state(rows).schema), "exact-groups")
 
     # Full bytes of the hits: how many texts each digest stands for.

@@ -39,12 +39,13 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     how many of the ``total`` left rows have them.
 
     Hot keys are fewer than HOT_SHARE, so they are broadcast; the others are shuffled, and
-    none of them has more than 1/HOT_SHARE of the rows. ``count`` is dropped.
+    none of them has more than 1/HOT_SHARE of the rows; they are merged at every size, so the
+    plan on little data is the plan on much. ``count`` is dropped.
     """
     most = max(1, total // HOT_SHARE)
     hot = right.where(F.col(count) > most).drop(count)
     cold = right.where(F.col(count) <= most).drop(count)
-    return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys))
 
 
 def text_tasks(rows: DataFrame, bytes_per_task: int = 32 << 20) -> int:
