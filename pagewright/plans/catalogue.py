@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from .registry import Query
 
-from . import search
+NAMES = ("search", "pages", "geometry", "overlap", "labels", "viewer", "forms")
+BOOKS = tuple(importlib.import_module(f"{__package__}.{name}").book for name in NAMES)
 
-MODULES = (search,)
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+def queries() -> dict[str, Query]:
+    return {name: f for book in BOOKS for name, f in book.queries.items()}
 
 
 def oracles() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}
