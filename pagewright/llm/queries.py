@@ -68,4 +68,36 @@ QUERIES = {
     for f in (op1_near_dedup, op2_language_id, op3_chat_format, op4_mixing, op5_bpe, op6_exact_dedup, op7_fingerprints, op8_token_files, op9_token_counts, op10_secret_scan)
 }
 
-ORACLES: dict[str, str] = {}
+_CHATS = """(SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok')""".replace("\\\\", "\\")
+
+ORACLES: dict[str, str] = {
+    "op3_chat_format": rf"""
+        WITH t AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                4 + length(role) + 2 + length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '</', ''))) // 2
+                + coalesce(list_sum(list_transform(regexp_extract_all(text, '#+'), lambda r: length(r) - 1)), 0) + 8 AS chars
+            FROM {_CHATS} WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        e AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto, role = 'assistant' OR i = n AS example FROM t)
+        SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(upto) FILTER (example) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (example) AS BIGINT) AS n_examples
+        FROM e GROUP BY conv_id""",
+    "op4_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':mix') AS u FROM documents),
+        a AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        b AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, sum(source_size) OVER () * 1.5::DOUBLE AS spend, source_size * 2.0::DOUBLE AS cap FROM a),
+        c AS (SELECT *, ([5.0, 2.0, 1.0])[CAST((place - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight FROM b),
+        l AS (SELECT *, (spend - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+            row_number() OVER (ORDER BY cap / weight, place) AS o FROM c),
+        f AS (SELECT min(o) AS o, arg_min(level, o) AS level FROM l WHERE cap / weight > level),
+        t AS (SELECT l.source, source_size, place, spend, CASE WHEN f.o IS NULL OR l.o < f.o THEN cap ELSE f.level * weight END AS target FROM l, f),
+        r AS (SELECT d.*, source_size, place, spend, target, sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) AS ends FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (SELECT doc_id, u, size, place, spend, 1 AS copy, ends / target AS finish FROM r WHERE size > 0 UNION ALL SELECT doc_id, u, size, place, spend, 2, (ends + source_size) / target FROM r WHERE size > 0),
+        k AS (SELECT doc_id, count(*) AS copies FROM (SELECT *, sum(size) OVER (ORDER BY finish, place, u, doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS upto FROM q) WHERE upto <= spend GROUP BY doc_id)
+        SELECT r.doc_id, size, source_size, target, CAST(size * coalesce(copies, 0) AS BIGINT) AS taken FROM r LEFT JOIN k ON r.doc_id = k.doc_id""",
+    "op6_exact_dedup": r"""
+        WITH n AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS plain FROM documents),
+        g AS (SELECT doc_id, plain, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size, row_number() OVER w AS place FROM n WINDOW w AS (PARTITION BY plain ORDER BY length(text) DESC, doc_id NULLS LAST))
+        SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, place = 1 AS kept, sha256(plain) AS text_sha256 FROM g""",
+}
