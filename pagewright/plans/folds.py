@@ -140,3 +140,25 @@ def d21_run_width(spark, sf_dir):
 def h21_horizontal_scale(spark, sf_dir):
     df = table(spark, sf_dir, "part").where("p_size % 7 > 0")
     return df.select(F.col("p_partkey").alias("k"), T.horizontal_scale((F.col("p_size") % 7).cast("double"), F.col("p_size").cast("double")).alias("percent"))
+
+
+#: How far Helvetica reaches above and below its baseline, in font sizes.
+ASCENT, DESCENT = 0.905, 0.211
+
+
+def text_operators(text, x, y, width, height):
+    """Drawing operators of invisible text over a word; null where no character can be written."""
+    shown = T.encodable(text)
+    size = F.greatest(height, F.lit(1.0)) / (ASCENT + DESCENT)
+    stretch = T.horizontal_scale(T.natural_width(text, size), width)
+    literal = F.regexp_replace(shown, r"([\\()])", r"\\$1")
+    return F.when(shown != "", F.concat(F.format_string("BT /F1 %.2f Tf 3 Tr %.2f Tz %.2f %.2f Td (", size, stretch, x, y + DESCENT * size), literal, F.lit(") Tj ET")))
+
+
+@book.query(f"SELECT doc_id, page, ord, contains(text, '(') AS has_paren FROM {_WORDS} WHERE regexp_matches(text, '^[a-zA-Z(),.]+$')")
+def h30_text_stream(spark, sf_dir):
+    """Each plain word is drawn once, as itself."""
+    rows = words(spark, sf_dir).where(F.rlike("text", F.lit("^[a-zA-Z(),.]+$")))
+    op = text_operators(F.col("text"), F.col("ord") * 10.0, F.lit(100.0), F.lit(50.0), F.lit(10.0))
+    drawn = rows.withColumn("op", op).where(F.rlike("op", F.lit(r"^BT /F1 8\.96 Tf 3 Tr [\d.]+ Tz [\d.]+ 101\.89 Td \(.*\) Tj ET$")))
+    return drawn.select("doc_id", "page", "ord", F.contains("op", F.lit("\\(")).alias("has_paren"))

@@ -236,3 +236,5 @@ def h76_move_resize(spark, sf_dir):
 def h74_normalised_point(spark, sf_dir):
     unit = lambda c, lo, size: F.least(F.greatest((F.col(c) - lo) / size, F.lit(0.0)), F.lit(1.0))
     return keyed(rects(spark, sf_dir), unit("x", 100.0, 300.0).alias("u"), unit("y", 50.0, 400.0).alias("v"))
+
+book.queries["h70_uniform_scale"], book.sql["h70_uniform_scale"] = d01_uniform_scale, book.sql["d01_uniform_scale"]

@@ -149,3 +149,10 @@ def g32_optimization_steps(spark, sf_dir):
         row = now.agg(F.sum("stored").alias("size_before")).crossJoin(after.agg(F.sum("stored").alias("size_after"))).select(F.lit(name).alias("step"), "size_before", "size_after")
         now, report = after, row if report is None else report.unionByName(row)
     return report
+
+
+@book.query(f"SELECT i.id, CAST(CASE WHEN outcome = 'replace' THEN encoded ELSE stored END AS BIGINT) AS stored FROM {_IMAGES} i JOIN {_PLAN} p ON i.id = p.id")
+def g31_recompress_images(spark, sf_dir):
+    """All images are planned before any is replaced."""
+    outcome, _ = I.plan(100.0, True)
+    return placed_images(spark, sf_dir).select("id", F.when(outcome == "replace", F.col("encoded")).otherwise(F.col("stored")).alias("stored"))

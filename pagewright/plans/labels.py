@@ -197,3 +197,5 @@ def h80_gain_percent(spark, sf_dir):
 @book.query("SELECT p_partkey AS k, 160.0::DOUBLE AS width, greatest(p_size * 1.6::DOUBLE, 20.0::DOUBLE) AS height FROM part")
 def h81_new_note(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.lit(160.0).alias("width"), F.greatest(F.col("p_size") * 1.6, F.lit(20.0)).alias("height"))
+
+book.queries["h63_rgb_to_hex"], book.sql["h63_rgb_to_hex"] = h13_rgb_hex, book.sql["h13_rgb_hex"]

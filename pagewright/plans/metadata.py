@@ -234,3 +234,19 @@ def h50_read_byte_range(spark, sf_dir):
     numbers = F.when(F.col("l_linenumber") != 3, F.array_append(numbers, F.col("l_suppkey"))).otherwise(numbers)
     valid = (F.size(numbers) == 4) & F.forall(numbers, lambda x: x >= 0)
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), valid.alias("valid"))
+
+book.queries["g15_set_metadata"], book.sql["g15_set_metadata"] = g14_write_metadata, book.sql["g14_write_metadata"]
+book.queries["j03_known_families"], book.sql["j03_known_families"] = h02_claims, book.sql["h02_claims"]
+
+
+#: Keys of a page that an image in its place makes void.
+PAGE_KEYS = ("Annots", "Thumb", "BleedBox", "TrimBox", "ArtBox", "Group", "B", "AA", "StructParents", "Metadata", "PieceInfo", "AF")
+
+
+@book.query("SELECT p_partkey AS k, list_filter(['Type', 'MediaBox', CASE WHEN p_size % 2 = 0 THEN 'Rotate' END], lambda x: x IS NOT NULL) AS keys FROM part")
+def g36_replaced_page_keys(spark, sf_dir):
+    """What is left of a page's dictionary when its content becomes one picture."""
+    keys = F.array(*[F.lit(x) for x in ("Type", "MediaBox", *PAGE_KEYS)])
+    keys = F.when(F.col("p_size") % 2 == 0, F.array_append(keys, F.lit("Rotate"))).otherwise(keys)
+    page = F.map_filter(F.map_from_arrays(keys, keys), lambda k, _: ~k.isin(*PAGE_KEYS))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.map_keys(page).alias("keys"))

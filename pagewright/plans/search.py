@@ -221,3 +221,33 @@ def d18_hit_pages(spark, sf_dir):
 def d22_recognised_pages(spark, sf_dir):
     blank = blanked(spark, sf_dir).where(T.is_blank(F.col("text"))).drop("text").join(cache(spark, sf_dir), ["doc_id", "page"], "left")
     return blank.groupBy("doc_id").agg(F.count_if(F.length("words_text") > 0).alias("gained"))
+
+
+def _same(name: str, as_name: str) -> None:
+    """One operation of the inventory that is another one under a second name."""
+    book.queries[name] = book.queries[as_name]
+    book.sql[name] = book.sql[as_name]
+
+
+_same("c06_interval_overlap", "b09_words_of_match")
+
+
+@book.query(f"SELECT doc_id, page, CASE WHEN page % 5 = 0 THEN 'unsupported' ELSE 'layered' END AS outcome FROM {_BLANKED} p WHERE regexp_matches(text, '^\\s*$') AND EXISTS (SELECT 1 FROM {_CACHE} c WHERE c.doc_id = p.doc_id AND c.page = p.page) AND page <= 8")
+def g22_text_layer_pages(spark, sf_dir):
+    """Pages of a subset without native text but with recognised text get a layer, unless their geometry isn't simple."""
+    from ..functions.geometry import is_simple
+
+    subset = pages(spark, sf_dir).where("page <= 8").select("doc_id", "page")
+    bare = blanked(spark, sf_dir).where(T.is_blank(F.col("text"))).join(subset, ["doc_id", "page"], "left_semi")
+    known = bare.join(cache(spark, sf_dir).select("doc_id", "page"), ["doc_id", "page"], "left_semi")
+    simple = is_simple(F.lit(0.0), F.lit(0.0), F.when(F.col("page") % 5 == 0, 90).otherwise(0))
+    return known.select("doc_id", "page", F.when(simple, "layered").otherwise("unsupported").alias("outcome"))
+
+
+@book.query(f"SELECT doc_id, page, ord, text, CAST((ord - 1) * 10 AS DOUBLE) AS x FROM {_WORDS} WHERE page = 1")
+def j01_recognised_words(spark, sf_dir):
+    """Words of page images by a pluggable engine; here one that reads them from the bytes."""
+    from ..sources.recognise import WordsInBytes, recognise
+
+    images = pages(spark, sf_dir).where("page = 1").select("doc_id", "page", F.encode("text", "UTF-8").alias("image"))
+    return recognise(images, WordsInBytes()).select("doc_id", "page", "ord", "text", "x")
