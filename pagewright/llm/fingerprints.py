@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import cut_points, range_part
+from .ranges import cut_points, range_part, text_tasks
 from .shingles import pieces, shingle_hashes
 
 K = 256
@@ -131,9 +130,8 @@ def fingerprint_edits(docs: DataFrame, k: int = K, bytes_per_task: int = 32 << 2
     """
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    tasks = max(1, math.ceil((size["b"] or 0) / bytes_per_task))
-    cuts = cut_points(rows, "key", min(4 * tasks, max(1, size["n"])))
+    tasks = text_tasks(rows, bytes_per_task)
+    cuts = cut_points(rows, "key", 4 * tasks)
     part = len(cuts) - range_part(F.col("key"), cuts)  # ascending as key descends
     firsts = rows.select("key", part.alias("part")).groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()
     first_key = dict((r["part"], r["key"]) for r in firsts)

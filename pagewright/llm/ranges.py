@@ -48,7 +48,11 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys))
 
 
+#: No shuffle by range is dealt to more tasks than this: range bounds are kept by the driver.
+MOST_TASKS = 20_000
+
+
 def text_tasks(rows: DataFrame, bytes_per_task: int = 32 << 20) -> int:
-    """How many tasks give each about so many bytes of ``text``."""
+    """How many tasks give each about so many bytes of ``text``, or more from MOST_TASKS on."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, math.ceil(size / bytes_per_task))
+    return min(MOST_TASKS, max(1, math.ceil(size / bytes_per_task)))

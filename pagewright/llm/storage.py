@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``.
 
-    Where that setting is absent (tests, a single machine) a folder is made once
-    and kept in the session's settings.
+    Where that setting is absent (tests, a single machine) a folder is made once,
+    kept in the session's settings and deleted when Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='pagewright-shared-')}"
+        folder = tempfile.mkdtemp(prefix="pagewright-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
