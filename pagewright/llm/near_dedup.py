@@ -31,9 +31,9 @@ SIMILARITY = 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 shares a band with probability
 #: 1 - (1 - 0.8**5)**24 = 0.99993.
 BANDS, BAND_ROWS = 24, 5
-#: Pairs left over between classes are tested directly once they are fewer than this times
-#: the documents in shared bands; until then each band's next leader is tested.
-DIRECT_PAIRS = 2
+#: Bands of at most so many documents that aren't in one class yet are tested pair by pair,
+#: larger ones in blocks of about BLOCK documents, of which two at a time are in a task.
+DIRECT_BAND, BLOCK = 64, 256
 
 _STEP, _PIECE, _PLACE = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
@@ -176,9 +176,69 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, total: int) ->
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def overlaps(texts: pa.Array, most_columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarity of each text with each other; the k-th occurrence of a
+    shingle is an element of its own, and only elements that two texts have are multiplied."""
+    n = len(texts)
+    parts, rows = [], []
+    for at, to in pieces(texts):
+        row, h, count = bags(*shingle_hashes(texts.slice(at, to - at)))
+        of = np.repeat(np.arange(len(h)), count)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        parts.append(mix64(h[of] ^ mix64(nth.astype(np.uint64))))
+        rows.append(row[of] + at)
+    x, row = np.concatenate(parts), np.concatenate(rows)
+    size = np.bincount(row, minlength=n).astype(np.float64)
+    _, column, count = np.unique(x, return_inverse=True, return_counts=True)
+    row, column = row[count[column] > 1], column[count[column] > 1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
+    both = np.zeros((n, n), dtype=np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, most_columns):
+        lo, hi = np.searchsorted(column, [first, first + most_columns])
+        has = np.zeros((n, most_columns), dtype=np.float32)
+        has[row[lo:hi], column[lo:hi] - first] = 1
+        both += has @ has.T
+    return both / np.maximum(size[:, None] + size[None, :] - both, 1)
+
+
+def block_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between documents of different classes in each band of ``rows`` (band, id,
+    label, main, members, n_main).
+
+    A band's documents outside its largest class are dealt to blocks, and so are the rest; each
+    block of the first kind meets every block. A task holds two blocks, never a band.
+    """
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    dealt = rows.withColumn("outer", blocks(F.col("members") - F.col("n_main"))).withColumn("every", F.col("outer") + blocks(F.col("n_main")))
+    out = F.col("label") != F.col("main")
+    hashed = F.xxhash64("id", "band")
+    own = F.when(out, F.pmod(hashed, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hashed, F.col("every") - F.col("outer"))).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("meets", F.explode(F.sequence(F.lit(0), F.when(out, F.col("every") - 1).otherwise(F.col("outer") - 1))))
+    dealt = dealt.select("band", "id", "label", F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"))
+    full = dealt.join(texts, "id").select("band", "i", "j", "id", "label", "text")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, labels = (np.asarray(group.column(c)) for c in ("id", "label"))
+        s = overlaps(group.column("text").combine_chunks())
+        a, b = np.nonzero(np.triu(s >= similarity, 1) & (labels[:, None] != labels[None, :]))
+        return pa.table({"a": np.maximum(ids[a], ids[b]), "b": np.minimum(ids[a], ids[b])})
+
+    return full.groupBy("band", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _members(rows: DataFrame, total: int) -> DataFrame:
+    """band, id, score of the bands that hold more than one row. The score is the number of
+    others that a document meets in its bands: the text that copies were made from meets most."""
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(join_unique(rows, sizes.withColumn("others", F.col("n") - 1), ["band"], "n", total), "near-met")
+    return met.select("band", "id").join(met.groupBy("id").agg(F.sum("others").alias("score")), "id")
+
+
 def _led(shared: DataFrame, total: int) -> DataFrame:
-    """band, id, label, leader (the least id) of the bands that hold more than one row."""
-    lead = shared.groupBy("band").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    """``shared`` with the leader of each band, the document of highest score, and its label."""
+    first = F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("leader"), F.col("label").alias("leader_label")))
+    lead = shared.groupBy("band").agg(first.alias("x"), F.count("*").alias("n")).select("band", "n", "x.leader", "x.leader_label")
     return join_unique(shared, lead, ["band"], "n", total)
 
 
@@ -189,9 +249,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     size 1; such rows are kept. Rows that share a doc_id are one document: a link of any of
     its texts counts. Texts of equal bags are joined by digest before anything else, so
     groups of copies cost one row each. Links are sought in bands: each band's documents are
-    tested against its leader, the least id; while documents of different classes still
-    share a band, they are tested against the band's next leader, or, once few pairs are
-    left, against each other. No pair of different classes that shares a band stays untested.
+    tested against its leader, the one with most others in its bands. Documents of a band that
+    are in different classes after that are tested against each other, pair by pair in bands
+    of at most DIRECT_BAND of them and block by block in larger ones. No pair of different
+    classes that shares a band stays untested.
     """
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = written(sign(columns, bands, band_rows), "near-signed")
@@ -202,33 +263,28 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     reps = worded.join(bag.select("bag_a", "bag_b", F.col("rep").alias("doc_id")), ["bag_a", "bag_b", "doc_id"]).select(F.col("doc_id").alias("id"), F.explode("bands").alias("band"))
     # A document of several texts may have several bags: their classes are linked through it.
     links = member.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
-    shared = written(_led(reps.withColumn("label", F.col("id")), total), "near-shared")
+    shared = written(_led(_members(reps, total).withColumn("label", F.col("id")), total), "near-shared")
     # Text is shuffled once, to keep that of the documents that share a band.
     texts = written(columns.withColumnRenamed("doc_id", "id").join(shared.select("id").distinct(), "id"), "near-texts")
-    links = written(links, "near-links")
-    while True:
-        pairs = written(shared.where("label <> leader_label" if "leader_label" in shared.columns else "id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
-        links = written(links.union(verify(pairs, texts, similarity, total)), "near-links")
-        label = connected(links)
-        shared = shared.where("id <> leader").select("id", "band").join(label.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-        shared = written(shared, "near-left")
-        size = shared.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band")
-        n = F.sum("k")
-        size = size.agg(n.alias("n"), F.max_by("label", "k").alias("main"), (n * n - F.sum(F.col("k") * F.col("k"))).alias("pairs")).where("pairs > 0")
-        size = written(size, "near-open")
-        open_pairs, open_rows = size.agg(F.sum("pairs"), F.sum("n")).first()
-        if not open_pairs:
-            break
-        shared = written(join_unique(shared, size.select("band", "n", "main"), ["band"], "n", open_rows), "near-left")
-        if open_pairs <= DIRECT_PAIRS * total:
-            # Each document outside its band's largest class against all of other classes.
-            few = shared.where("label <> main").select("band", F.col("id").alias("a"), F.col("label").alias("of_a"))
-            direct = few.join(shared.select("band", F.col("id").alias("b"), F.col("label").alias("of_b")), "band").where("of_a <> of_b")
-            direct = written(direct.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-            label = connected(written(links.union(verify(direct, texts, similarity, total)), "near-links"))
-            break
-        lead = shared.groupBy("band").agg(F.min(F.struct("id", "label")).alias("x"), F.count("*").alias("n")).select("band", "n", F.col("x.id").alias("leader"), F.col("x.label").alias("leader_label"))
-        shared = written(join_unique(shared.drop("main"), lead, ["band"], "n", open_rows), "near-shared")
+    pairs = written(shared.where("label <> leader_label").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
+    links = written(links.union(verify(pairs, texts, similarity, total)), "near-links")
+    label = connected(links)
+    # A leader has met its whole band. Of the others, those outside the band's largest class
+    # are still to meet the documents of other classes.
+    left = shared.where("id <> leader").select("id", "band").join(label.withColumnRenamed("node", "id"), "id", "left")
+    left = written(left.withColumn("label", F.coalesce("label", "id")), "near-left")
+    size = left.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band")
+    size = size.agg(F.sum("k").alias("n"), F.max("k").alias("n_main"), F.max_by("label", "k").alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    open_bands = written(size.withColumn("members", F.col("n")), "near-open")
+    open_rows = open_bands.agg(F.sum("n")).first()[0]
+    if open_rows:
+        left = written(join_unique(left, open_bands, ["band"], "n", open_rows), "near-left")
+        few = left.where(F.col("members") <= DIRECT_BAND)
+        outside = few.where("label <> main").select("band", F.col("id").alias("a"), F.col("label").alias("of_a"))
+        direct = outside.join(few.select("band", F.col("id").alias("b"), F.col("label").alias("of_b")), "band").where("of_a <> of_b")
+        direct = written(direct.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
+        more = verify(direct, texts, similarity, total).union(block_links(left.where(F.col("members") > DIRECT_BAND), texts, similarity))
+        label = connected(written(links.union(more), "near-links"))
     # Labels are least ids of components of representatives; a class also has their copies.
     of = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     of = written(of.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "near-classes")

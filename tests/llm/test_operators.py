@@ -122,8 +122,8 @@ def test_links_that_a_leader_misses(spark, monkeypatch):
         words = words[3:] + prose(rnd, 3).split()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_classes(rows)
-    for direct in (2, 0):
-        monkeypatch.setattr(near_dedup, "DIRECT_PAIRS", direct)
+    for direct in (64, 1):
+        monkeypatch.setattr(near_dedup, "DIRECT_BAND", direct)
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(df).collect()} == want
 
 
