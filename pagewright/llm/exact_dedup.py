@@ -123,4 +123,4 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay. Rows alike in doc_id and text stay together."""
     kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
     sha = F.sha2(normalised(F.coalesce(docs["text"], F.lit(""))), 256)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (sha == kept["_kept_sha"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (sha == kept["_kept_sha"]), "left_semi")

@@ -119,5 +119,5 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """
     of = mix(docs, **how).groupBy("doc_id", "text_hash").agg(F.ceil(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
     of = of.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies")
-    joined = docs.join(of, docs["doc_id"].eqNullSafe(of["_id"]) & (F.xxhash64(docs["text"]) == of["_hash"]))
+    joined = docs.join(of.hint("merge"), docs["doc_id"].eqNullSafe(of["_id"]) & (F.xxhash64(docs["text"]) == of["_hash"]))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
