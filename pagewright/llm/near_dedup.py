@@ -160,9 +160,9 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float, total: int) ->
     busy = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > max(most, total // 1000))
     busy = F.broadcast(busy.select("b", F.ceil(F.col("n") / most).cast("int").alias("salts")))
     salted = pairs.join(busy, "b", "left").select("a", "b", F.expr("pmod(xxhash64(a), coalesce(salts, 1))").cast("int").alias("salt"))
-    ends = pairs.select("b").distinct().join(texts.withColumnRenamed("id", "b"), "b").join(busy, "b", "left")
+    ends = pairs.select("b").distinct().join(texts.withColumnRenamed("id", "b").hint("merge"), "b").join(busy, "b", "left")
     ends = ends.select("b", F.col("text").alias("text_b"), F.explode(F.expr("sequence(0, coalesce(salts, 1) - 1)")).alias("salt"))
-    joined = salted.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a"), "a").join(ends, ["b", "salt"])
+    joined = salted.join(texts.withColumnRenamed("id", "a").withColumnRenamed("text", "text_a").hint("merge"), "a").join(ends.hint("merge"), ["b", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +216,7 @@ def block_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
     own = F.when(out, F.pmod(hashed, F.col("outer"))).otherwise(F.col("outer") + F.pmod(hashed, F.col("every") - F.col("outer"))).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("meets", F.explode(F.sequence(F.lit(0), F.when(out, F.col("every") - 1).otherwise(F.col("outer") - 1))))
     dealt = dealt.select("band", "id", "label", F.least("own", "meets").alias("i"), F.greatest("own", "meets").alias("j"))
-    full = dealt.join(texts, "id").select("band", "i", "j", "id", "label", "text")
+    full = dealt.join(texts.hint("merge"), "id").select("band", "i", "j", "id", "label", "text")
 
     def run(group: pa.Table) -> pa.Table:
         ids, labels = (np.asarray(group.column(c)) for c in ("id", "label"))
@@ -248,7 +248,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     Texts without words are in a class of their own, null doc_ids in a class of id null and
     size 1; such rows are kept. Rows that share a doc_id are one document: a link of any of
     its texts counts. Texts of equal bags are joined by digest before anything else, so
-    groups of copies cost one row each. Links are sought in bands: each band's documents are
+    groups of copies cost one row each. Joins with texts are merges at every size. Links are sought in bands: each band's documents are
     tested against its leader, the one with most others in its bands. Documents of a band that
     are in different classes after that are tested against each other, pair by pair in bands
     of at most DIRECT_BAND of them and block by block in larger ones. No pair of different
@@ -265,7 +265,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     links = member.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("a")).where("a <> b").select("a", "b")
     shared = written(_led(_members(reps, total).withColumn("label", F.col("id")), total), "near-shared")
     # Text is shuffled once, to keep that of the documents that share a band.
-    texts = written(columns.withColumnRenamed("doc_id", "id").join(shared.select("id").distinct(), "id"), "near-texts")
+    texts = written(columns.withColumnRenamed("doc_id", "id").join(shared.select("id").distinct().hint("merge"), "id"), "near-texts")
     pairs = written(shared.where("label <> leader_label").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
     links = written(links.union(verify(pairs, texts, similarity, total)), "near-links")
     label = connected(links)
@@ -290,7 +290,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     of = written(of.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "near-classes")
     n_class = of.groupBy("class_id").agg(F.count("*").alias("class_size"), F.count("*").alias("n"))
     sized = join_unique(of, n_class, ["class_id"], "n", total)
-    rows = columns.select("doc_id").join(sized, "doc_id", "left")
+    rows = columns.select("doc_id").join(sized.hint("merge"), "doc_id", "left")
     return rows.select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
@@ -302,4 +302,4 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (all columns) whose document stays; see `near_classes`."""
     kept = near_classes(docs, similarity).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
