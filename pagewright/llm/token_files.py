@@ -10,6 +10,7 @@ documents before one, is local_start plus the parts' totals.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,41 +31,53 @@ _encoders: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    """The library's tokenizer and what it gave for pieces of text; one per Python worker."""
+    """The library's tokenizer, how many bytes each id stands for, and the ids, packed, of
+    pieces of text; one per Python worker."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():  # a byte-level token has a character per byte
+            lengths[i] = len(token)
+        _encoders[path] = (tokenizer, lengths, {})
     return _encoders[path]
 
 
 def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text as the library gives them, without added special tokens.
 
-    Texts whose blanks are pretoken borders (`bpe.split`) are cut there, and each piece goes
-    to the library once; others go to it whole.
+    Texts whose blanks are pretoken borders (`bpe.split`) are cut there. Pieces not seen
+    before go to the library joined as one text, whose ids are cut where the pieces end;
+    other texts go to it whole.
     """
-    tokenizer, known = _encoder(path)
+    tokenizer, lengths, known = _encoder(path)
     if len(known) > MOST_PIECES:
         known.clear()
     cut = [split(t) for t in texts]
     whole = [t for t, c in zip(texts, cut) if c is None]
     firsts = [c[0] for c in cut if c]
     new = list(set().union(*(c[1:] for c in cut if c)).difference(known)) if firsts else []
-    encodings = tokenizer.encode_batch([p if p[:1] == "\n" else " " + p for p in new] + firsts + whole, add_special_tokens=False)
-    for p, e in zip(new, encodings):
-        known[p] = np.array(e.ids, dtype="<u4").tobytes()
-    rest = iter(encodings[len(new) :])
-    first_ids = [next(rest).ids for _ in firsts]
-    whole_ids = [next(rest).ids for _ in whole]
-    first_ids, whole_ids = iter(first_ids), iter(whole_ids)
+    spelled = [p if p[:1] == "\n" else " " + p for p in new]
+    encodings = tokenizer.encode_batch_fast(["".join(spelled), *firsts, *whole], add_special_tokens=False)
+    ids = np.array(encodings[0].ids, dtype="<u4")
+    ends = np.cumsum(lengths[ids])
+    borders = np.cumsum([len(p.encode()) for p in spelled], dtype=np.int64)
+    at = np.searchsorted(ends, borders) + 1
+    if len(new) and (at[-1] != len(ids) or (ends[at - 1] != borders).any()):
+        raise AssertionError("a token crosses a piece's end")
+    packed, at = ids.tobytes(), [0, *(4 * at).tolist()]
+    known.update(zip(new, (packed[i:j] for i, j in zip(at, at[1:]))))
+    first_ids = iter(encodings[1 : 1 + len(firsts)])
+    whole_ids = iter(encodings[1 + len(firsts) :])
     get = known.__getitem__
     out = []
     for c in cut:
         if c is None:
-            out.append(np.array(next(whole_ids), dtype="<u4"))
+            out.append(np.array(next(whole_ids).ids, dtype="<u4"))
         else:
-            out.append(np.frombuffer(np.array(next(first_ids), dtype="<u4").tobytes() + b"".join(map(get, c[1:])), dtype="<u4"))
+            out.append(np.frombuffer(array("I", next(first_ids).ids).tobytes() + b"".join(map(get, c[1:])), dtype="<u4"))
     return out
 
 
