@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import regex
@@ -23,7 +24,9 @@ import regex
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
 #: States and cached pieces are dropped when they are more than this; memory stays bounded.
-MOST_STATES, MOST_PIECES = 200_000, 300_000
+MOST_STATES, MOST_PIECES = 150_000, 250_000
+#: The moves over a pretoken's first bytes, so many, are kept as one.
+HEAD = 6
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -123,7 +126,8 @@ class Transducer:
         start = (None, b"", ((0, ()),))
         self.states = [start]
         self.number = {start: 0}
-        self.moves: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
+        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}  # by state * 256 + byte
+        self.heads: dict[bytes, tuple[list[int], int]] = {}  # paths of the first bytes, compressed
         self.finals: list[tuple[int, ...]] = [()]
 
     def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
@@ -166,20 +170,33 @@ class Transducer:
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
             self.finals.append(tuple(self.ranks[t] for t in live[-1][1]))
-        move = self.moves[state][byte] = (tuple(self.ranks[t] for t in out), to)
+        move = self.moves[state << 8 | byte] = (tuple(self.ranks[t] for t in out), to)
         return move
 
-    def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > MOST_STATES:
-            self._clear()
-        moves, state, out = self.moves, 0, []
+    def _run(self, data: bytes, state: int, out: list[int]) -> int:
+        find = self.moves.get
         for byte in data:
-            move = moves[state].get(byte) or self._move(state, byte)
+            move = find(state << 8 | byte) or self._move(state, byte)
             if move[0]:
                 out += move[0]
             state = move[1]
+        return state
+
+    def encode(self, data: bytes) -> list[int]:
+        if len(self.states) > MOST_STATES:
+            self._clear()
+        head = data[:HEAD]
+        path = self.heads.get(head)
+        if path is None:
+            out: list[int] = []
+            state = self._run(head, 0, out)
+            self.heads[head] = (out, state)
+            out = out.copy()
+        else:
+            out, state = path[0].copy(), path[1]
+        if len(data) > HEAD:
+            state = self._run(data[HEAD:], state, out)
         out += self.finals[state]
         return out
 
@@ -216,28 +233,26 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(load_ranks(path))
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"(?!\S)", f"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
-        self.pieces = Pieces(lambda piece: (self.pretokens(piece if piece[:1] == "\n" else " " + piece)))
+        self.pieces = Pieces(lambda piece: self.pretokens(piece if piece[:1] == "\n" else " " + piece))
         self.bytes_of = self.transducer.bytes_of
-        self.matches = Pieces(lambda match: self.transducer.encode(match.encode()))
+        self.matches = Pieces(lambda match: array("I", self.transducer.encode(match.encode())).tobytes())
 
-    def pretokens(self, text: str) -> list[int]:
+    def pretokens(self, text: str) -> bytes:
+        """Ids of a text's pretokens, as unsigned integers of four bytes."""
         if len(self.matches) > MOST_PIECES:
             self.matches.clear()
-        out: list[int] = []
-        for match in self.pattern.findall(text):
-            out += self.matches[match] if len(match) < 64 else self.transducer.encode(match.encode())
-        return out
+        encode = self.transducer.encode
+        return b"".join(self.matches[m] if len(m) < 64 else array("I", encode(m.encode())).tobytes() for m in self.pattern.findall(text))
 
     def encode(self, text: str) -> list[int]:
         pieces = split(text)
         if pieces is None:
-            return self.pretokens(text)
-        if len(self.pieces) > MOST_PIECES:
-            self.pieces.clear()
-        out = self.pretokens(pieces[0])
-        for ids in map(self.pieces.__getitem__, pieces[1:]):
-            out += ids
-        return out
+            packed = self.pretokens(text)
+        else:
+            if len(self.pieces) > MOST_PIECES:
+                self.pieces.clear()
+            packed = self.pretokens(pieces[0]) + b"".join(map(self.pieces.__getitem__, pieces[1:]))
+        return array("I", packed).tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
