@@ -35,24 +35,43 @@ PARTS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret"
 PAIRS = {("api", "key"): 1.0, ("access", "key"): 1.0, ("private", "key"): 1.0, ("signing", "key"): 0.9, ("encryption", "key"): 0.9, ("client", "secret"): 1.0, ("connection", "string"): 0.7}
 #: A literal is reported when its name's worth times its own reaches this.
 THRESHOLD = 0.5
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|changeme|example.*|placeholder.*|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%.*%)$")
+# Matched at a literal's start; literals hold no line feed.
+_PLACEHOLDER = re.compile(r"(?i)(?:(?:x+|\*+|\.+|none|null|true|false|changeme)$|example|placeholder|your[-_ ])")
+_BRACKETS = (("<", ">"), ("${", "}"), ("{{", "}}"), ("%", "%"))
 
-_NAME = re.compile(r"""(?:(["'])([A-Za-z_$][\w.$-]{0,63})\1|([A-Za-z_$][\w.$-]{0,63}))[ \t]{0,8}$""", re.ASCII)
+#: A name before a separator, in the text read backwards.
+_NAME = re.compile(r"""\n?[ \t]*+(?:(["'])([\w.$-]++)\1|([\w.$-]++))""", re.ASCII)
 _SEPARATOR = re.compile(r":=|=>|[=:](?![=:])")
-_VALUE = re.compile(r"""[ \t]{0,8}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|([^\s"'`,;(){}\[\]<>]{1,4096}))""")
+#: A quoted value, or the place where a bare one begins.
+_VALUE = re.compile(r"""[ \t]*+(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|(?=[^\s"'`,;(){}\[\]<>]))""")
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
 _REFERENCE = re.compile(r"\$\{?([A-Za-z_]\w*)\}?|([A-Za-z_$][\w.$]*)", re.ASCII)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]")
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, int, int, bool]]:
-    """Name, literal, its start and end, and whether it is quoted, of each assignment."""
+def pairs(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """Name, start and end of the literal, and whether it is quoted, of each assignment.
+
+    Names, literals and the blanks beside separators have any length. Names and blanks hold
+    no separator, a quote after one closes the literal before, and where a bare literal holds
+    separators its end is kept, so that the text is read a fixed number of times.
+    """
+    back, bare = text[::-1], 0
     for sep in _SEPARATOR.finditer(text):
-        name = _NAME.search(text[max(0, sep.start() - 80) : sep.start()])
-        if not name:
+        found = _NAME.match(back, len(text) - sep.start())
+        if not found:
+            continue
+        name = found[2][::-1] if found[1] else found[3][::-1].lstrip("0123456789.-")
+        if not name or name[0] in "0123456789.-":
             continue
         value = _VALUE.match(text, sep.end())
         if value and (k := value.lastindex):
-            yield name[2] or name[3], value[k], value.start(k), value.end(k), k < 3
+            yield name, value.start(k), value.end(k), True
+        elif value:
+            if bare <= value.end():
+                bare = _BARE.match(text, value.end()).end()
+            yield name, value.end(), bare, False
 
 
 def name_worth(name: str) -> float:
@@ -60,38 +79,76 @@ def name_worth(name: str) -> float:
     return max([0.0, *(PARTS.get(p, 0.0) for p in parts), *(PAIRS.get(p, 0.0) for p in zip(parts, parts[1:]))])
 
 
+def _placeholder(text: str, start: int, end: int) -> bool:
+    return bool(_PLACEHOLDER.match(text, start, end)) or any(end - start >= len(a) + len(b) and text.startswith(a, start) and text.endswith(b, start, end) for a, b in _BRACKETS)
+
+
 def literal_worth(literal: str) -> float:
     """0 for short ones and placeholders; grows with bits per character and kinds of characters."""
-    if len(literal) < 6 or _PLACEHOLDER.match(literal):
+    if len(literal) < 6 or _placeholder(literal, 0, len(literal)):
         return 0.0
     n = len(literal)
     bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]"))
+    kinds = sum(bool(re.search(p, literal)) for p in _CLASSES)
     return min(1.0, bits / 3.0) * (0.4, 0.4, 0.8, 1.0, 1.0)[kinds] * (0.5 if " " in literal else 1.0)
 
 
+def tail_worths(text: str, starts: list[int], end: int) -> dict[int, float]:
+    """`literal_worth` of text[start:end] of each start of one bare run, read once from its end."""
+    out: dict[int, float] = {}
+    count: Counter[str] = Counter()
+    logs, at, kinds = 0.0, end, [False] * len(_CLASSES)
+    for start in sorted(set(starts), reverse=True):
+        for c in text[start:at]:
+            n = count[c] = count[c] + 1
+            if n > 1:
+                logs += n * math.log2(n) - (n - 1) * math.log2(n - 1)
+            else:
+                kinds = [k or bool(re.match(p, c)) for k, p in zip(kinds, _CLASSES)]
+        at, n = start, end - start
+        if n < 6 or _placeholder(text, start, end):
+            out[start] = 0.0
+        else:
+            out[start] = min(1.0, max(0.0, math.log2(n) - logs / n) / 3.0) * (0.4, 0.4, 0.8, 1.0, 1.0)[sum(kinds)]
+    return out
+
+
 def named_spans(text: str) -> list[tuple[int, int, float]]:
     """Start, end and score of each literal that a sensitive name ends up with."""
     worth: dict[tuple[int, int], float] = {}
-    constants: dict[str, list[tuple[str, int, int, bool]]] = {}
+    constants: dict[str, list[tuple[int, int, bool]]] = {}
+    starts: dict[int, list[int]] = {}  # of bare literals, by their end
+    tails: dict[int, dict[int, float]] = {}
     found = list(pairs(text))
-    for name, literal, start, end, quoted in found:
-        constants.setdefault(name, []).append((literal, start, end, quoted))
-    for name, literal, start, end, quoted in found:
+    for name, start, end, quoted in found:
+        constants.setdefault(name, []).append((start, end, quoted))
+        if not quoted:
+            starts.setdefault(end, []).append(start)
+
+    def own(start: int, end: int, quoted: bool, w: float) -> float:
+        if quoted or len(starts[end]) < 3:
+            return w * literal_worth(text[start:end])
+        if end not in tails:
+            tails[end] = tail_worths(text, starts[end], end)
+        score = w * tails[end][start]
+        # A sum in another order may differ in its last bits.
+        return w * literal_worth(text[start:end]) if abs(score - THRESHOLD) < 1e-9 else score
+
+    for name, start, end, quoted in found:
         w = name_worth(name)
         if not w:
             continue
-        seen, todo = set(), [(literal, start, end, quoted)]
+        seen, todo = set(), [(start, end, quoted)]
         while todo:
-            literal, start, end, quoted = todo.pop()
+            start, end, quoted = todo.pop()
             if (start, end) in seen:
                 continue
             seen.add((start, end))
-            reference = _REFERENCE.fullmatch(literal)
+            reference = _REFERENCE.fullmatch(text, start, end)
             target = reference and (reference[1] or (None if quoted else reference[2]))
             if target and target in constants:
                 todo += constants[target]
-            elif (score := w * literal_worth(literal)) >= THRESHOLD:
+            elif (score := own(start, end, quoted, w)) >= THRESHOLD:
                 worth[start, end] = max(score, worth.get((start, end), 0.0))
     return [(*span, score) for span, score in sorted(worth.items())]
 

@@ -486,6 +486,25 @@ def test_assignments_are_followed():
     assert found("She said: nothing = of that") == []
 
 
+def test_assignments_of_any_length():
+    found = lambda t: [t[a:b] for a, b, _ in secret_scan.named_spans(t)]
+    long = "".join(random.Random(5).choices("abcdefXYZ0123456789+/", k=300_000))
+    assert found(f'client_secret = "{long}"') == [long]
+    assert found(f"client_secret = '{long}") == []
+    assert found(f"client_secret={long}\nx = 1") == [long]
+    for blanks in (" " * 9, "\t" * 40, " " * 100_000):
+        assert found(f'client_credentials{blanks}={blanks}"hunt3r-Xy9"') == ["hunt3r-Xy9"]
+    name = "client_secret_" + "of_a_part_" * 30
+    assert found(f'"{name}": "hunt3r-Xy9"') == ["hunt3r-Xy9"]
+    assert found(f"{name} = hunt3r-Xy9") == ["hunt3r-Xy9"]
+    # Bare literals that hold separators overlap; each ends where the run does.
+    run = "&".join(f"client_secret=aB3-{i}" for i in range(20_000))
+    got = secret_scan.named_spans(run)
+    assert len(got) == 20_000 and {b for _, b, _ in got} == {len(run)}
+    for a, b, score in got[::4000] + got[-5:]:
+        assert score == pytest.approx(secret_scan.literal_worth(run[a:b]))
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [r[:5] for r in corpus() if r[0] is not None]
