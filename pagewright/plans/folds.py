@@ -102,7 +102,7 @@ def e01_run_extent(spark, sf_dir):
 @book.query()
 def e17_wrapped_lines(spark, sf_dir):
     """Greedy with real widths; held against a plain loop in the tests."""
-    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(O.wrapped(F.substring("text", 1, 300), F.lit("Helvetica"), F.lit(12.0), F.lit(200.0))).alias("at", "line"))
+    pages = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(O.wrapped(F.col("text"), F.lit("Helvetica"), F.lit(12.0), F.lit(200.0))).alias("at", "line"))
     return pages
 
 

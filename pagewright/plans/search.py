@@ -141,6 +141,18 @@ def e09_char_offsets(spark, sf_dir):
     return chars.where("ch <> 'e'").withColumn("byte_start", start.cast("long")).select("doc_id", F.col("i").cast("long").alias("char_index"), "byte_start")
 
 
+@book.query()
+def e09_char_offsets_whole(spark, sf_dir):
+    """e09 on whole texts, from the bytes that begin a character; held against a plain loop in the tests."""
+    byte = lambda raw, b: F.substring(raw, b + 1, F.lit(1))
+    begins = lambda raw: F.filter(F.sequence(F.lit(0), F.octet_length(raw) - 1), lambda b: ~byte(raw, b).between(F.unhex(F.lit("80")), F.unhex(F.lit("BF"))))
+    # As a variable of a lambda the bytes are made once a text, not once a byte.
+    kept = lambda raw: F.filter(F.transform(begins(raw), lambda b, i: F.struct(i.cast("long").alias("char_index"), b.cast("long").alias("byte_start"), byte(raw, b).alias("byte"))), lambda c: c["byte"] != F.encode(F.lit("e"), "UTF-8"))
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 0)
+    chars = docs.select("doc_id", F.explode(F.transform(F.array(F.encode("text", "UTF-8")), kept)).alias("c")).select("doc_id", F.explode("c").alias("c"))
+    return chars.select("doc_id", "c.char_index", "c.byte_start")
+
+
 @book.query(f"""WITH s AS (SELECT doc_id, page, ord - 1 AS idx, sum(octet_length(encode(text)) + 1) OVER (PARTITION BY doc_id, page ORDER BY ord) - octet_length(encode(text)) - 1 AS b FROM {_WORDS})
     SELECT doc_id, page, CAST(min(idx) AS BIGINT) AS "start", CAST(max(idx) - min(idx) + 1 AS BIGINT) AS n FROM s WHERE b >= 30 AND b < 90 GROUP BY doc_id, page""")
 def c27_byte_range_to_index(spark, sf_dir):

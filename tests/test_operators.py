@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import binary as B
 from pagewright.functions import text as T
 from pagewright.operators import folds, pages, search, trees
+from pagewright.plans import catalogue
 from pagewright.sources import pdf
 from pagewright.streaming import search as stream
 
@@ -157,3 +158,43 @@ def test_streaming_search(spark, tmp_path):
     query = hits.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
     query.awaitTermination()
     assert {(r["doc_id"], r["n_matches"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(i, i) for i in range(1, 6)}
+
+
+def test_wrapped_lines_of_whole_turns(spark, tmp_path):
+    """Turns longer than 300 characters are wrapped to their end."""
+    width = dict(enumerate(T.ASCII_WIDTHS, 32))
+    measure = lambda s: 12.0 * sum(width[ord(c)] for c in s) / 1000.0
+    rnd = random.Random(2)
+    rows = [(1, i, " ".join("abcdefghij"[: rnd.randint(1, 10)] for _ in range(n)) + "\n\nlast one") for i, n in enumerate((3, 90, 700))]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = set()
+    for conv, turn, text in rows:
+        lines: list[str] = []
+        for paragraph in text.split("\n"):
+            line = ""
+            for word in paragraph.split(" "):
+                longer = f"{line} {word}" if line else word
+                if not line or measure(longer) <= 196.0:
+                    line = longer
+                else:
+                    lines.append(line)
+                    line = word
+            lines.append(line)
+        want |= {(conv, turn, at, line) for at, line in enumerate(lines)}
+    got = [tuple(r) for r in catalogue.queries()["e17_wrapped_lines"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+@pytest.fixture(scope="module")
+def texts(spark, tmp_path_factory):
+    """A folder of documents of any length and characters."""
+    at = tmp_path_factory.mktemp("texts")
+    rows = [(1, "été 🙂 the e\n" * 40), (2, "é" * 1023 + "a" + "the"), (3, "é" * 1022 + "a" + "the"), (4, "x" * 119), (5, "é" * 60), (6, "é" * 59 + "z"), (7, ""), (8, None), (9, "😀eé" * 30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    return str(at), rows
+
+
+def test_char_offsets_of_whole_texts(spark, texts):
+    want = [(k, i, len(t[:i].encode())) for k, t in texts[1] for i, c in enumerate(t or "") if c != "e"]
+    got = [tuple(r) for r in catalogue.queries()["e09_char_offsets_whole"](spark, texts[0]).collect()]
+    assert sorted(got) == want
