@@ -89,6 +89,13 @@ def a13_marker_in_head(spark, sf_dir):
     return docs.select("doc_id", (F.instr(head, F.lit("the")) > 0).alias("marked"))
 
 
+@book.query("SELECT doc_id, regexp_matches(substr(hex(encode(text)), 1, 4096), '^(..)*746865') AS marked FROM documents")
+def a13_marker_in_head_all(spark, sf_dir):
+    """a13 on the bytes of every document, whatever its characters."""
+    head = F.decode(F.substring(F.encode("text", "UTF-8"), 1, 2048), "ISO-8859-1")
+    return table(spark, sf_dir, "documents").select("doc_id", (F.instr(head, F.lit("the")) > 0).alias("marked"))
+
+
 @book.query("SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE quality END AS verified FROM labels WHERE toxic = 0")
 def a14_gated_rows(spark, sf_dir):
     """Only verified rows may be written; the check fails the job otherwise."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 
@@ -198,3 +199,16 @@ def test_char_offsets_of_whole_texts(spark, texts):
     want = [(k, i, len(t[:i].encode())) for k, t in texts[1] for i, c in enumerate(t or "") if c != "e"]
     got = [tuple(r) for r in catalogue.queries()["e09_char_offsets_whole"](spark, texts[0]).collect()]
     assert sorted(got) == want
+
+
+def test_marker_in_every_head(spark, texts):
+    got = {r["doc_id"]: r["marked"] for r in catalogue.queries()["a13_marker_in_head_all"](spark, texts[0]).collect()}
+    assert got == {k: None if t is None else b"the" in t.encode()[:2048] for k, t in texts[1]}
+    assert not got[2] and got[3]
+
+
+def test_digest_of_every_document(spark, texts):
+    got = {r["doc_id"]: r["digest"] for r in catalogue.queries()["d23_digest_byte_range_all"](spark, texts[0]).collect()}
+    digest = lambda raw: hashlib.sha256(raw[:50] + raw[80:120]).hexdigest() if len(raw) >= 120 else None
+    assert got == {k: digest((t or "").encode()) for k, t in texts[1]}
+    assert got[4] is None and got[5] and got[6] is None
