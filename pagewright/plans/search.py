@@ -263,3 +263,12 @@ def j01_recognised_words(spark, sf_dir):
 
     images = pages(spark, sf_dir).where("page = 1").select("doc_id", "page", F.encode("text", "UTF-8").alias("image"))
     return recognise(images, WordsInBytes()).select("doc_id", "page", "ord", "text", "x")
+
+
+@book.query(f"SELECT doc_id, page, ord, text, CAST((ord - 1) * 10 AS DOUBLE) AS x FROM {_WORDS}")
+def j01_recognised_words_all(spark, sf_dir):
+    """j01 on every page, not only first ones."""
+    from ..sources.recognise import WordsInBytes, recognise
+
+    images = pages(spark, sf_dir).select("doc_id", "page", F.encode("text", "UTF-8").alias("image"))
+    return recognise(images, WordsInBytes()).select("doc_id", "page", "ord", "text", "x")

@@ -212,3 +212,10 @@ def test_digest_of_every_document(spark, texts):
     digest = lambda raw: hashlib.sha256(raw[:50] + raw[80:120]).hexdigest() if len(raw) >= 120 else None
     assert got == {k: digest((t or "").encode()) for k, t in texts[1]}
     assert got[4] is None and got[5] and got[6] is None
+
+
+def test_every_page_is_recognised(spark, tmp_path):
+    rows = [(c, turn, f"w{turn} of\n{c} " * (turn + 1)) for c in range(3) for turn in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = [(c, turn + 1, i + 1, w, 10.0 * i) for c, turn, text in rows for i, w in enumerate(text.split())]
+    assert sorted(tuple(r) for r in catalogue.queries()["j01_recognised_words_all"](spark, str(tmp_path)).collect()) == want
