@@ -3,9 +3,10 @@
 Texts are normalised and cut into words as the tokenizer's file says; a word's last symbol
 carries the end mark. Within a word a table goes from left to right: of each prefix it keeps
 the last token of its encoding without an end mark, which is the one token ending there that
-may follow the last token of what is before it, and the number of tokens; from these the
+may follow the last token of what is before it, as its length, and the number of tokens; from these the
 count of the prefix as a word of its own follows by the tokens with an end mark. Words share
-the rows of common prefixes. A text's table is the running sum over its words, so truncation
+the rows of common short prefixes; rows further on are kept by position, for one word at a
+time, so that a word of any length takes memory and time in proportion. A text's table is the running sum over its words, so truncation
 and budget questions are look-ups.
 """
 
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import functools
 import json
+import unicodedata
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -26,6 +29,8 @@ from .shingles import pieces
 
 #: A text with more tokens is over the limit.
 LIMIT = 2048
+#: Rows of prefixes up to so many symbols are shared, and pieces of fewer characters kept.
+SHORT, KEPT = 48, 256
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -45,7 +50,7 @@ class WordTable:
         self.vocabulary = model["vocab"]
         self.longest = max(len(t.removesuffix(self.mark)) for t in self.vocabulary)
         self.symbol = _byte_symbols()
-        self.inner: dict[str, tuple[str, int]] = {}
+        self.inner: dict[str, tuple[int, int]] = {}
         self.borders = Borders(lambda a, b: self.rank.get((a, b)), self._symbols)
 
     def _symbols(self, token: str) -> list[str]:
@@ -54,43 +59,47 @@ class WordTable:
             return [*token[:-1], token[-1] + self.mark]
         return list(token)
 
-    def _prefix(self, prefix: str, end: bool) -> tuple[str, int]:
-        """Last token and number of tokens of a prefix; its own prefixes are in the table."""
-        n = len(prefix)
+    def _row(self, word: str, n: int, end: bool, lengths: array, numbers: array) -> tuple[int, int]:
+        """Length of the last token and number of tokens of a word's first n symbols; the
+        rows of shorter prefixes are in the arrays."""
         for k in range(min(n, self.longest), 0, -1):
-            token = prefix[n - k :] + self.mark if end else prefix[n - k :]
+            token = word[n - k : n] + self.mark if end else word[n - k : n]
             if token in self.vocabulary:
-                if k == n:
+                at = n - k
+                if not at:
                     if self.borders.halved(token) is not None:
-                        return token, 1
-                else:
-                    before, count = self.inner[prefix[: n - k]]
-                    if self.borders.may_follow(before, token):
-                        return token, count + 1
-        raise ValueError(f"no encoding ends {prefix!r}")
-
-    def _fill(self, word: str) -> None:
+                        return k, 1
+                elif self.borders.may_follow(word[at - lengths[at] : at], token):
+                    return k, numbers[at] + 1
+        raise ValueError(f"no encoding ends {word[max(0, n - self.longest) : n]!r}")
+
+    def _rows(self, word: str, upto: int) -> tuple[array, array]:
+        """Length of the last token, without an end mark, and number of tokens of the prefixes
+        of up to so many symbols."""
         if len(self.inner) > 2 * MOST_PIECES:
             self.inner.clear()
         inner = self.inner
-        at = len(word)
-        while at and word[:at] not in inner:
-            at -= 1
-        for i in range(at + 1, len(word) + 1):
-            inner[word[:i]] = self._prefix(word[:i], False)
+        lengths, numbers = array("L", (0,)), array("L", (0,))
+        for n in range(1, upto + 1):
+            if n > SHORT:
+                row = self._row(word, n, False, lengths, numbers)
+            else:
+                prefix = word[:n]
+                row = inner.get(prefix)
+                if row is None:
+                    row = inner[prefix] = self._row(word, n, False, lengths, numbers)
+            lengths.append(row[0])
+            numbers.append(row[1])
+        return lengths, numbers
 
     def count(self, word: str) -> int:
         """Tokens of a whole word, given in byte symbols."""
-        if len(word) > 1:
-            self._fill(word[:-1])
-        return self._prefix(word, True)[1]
+        return self._row(word, len(word), True, *self._rows(word, len(word) - 1))[1]
 
     def counts(self, word: str) -> list[int]:
         """Tokens of each prefix of a word as a word of its own."""
-        out = []
-        for i in range(1, len(word) + 1):
-            out.append(self.count(word[:i]))
-        return out
+        rows = self._rows(word, len(word) - 1)
+        return [self._row(word, n, True, *rows)[1] for n in range(1, len(word) + 1)]
 
 
 class PrefixCounter:
@@ -115,6 +124,36 @@ class PrefixCounter:
         plain = self.library.normalizer.normalize_str(piece)
         return sum(self.table.count(self._symbols(w)) for w in self.pattern.findall(plain))
 
+    def _counts(self, piece: str) -> list[int]:
+        """Tokens of each prefix of a printable piece.
+
+        Where no character composes with another, all come from one table a word; else, and
+        where a special token is in the piece, each prefix is counted on its own.
+        """
+        plain = list(map(self.library.normalizer.normalize_str, piece))
+        whole = "".join(plain)
+        if any(s in piece for s in self.special) or any(map(unicodedata.combining, piece)) or whole != self.library.normalizer.normalize_str(piece):
+            return [self._count(piece[:i]) for i in range(1, len(piece) + 1)]
+        # Tokens up to each place of the normalised piece.
+        upto, before = array("L", bytes(array("L").itemsize * (len(whole) + 1))), 0
+        for word in self.pattern.finditer(whole):
+            at, w = word.start(), word[0]
+            if w[0] == "'" and w[1:].isalpha():  # begins as another word
+                for i in range(1, len(w) + 1):
+                    upto[at + i] = before + sum(self.table.count(self._symbols(x)) for x in self.pattern.findall(w[:i]))
+            else:
+                rows = self.table.counts(self._symbols(w))
+                n = 0
+                for i, c in enumerate(w, 1):
+                    n += len(c.encode())
+                    upto[at + i] = before + rows[n - 1]
+            before = upto[at + len(w)]
+        out, at = [], 0
+        for c in plain:
+            at += len(c)
+            out.append(upto[at])
+        return out
+
     def running(self, text: str) -> tuple[list[str], np.ndarray] | None:
         """The text's pieces between white space and the tokens up to the end of each; None
         where the text has white space or controls other than space, tab and line ends."""
@@ -123,7 +162,7 @@ class PrefixCounter:
         if len(self.words) > MOST_PIECES:
             self.words.clear()
         found = text.split()
-        return found, np.cumsum(np.fromiter(map(self.words.__getitem__, found), dtype=np.int64, count=len(found)))
+        return found, np.cumsum(np.fromiter((self.words[p] if len(p) < KEPT else self._count(p) for p in found), dtype=np.int64, count=len(found)))
 
     def count(self, text: str) -> int:
         table = self.running(text)
@@ -140,6 +179,13 @@ class PrefixCounter:
         """
         out, before, begun = [0], 0, 0
         for i, c in enumerate(text, 1):
+            if i < len(out):  # in a piece that is done
+                continue
+            if i == begun + 1 and c not in " \t\n\r":
+                end = regex.compile("[^ \t\n\r]+").match(text, begun).end()
+                if text[begun:end].isprintable():
+                    out += [before + n for n in self._counts(text[begun:end])]
+                    continue
             if c in " \t\n\r":
                 before, begun = out[-1], i
                 out.append(before)
@@ -151,7 +197,8 @@ class PrefixCounter:
         return out
 
     def truncate(self, text: str, budget: int) -> int:
-        """Code points of the longest cut after a piece whose text has at most ``budget`` tokens."""
+        """Code points of the longest cut whose text has at most ``budget`` tokens; blanks after
+        the last piece are left out."""
         table = self.running(text)
         if table is None:
             counts = self.prefix_table(text)
@@ -161,6 +208,10 @@ class PrefixCounter:
         at = 0
         for piece in found[:k]:
             at = text.index(piece, at) + len(piece)
+        if k < len(found):  # of the piece that passes the budget, what still fits
+            left = budget - (int(upto[k - 1]) if k else 0)
+            if fits := max((i for i, n in enumerate(self._counts(found[k]), 1) if n <= left), default=0):
+                at = text.index(found[k], at) + fits
         return at
 
 

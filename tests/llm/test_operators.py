@@ -373,6 +373,24 @@ def test_token_counts(docs, none):
     assert token_counts.count_documents(none, path).collect() == []
 
 
+def test_token_counts_of_long_words():
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    rnd = random.Random(3)
+    for letters in ("etaoinshrdlu", "=", "的一是不了人我在有他"):
+        text = "".join(rnd.choices(letters, k=20_000))
+        assert own.count(text) == n(text)
+        assert sum(map(len, own.table.inner)) < 100_000 and not own.words
+    for text in ("".join(rnd.choices("etaoins", k=300)), "it's'll!'s--" * 9, "的一是不了人我在" * 20, "İStraßeÀé" * 12, "e\u0301a\u0302한국어" * 9, "one two " + "abcde" * 40):
+        counts = [n(text[:i]) for i in range(len(text) + 1)]
+        assert own.prefix_table(text) == counts
+        for budget in (0, 1, 7, 20, 10**6):
+            assert own.truncate(text, budget) == len(text[: max(i for i, c in enumerate(counts) if c <= budget)].rstrip(" "))
+
+
 # 6: exact copies
 
 
