@@ -7,24 +7,30 @@ the last token of the prefix before it (two tokens may be neighbours when their
 encode to just these two). Only prefixes whose remaining bytes begin some token can still be
 continued; the tokens that the encodings of all such prefixes share are emitted. So a state
 is what is left: the bytes since the first prefix that can be continued, and for each of
-them the tokens not yet emitted. Lookahead is bounded by the longest token.
+them the tokens not yet emitted. The last token emitted is kept beside the state, in a
+register that only those moves look at that put a token right behind it; states, and most
+moves, are thus shared by all tokens before them. Lookahead is bounded by the longest token.
 """
 
 from __future__ import annotations
 
 import base64
 import codecs
-import functools
 from array import array
 from collections.abc import Iterable, Iterator
 
 import regex
 
+from .workers import resident
+
 #: White space as the tokenizer's pattern language has it, for a character class.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 
-#: States and cached pieces are dropped when they are more than this; memory stays bounded.
-MOST_STATES, MOST_PIECES = 150_000, 250_000
+#: States, moves that ask the register, first moves and cached pieces are dropped when they
+#: are more than this; memory stays bounded.
+MOST_STATES, MOST_CHECKED, MOST_HEADS, MOST_PIECES = 150_000, 300_000, 150_000, 250_000
+#: Pieces of so many characters or more aren't kept.
+KEPT = 64
 #: The moves over a pretoken's first bytes, so many, are kept as one.
 HEAD = 6
 
@@ -108,6 +114,10 @@ class Borders:
                 return True
 
 
+#: Ids to emit, next state, last token emitted.
+Move = tuple[tuple[int, ...], int, bytes | None]
+
+
 class Transducer:
     """Bytes of one pretoken to token ids, by the given merge ranks."""
 
@@ -121,30 +131,40 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        # A state: last emitted token, bytes since the first prefix that can be continued, and
-        # for each such prefix its length within these bytes and its tokens not yet emitted.
-        start = (None, b"", ((0, ()),))
+        # A state: bytes since the first prefix that can be continued, and for each such prefix
+        # its length within these bytes and its tokens not yet emitted.
+        start = (b"", ((0, ()),))
         self.states = [start]
         self.number = {start: 0}
-        self.moves: dict[int, tuple[tuple[int, ...], int]] = {}  # by state * 256 + byte
-        self.heads: dict[bytes, tuple[list[int], int]] = {}  # paths of the first bytes, compressed
+        self.moves: dict[int, Move] = {}  # by state * 256 + byte
+        self.checked: dict[tuple[int, bytes | None], Move] = {}  # those that ask the register, with it
+        self.heads: dict[bytes, tuple[list[int], int, bytes | None]] = {}  # paths of the first bytes, compressed
         self.finals: list[tuple[int, ...]] = [()]
 
-    def _move(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
-        emitted, tail, live = self.states[state]
+    def _move(self, state: int, byte: int, emitted: bytes | None) -> Move:
+        """Ids to emit, next state, and the register after it (None: as before)."""
+        tail, live = self.states[state]
         tail += bytes((byte,))
         n = len(tail)
+        ranks = self.ranks
         here = None
+        asked = False
         for at, tokens in live:  # the longest token that ends here first
             token = tail[at:]
-            if token in self.ranks:
-                before = tokens[-1] if tokens else emitted
-                if (self.borders.halved(token) is not None) if before is None else self.borders.may_follow(before, token):
+            if token in ranks:
+                if tokens:
+                    fits = self.borders.may_follow(tokens[-1], token)
+                else:
+                    asked = True
+                    fits = self.borders.halved(token) is not None if emitted is None else self.borders.may_follow(emitted, token)
+                if fits:
                     here = (n, (*tokens, token))
                     break
         if here is None:
             raise ValueError(f"no encoding ends after {tail!r}")
-        live = [x for x in live if tail[x[0] :] in self.prefixes] + [here]
+        prefixes = self.prefixes
+        live = [x for x in live if tail[x[0] :] in prefixes]
+        live.append(here)
         lead = live[0][1]
         shared = len(lead)
         for _, tokens in live:
@@ -154,49 +174,47 @@ class Transducer:
                 shared -= 1
             if not shared:
                 break
-        out = lead[:shared]
-        if out:
-            emitted = out[-1]
         first = live[0][0]
         if first or shared:
             live = [(at - first, tokens[shared:]) for at, tokens in live]
-        for _, tokens in live:
-            if not tokens:
-                break
-        else:  # what was emitted no longer matters
-            emitted = b""
-        key = (emitted, tail[first:], tuple(live))
+        key = (tail[first:], tuple(live))
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-            self.finals.append(tuple(self.ranks[t] for t in live[-1][1]))
-        move = self.moves[state << 8 | byte] = (tuple(self.ranks[t] for t in out), to)
+            self.finals.append(tuple(ranks[t] for t in live[-1][1]))
+        move = (tuple(ranks[t] for t in lead[:shared]), to, lead[shared - 1] if shared else None)
+        if asked:
+            self.checked[state << 8 | byte, emitted] = move
+        else:
+            self.moves[state << 8 | byte] = move
         return move
 
-    def _run(self, data: bytes, state: int, out: list[int]) -> int:
-        find = self.moves.get
+    def _run(self, data: bytes, state: int, emitted: bytes | None, out: list[int]) -> tuple[int, bytes | None]:
+        find, find_checked = self.moves.get, self.checked.get
         for byte in data:
-            move = find(state << 8 | byte) or self._move(state, byte)
-            if move[0]:
-                out += move[0]
-            state = move[1]
-        return state
+            move = find(state << 8 | byte) or find_checked((state << 8 | byte, emitted)) or self._move(state, byte, emitted)
+            ids, state, last = move
+            if ids:
+                out += ids
+                emitted = last
+        return state, emitted
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > MOST_STATES:
+        if len(self.states) > MOST_STATES or len(self.checked) > MOST_CHECKED or len(self.heads) > MOST_HEADS:
             self._clear()
         head = data[:HEAD]
         path = self.heads.get(head)
         if path is None:
             out: list[int] = []
-            state = self._run(head, 0, out)
-            self.heads[head] = (out, state)
+            state, emitted = self._run(head, 0, None, out)
+            self.heads[head] = (out, state, emitted)
             out = out.copy()
         else:
-            out, state = path[0].copy(), path[1]
+            out, state, emitted = path
+            out = out.copy()
         if len(data) > HEAD:
-            state = self._run(data[HEAD:], state, out)
+            state, _ = self._run(data[HEAD:], state, emitted, out)
         out += self.finals[state]
         return out
 
@@ -209,7 +227,9 @@ class Pieces(dict):
         self.of = of
 
     def __missing__(self, piece: str):
-        value = self[piece] = self.of(piece)
+        value = self.of(piece)
+        if len(piece) < KEPT:
+            self[piece] = value
         return value
 
 
@@ -241,8 +261,7 @@ class ByteBpe:
         """Ids of a text's pretokens, as unsigned integers of four bytes."""
         if len(self.matches) > MOST_PIECES:
             self.matches.clear()
-        encode = self.transducer.encode
-        return b"".join(self.matches[m] if len(m) < 64 else array("I", encode(m.encode())).tobytes() for m in self.pattern.findall(text))
+        return b"".join(map(self.matches.__getitem__, self.pattern.findall(text)))
 
     def encode(self, text: str) -> list[int]:
         pieces = split(text)
@@ -268,7 +287,6 @@ class ByteBpe:
             yield text
 
 
-@functools.lru_cache(maxsize=4)
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """One per Python worker."""
-    return ByteBpe(path, pattern)
+    return resident(("bpe", path, pattern), lambda: ByteBpe(path, pattern))
