@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .ranges import join_unique
+from .storage import delete, shared_path, written
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -13,20 +14,34 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Each round maps every node to its least neighbour, twice over, and joins and dedups the
     edges under that map, until none is left. All tables stay distributed; each round is
-    written to the shared folder, so a lost executor costs no more than the round it was in.
+    written to the shared folder, so a lost executor costs no more than the round it was in,
+    and what the round before wrote is deleted. Nodes of very many edges, and labels of very
+    many nodes, are joined apart from the others (`ranges.join_unique`).
     """
-    edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node"))
-    while not edges.isEmpty():
+    spark = edges.sparkSession
+
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = shared_path(spark, name)
+        return written(df, name, path), path
+
+    def mapped(rows: DataFrame, key: str, to: DataFrame, name: str, total: int) -> DataFrame:
+        """``rows`` with what ``key`` is mapped to by ``to`` (node, m), or itself, as ``name``."""
+        uses = rows.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("uses"))
+        found = uses.join(to.hint("merge"), "node", "left").select(F.col("node").alias(key), F.coalesce("m", "node").alias(name), "uses")
+        return join_unique(rows, found, [key], "uses", total)
+
+    edges, at = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels, labels_at = kept(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")), "labels")
+    n_nodes = labels.count()
+    while n_edges := edges.count():
         both = edges.union(edges.select("b", "a"))
         to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("m"))
-        to = written(to, "hooks")
-        twice = to.alias("x").join(to.alias("y"), F.col("x.m") == F.col("y.node")).select("x.node", F.col("y.m").alias("m"))
-        twice = written(twice, "hooks")
-        labels = written(
-            labels.join(twice.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("m", "label").alias("label")),
-            "labels",
-        )
-        moved = edges.join(twice.select(F.col("node").alias("a"), F.col("m").alias("x")), "a").join(twice.select(F.col("node").alias("b"), F.col("m").alias("y")), "b")
-        edges = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        to, to_at = kept(to, "hooks")
+        twice, twice_at = kept(mapped(to, "m", to, "mm", n_nodes).select("node", F.col("mm").alias("m")), "hooks")
+        new_labels = kept(mapped(labels, "label", twice, "to", n_nodes).select("node", F.col("to").alias("label")), "labels")
+        left = mapped(mapped(edges, "a", twice, "x", n_edges), "b", twice, "y", n_edges).where("x <> y")
+        new_edges = kept(left.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        for path in (at, labels_at, to_at, twice_at):
+            delete(spark, path)
+        (edges, at), (labels, labels_at) = new_edges, new_labels
     return labels

@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranges import join_unique
-from .storage import shared_path, written
+from .storage import located, shared_path, written
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
@@ -74,26 +75,26 @@ def latest(spark: SparkSession, out_path: str, schema) -> DataFrame:
     return rows.groupBy("digest").agg(F.max_by("best", "n").alias("best"), F.max("n").alias("n"))
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] | None = None, files_per_batch: int | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``.
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] | None = None, files_per_batch: int | None = None, locator: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 and locator of every row of ``docs``.
 
     Null text counts as empty; a null doc_id is a document like others and stays only if no
     other row can; of rows alike in all this the first as stored stays. An empty table gives
     no rows; other columns are ignored. ``digest`` (of the normalised text) may be weak: full
-    bytes decide.
+    bytes decide. The locator is that column of ``docs``, unique by row, or a number given here.
     """
     spark = docs.sparkSession
     digest = digest or (lambda text: F.sha2(text, 256))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    plain = source.select("doc_id", F.length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("plain"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (docs[locator] if locator else F.monotonically_increasing_id()).alias("locator"))
+    plain = source.select("doc_id", F.length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("plain"), "locator")
     # The locator is fixed by being written; it addresses a row of this table for good.
     path = shared_path(spark, "exact-rows")
-    plain.select("doc_id", "n_chars", digest(F.col("plain")).alias("digest"), F.sha2("plain", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("locator")).write.parquet(path)
+    plain.select("doc_id", "n_chars", digest(F.col("plain")).alias("digest"), F.sha2("plain", 256).alias("text_sha256"), "locator").write.parquet(path)
     schema = spark.read.parquet(path).schema
     rows = spark.read.schema(schema).parquet(path)
     total = rows.count()
     if not total:
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
+        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "locator")
     out = shared_path(spark, "exact-state-rows")
     run_stream(spark, path, schema, shared_path(spark, "exact-state"), out, max(12, math.ceil(total / KEYS_PER_STORE)), files_per_batch)
     state = written(latest(spark, out, keyed_state(rows).schema), "exact-groups")
@@ -109,18 +110,19 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] | None = No
     alone = join_unique(rows, group.join(several.select("digest"), "digest", "left_anti"), ["digest"], "n", total)
     # Rows of digests with several texts: group by the bytes.
     again = plain.withColumn("digest", digest(F.col("plain"))).join(several.select("digest"), "digest", "left_semi")
-    again = written(again.select("doc_id", "n_chars", "plain", F.sha2("plain", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("locator")), "exact-again")
+    again = written(again.select("doc_id", "n_chars", "plain", F.sha2("plain", 256).alias("text_sha256"), "locator"), "exact-again")
     by_bytes = again.groupBy("plain").agg(F.min(_rank("n_chars", "doc_id", "locator")).alias("best"), F.count("*").alias("n"))
     by_bytes = by_bytes.withColumn("group_size", F.col("n"))
     return _answer(alone).unionByName(_answer(join_unique(again, by_bytes, ["plain"], "n", total)))
 
 
 def _answer(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("best.locator")).alias("kept"), "text_sha256")
+    return rows.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("locator") == F.col("best.locator")).alias("kept"), "text_sha256", "locator")
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay. Rows alike in doc_id and text stay together."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    sha = F.sha2(normalised(F.coalesce(docs["text"], F.lit(""))), 256)
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (sha == kept["_kept_sha"]), "left_semi")
+    """The rows of ``docs`` (all columns) that stay: one of each group of equal texts, of
+    repeated rows too. Rows are met by locator, so no doc_id or text is a key of the join."""
+    rows, locator = located(docs, "exact-located")
+    kept = exact_groups(rows, locator=locator).where("kept").select(F.col("locator").alias(locator))
+    return rows.join(kept.hint("merge"), locator, "left_semi").select(*docs.columns)

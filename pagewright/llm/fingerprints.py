@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import cut_points, range_part, text_tasks
+from .ranges import cut_points, range_part, split_hot, text_tasks
 from .shingles import pieces, shingle_hashes
 
 K = 256
@@ -124,32 +124,31 @@ def fingerprint_edits(docs: DataFrame, k: int = K, bytes_per_task: int = 32 << 2
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     Documents follow each other in descending doc_id (null doc_ids last, rows of one doc_id
-    in ascending order of text); the first follows the last. Text is shuffled once, by range
-    of doc_id; the first row of each range also goes to the range before it, so that no
-    window over all rows is needed. Null text counts as empty; one row out per row in.
+    in descending order of a hash of the text); the first follows the last. Text is shuffled
+    once, by range of doc_id and, where one doc_id has very many rows, of that hash; the first
+    row of each range also goes to the range before it, so that no window over all rows is
+    needed. Null text counts as empty; one row out per row in.
     """
-    lowest = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text")
     tasks = text_tasks(rows, bytes_per_task)
-    cuts = cut_points(rows, "key", 4 * tasks)
+    cuts = split_hot(rows.select("id"), "id", cut_points(rows, "id", 4 * tasks), 4 * tasks)
+    rows = rows.select(F.struct(F.col("id").alias("k0"), F.xxhash64("text").alias("k1")).alias("key"), "doc_id", "text")
     part = len(cuts) - range_part(F.col("key"), cuts)  # ascending as key descends
-    firsts = rows.select("key", part.alias("part")).groupBy("part").agg(F.max("key").alias("key")).orderBy("part").collect()
-    first_key = dict((r["part"], r["key"]) for r in firsts)
+    firsts = rows.select("key", part.alias("part")).groupBy("part").agg(F.max("key").alias("key")).collect()
+    first_key = {r["part"]: r["key"] for r in firsts}
     order = sorted(first_key)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the first one's rows go to the last
+    # One small row per range, looked up by position.
     n_parts = len(cuts) + 1
-    keys = F.array(*[F.lit(first_key.get(p)).cast("long") for p in range(n_parts)])
+    key_of = lambda p: F.struct(*[F.lit(x).cast("long").alias(f"k{i}") for i, x in enumerate(first_key.get(p, (None, None)))])
+    keys = F.array(*[key_of(p) for p in range(n_parts)])
     to = F.array(*[F.lit(before.get(p, 0)) for p in range(n_parts)])
+    here = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
     placed = rows.withColumn("part", part)
-    placed = placed.withColumn(
-        "place",
-        F.when(
-            F.col("key") == F.get(keys, F.col("part")),
-            F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")), F.struct(F.get(to, F.col("part")).alias("part"), F.lit(True).alias("extra"))),
-        ).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("extra")))),
-    )
-    placed = placed.select("key", "text", F.explode("place").alias("place")).select("place.part", "place.extra", "key", "text")
-    placed = placed.repartition(tasks, "part").sortWithinPartitions("part", "extra", F.desc("key"), "text")
+    places = F.when(F.col("key") == F.get(keys, F.col("part")), F.array(here, F.struct(F.get(to, F.col("part")).alias("part"), F.lit(True).alias("extra")))).otherwise(F.array(here))
+    placed = placed.select("key", "doc_id", "text", F.explode(places).alias("place")).select("place.part", "place.extra", "doc_id", "text", "key")
+    placed = placed.repartitionByRange(tasks, "part").sortWithinPartitions("part", "extra", F.desc("key"), F.desc("text")).drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of the batch before
@@ -169,7 +168,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, bytes_per_task: int = 32 << 2
                 of_edits = sketches(pa.array(edits, pa.large_string()), k)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([None if key[i] == lowest else key[i] for i in todo], pa.int64()),
+                        pa.array([key[i] for i in todo], pa.int64()),
                         pa.array([len(text[i]) for i in todo], pa.int64()),
                         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edits]),
                         pa.array([to_text(own[i]) for i in todo]),

@@ -13,8 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import join_unique
-from .storage import written
+from .ranges import HOT_SHARE, join_unique
+from .storage import located, written
 
 WEIGHTS = (5, 2, 1)
 #: Of all words, how many the mix takes; how often a document may be taken.
@@ -47,15 +47,31 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget:
     return src.select("no_source", "source_key", "n", "source_size", "place", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of every row, and text_hash, which
-    with doc_id says which text it is.
+#: Hexadecimal digits of the shuffle key that stand for doc_id, for the text, and for the row.
+DIGITS = (32, 16, 16)
+
+
+def _buckets(rows: DataFrame, digits: int, total: int) -> DataFrame:
+    """``rows`` with the bucket of their shuffle key: its first digits. Buckets of more than a
+    thousandth of the rows hold rows alike in doc_id; they are cut by the digits of the text,
+    and where those are alike too by those of the row, so that any number can be repeated."""
+    most = max(64, total // HOT_SHARE)
+    rows = rows.withColumn("bucket", F.substring("key", 1, digits))
+    for upto in (DIGITS[0] + digits, sum(DIGITS[:2]) + digits):
+        hot = rows.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > most).select("bucket", F.lit(True).alias("hot"))
+        rows = rows.join(F.broadcast(hot), "bucket", "left").withColumn("bucket", F.when(F.col("hot"), F.substring("key", 1, upto)).otherwise(F.col("bucket"))).drop("hot")
+    return rows
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: str = "mix", locator: str | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken and locator of every row. The locator
+    is that column of ``docs``, unique by row, or a number given here.
 
     Null text has size 0; null is a source of its own, the last; a document without words is
-    never taken. Rows alike in doc_id are shuffled next to each other; a rerun gives the same
-    rows. An empty table gives no rows. Running sums have two levels: buckets of the shuffle
-    key per source, then rows within a bucket, so no task holds more than about the square
-    root of a source.
+    never taken. Rows alike in doc_id are shuffled next to each other, by text; a rerun gives
+    the same rows. An empty table gives no rows. Running sums have two levels: buckets of the
+    shuffle key per source, then rows within a bucket, so no task holds more than about the
+    square root of a source, or a thousandth.
     """
     if epochs != 2:
         raise ValueError("two epochs are supported")
@@ -65,27 +81,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
         F.xxhash64("text").alias("text_hash"),
+        (docs[locator] if locator else F.monotonically_increasing_id()).alias("locator"),
     )
-    rows = written(rows.withColumn("u", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))), "mix-sizes")
+    hashed = lambda column: F.lpad(F.hex(F.xxhash64(column)), 16, "0")
+    shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
+    key = F.concat(shuffled, hashed("text_hash"), hashed("locator"))
+    rows = written(rows.select("doc_id", "size", "no_source", "source_key", "locator", key.alias("key")), "mix-sizes")
     total = rows.count()
     digits = max(1, round(math.log(max(total, 1)) / 2 / math.log(16)))
     source = ["no_source", "source_key"]
     src = written(source_targets(rows, weights, budget, epochs), "mix-sources")
-    bucketed = rows.withColumn("bucket", F.substring("u", 1, digits))
+    bucketed = _buckets(rows, digits, total)
     sums = bucketed.groupBy(*source, "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy(*source).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*source, "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    within = Window.partitionBy(*source, "bucket").orderBy("u", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*source, "bucket").orderBy("key", "locator").rowsBetween(Window.unboundedPreceding, 0)
     queue = bucketed.withColumn("run", F.sum("size").over(within)).join(sums.hint("merge"), [*source, "bucket"])
     queue = join_unique(queue, src, source, "n", total)
     ends = F.col("base") + F.col("run")
     finish = lambda words: F.when(F.col("size") > 0, words / F.col("target"))
-    queue = queue.select("doc_id", "text_hash", "u", "size", "source_size", "target", "place", finish(ends).alias("first"), finish(ends + F.col("source_size")).alias("second"))
+    queue = queue.select("doc_id", "locator", "key", "size", "source_size", "target", "place", finish(ends).alias("first"), finish(ends + F.col("source_size")).alias("second"))
     queue = written(queue, "mix-queue")
 
     # The queue in ranges of finish time: words per range, then the one range the cut falls in.
     ranges = float(16**digits)
-    item = lambda finish, copy: F.struct(F.col(finish).alias("finish"), "place", "u", "doc_id", "size", "text_hash", F.lit(copy).alias("copy"))
+    item = lambda finish, copy: F.struct(F.col(finish).alias("finish"), "place", "key", "locator", "size", F.lit(copy).alias("copy"))
     items = queue.where("size > 0").select(F.explode(F.array(item("first", 1), item("second", 2))).alias("item"))
     items = items.withColumn("range", F.floor(F.least(F.col("item.finish"), F.lit(2.0)) * ranges))
     spend = float(budget) * (queue.agg(F.sum("size")).first()[0] or 0)
@@ -104,20 +124,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
         where = F.floor(F.least(F.col(finish), F.lit(2.0)) * ranges)
         inside = where < cut["range"]
         if last is not None:
-            bound = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["place"]).alias("place"), F.lit(last["u"]).alias("u"), F.lit(last["doc_id"]).cast("long").alias("doc_id"), F.lit(last["size"]).cast("long").alias("size"), F.lit(last["text_hash"]).cast("long").alias("text_hash"), F.lit(last["copy"]).alias("copy"))
+            bound = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["place"]).alias("place"), F.lit(last["key"]).alias("key"), F.lit(last["locator"]).cast("long").alias("locator"), F.lit(last["size"]).cast("long").alias("size"), F.lit(last["copy"]).alias("copy"))
             inside |= (where == cut["range"]) & (item(finish, copy) <= bound)
         return inside.cast("int")
 
     copies = F.when(F.col("size") > 0, taken("first", 1) + taken("second", 2)).otherwise(0)
-    return queue.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "text_hash")
+    return queue.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "locator")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` (all columns), each as often as the mix takes it.
-
-    Rows alike in doc_id and text each get their mean number of copies, rounded up.
-    """
-    of = mix(docs, **how).groupBy("doc_id", "text_hash").agg(F.ceil(F.avg("copies")).cast("int").alias("_copies")).where("_copies > 0")
-    of = of.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_copies")
-    joined = docs.join(of.hint("merge"), docs["doc_id"].eqNullSafe(of["_id"]) & (F.xxhash64(docs["text"]) == of["_hash"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` (all columns), each as often as the mix takes it; repeated rows are
+    rows of their own, met by locator."""
+    rows, locator = located(docs, "mix-located")
+    of = mix(rows, locator=locator, **how).where("copies > 0").select(F.col("locator").alias(locator), F.expr("sequence(1, copies)").alias("copies"))
+    joined = rows.select(F.col(locator), F.struct(*docs.columns).alias("row")).join(of.hint("merge"), locator)
+    return joined.select("row", F.explode("copies")).select("row.*")

@@ -6,8 +6,9 @@ more. Classes are the connected components of the links.
 
 BagMinHash: a shingle of count w is the weight interval [0, w) on a line cut at 0, 1, 2, 4,
 8, ... Each piece is a Poisson process seeded by shingle and piece, of rate equal to the
-piece's length; each point has a time, a register and a place in the piece, found by
-descending into its halves, and only points below w count. A register keeps the least time.
+piece's length; each point has a time, a register and a place in the piece, a number whose
+binary digits say which half of the piece it is in, which half of that, and so on, and only
+points below w count. A register keeps the least time.
 Two bags agree in a register with a probability of exactly their weighted Jaccard
 similarity. Points are made in ascending time and only until every register is filled, so a
 document needs about m ln m points whatever its length.
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .ranges import join_unique
+from .ranges import HOT_SHARE, join_unique
 from .shingles import mix64, pieces, shingle_hashes
-from .storage import written
+from .storage import located, written
 
 SIMILARITY = 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 shares a band with probability
@@ -151,13 +152,14 @@ def sign(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, SIGNED)
 
 
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float, total: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Of the distinct pairs (a, b), those whose texts are similar enough. ``texts``: id, text.
 
-    b may be in very many pairs; its text is then sent in several salted copies.
+    b may be in very many pairs; its text is then sent in several salted copies. Such b are
+    in more than a thousandth of the pairs, so fewer than a thousand, and broadcast.
     """
     most = 64
-    busy = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > max(most, total // 1000))
+    busy = pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > max(most, pairs.count() // HOT_SHARE))
     busy = F.broadcast(busy.select("b", F.ceil(F.col("n") / most).cast("int").alias("salts")))
     salted = pairs.join(busy, "b", "left").select("a", "b", F.expr("pmod(xxhash64(a), coalesce(salts, 1))").cast("int").alias("salt"))
     ends = pairs.select("b").distinct().join(texts.withColumnRenamed("id", "b").hint("merge"), "b").join(busy, "b", "left")
@@ -267,7 +269,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     # Text is shuffled once, to keep that of the documents that share a band.
     texts = written(columns.withColumnRenamed("doc_id", "id").join(shared.select("id").distinct().hint("merge"), "id"), "near-texts")
     pairs = written(shared.where("label <> leader_label").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
-    links = written(links.union(verify(pairs, texts, similarity, total)), "near-links")
+    links = written(links.union(verify(pairs, texts, similarity)), "near-links")
     label = connected(links)
     # A leader has met its whole band. Of the others, those outside the band's largest class
     # are still to meet the documents of other classes.
@@ -283,15 +285,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         outside = few.where("label <> main").select("band", F.col("id").alias("a"), F.col("label").alias("of_a"))
         direct = outside.join(few.select("band", F.col("id").alias("b"), F.col("label").alias("of_b")), "band").where("of_a <> of_b")
         direct = written(direct.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
-        more = verify(direct, texts, similarity, total).union(block_links(left.where(F.col("members") > DIRECT_BAND), texts, similarity))
+        more = verify(direct, texts, similarity).union(block_links(left.where(F.col("members") > DIRECT_BAND), texts, similarity))
         label = connected(written(links.union(more), "near-links"))
     # Labels are least ids of components of representatives; a class also has their copies.
     of = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     of = written(of.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "near-classes")
     n_class = of.groupBy("class_id").agg(F.count("*").alias("class_size"), F.count("*").alias("n"))
     sized = join_unique(of, n_class, ["class_id"], "n", total)
-    rows = columns.select("doc_id").join(sized.hint("merge"), "doc_id", "left")
-    return rows.select(
+    # Rows of one doc_id may be very many, and so may those without one.
+    uses = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("uses")).join(sized.hint("merge"), "doc_id", "left")
+    rows = join_unique(signed.select("doc_id").where(F.col("doc_id").isNotNull()), uses, ["doc_id"], "uses", signed.count())
+    without = signed.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"))
+    return rows.union(without).select(
         "doc_id",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
@@ -300,6 +305,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose document stays; see `near_classes`."""
-    kept = near_classes(docs, similarity).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` (all columns) that stay: of each class of rows the one of least
+    doc_id (null last). Every row is a document here, whatever rows share its doc_id, and is
+    met by its locator; see `near_classes`."""
+    rows, locator = located(docs, "near-located")
+    classes = near_classes(rows.select(F.col(locator).alias("doc_id"), "text"), similarity).select(F.col("doc_id").alias(locator), "class_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col(locator).alias("locator"))
+    first = rows.select(locator, rank.alias("rank")).join(classes.hint("merge"), locator).groupBy("class_id").agg(F.min("rank").alias("rank"))
+    return rows.join(first.select(F.col("rank.locator").alias(locator)).hint("merge"), locator, "left_semi").select(*docs.columns)

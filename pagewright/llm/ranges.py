@@ -21,14 +21,32 @@ def cut_points(df: DataFrame, key: str, parts: int) -> list[int]:
     return sorted({math.ceil(x) for x in found or []})
 
 
-def range_part(key: Column, cuts: list[int]) -> Column:
-    """How many of ``cuts`` are at most ``key``: the number of its range, found in two steps."""
+def split_hot(df: DataFrame, key: str, cuts: list[int], parts: int) -> list[tuple[int, int]]:
+    """``cuts`` as pairs of key and hash, with more of them inside keys of more rows than a
+    range is to have: a key is then cut by a hash of 64 bits. There are fewer such keys than
+    ``parts``."""
+    low, space = -(1 << 63), 1 << 64
+    total = df.count()
+    hot = {r[key]: r["n"] for r in df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(1, total // max(1, parts))).collect()} if parts > 1 else {}
+    out = {(c, low) for c in cuts}
+    for k, n in hot.items():
+        many = math.ceil(n * parts / total)
+        out |= {(k, low + i * space // many) for i in range(many)}
+        if k + 1 < 1 << 63:
+            out.add((k + 1, low))
+    return sorted(out)
+
+
+def range_part(key: Column, cuts: list[int] | list[tuple[int, ...]]) -> Column:
+    """How many of ``cuts`` are at most ``key`` (for pairs, a structure of two): the number of
+    its range, found in two steps."""
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts)) + 1
     blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    nested = F.array(*[F.array(*[F.lit(x).cast("long") for x in b]) for b in blocks])
-    heads = F.array(*[F.lit(b[0]).cast("long") for b in blocks])
+    literal = lambda x: F.struct(*[F.lit(y).cast("long").alias(f"k{i}") for i, y in enumerate(x)]) if isinstance(x, tuple) else F.lit(x).cast("long")
+    nested = F.array(*[F.array(*map(literal, b)) for b in blocks])
+    heads = F.array(*[literal(b[0]) for b in blocks])
     block = F.size(F.filter(heads, lambda x: x <= key))
     inside = F.size(F.filter(F.element_at(nested, block), lambda x: x <= key))
     return F.when(block == 0, 0).otherwise((block - 1) * step + inside).cast("int")

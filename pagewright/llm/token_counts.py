@@ -12,7 +12,6 @@ and budget questions are look-ups.
 
 from __future__ import annotations
 
-import functools
 import json
 import unicodedata
 from array import array
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 
 from .bpe import MOST_PIECES, Borders, Pieces
 from .shingles import pieces
+from .workers import resident
 
 #: A text with more tokens is over the limit.
 LIMIT = 2048
@@ -215,10 +215,9 @@ class PrefixCounter:
         return at
 
 
-@functools.lru_cache(maxsize=2)
 def prefix_counter(path: str) -> PrefixCounter:
     """One per Python worker."""
-    return PrefixCounter(path)
+    return resident(("prefixes", path), lambda: PrefixCounter(path))
 
 
 def count_documents(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -22,18 +22,18 @@ from pyspark.sql import functions as F
 from .bpe import MOST_PIECES, split
 from .ranges import text_tasks
 from .shingles import pieces
+from .workers import resident
 
 END = 2
 ROW_GROUP_BYTES, PAGE_ROWS = 16 << 20, 256
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
-_encoders: dict[str, tuple] = {}
-
 
 def _encoder(path: str):
     """The library's tokenizer, how many bytes each id stands for, and the ids, packed, of
     pieces of text; one per Python worker."""
-    if path not in _encoders:
+
+    def make() -> tuple:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -41,8 +41,9 @@ def _encoder(path: str):
         lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():  # a byte-level token has a character per byte
             lengths[i] = len(token)
-        _encoders[path] = (tokenizer, lengths, {})
-    return _encoders[path]
+        return tokenizer, lengths, {}
+
+    return resident(("token files", path), make)
 
 
 def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
@@ -50,7 +51,7 @@ def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
 
     Texts whose blanks are pretoken borders (`bpe.split`) are cut there. Pieces not seen
     before go to the library joined as one text, whose ids are cut where the pieces end;
-    other texts go to it whole.
+    other texts go to it whole, and so do all if a token should cross a piece's end.
     """
     tokenizer, lengths, known = _encoder(path)
     if len(known) > MOST_PIECES:
@@ -66,7 +67,7 @@ def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
     borders = np.cumsum([len(p.encode()) for p in spelled], dtype=np.int64)
     at = np.searchsorted(ends, borders) + 1
     if len(new) and (at[-1] != len(ids) or (ends[at - 1] != borders).any()):
-        raise AssertionError("a token crosses a piece's end")
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     packed, at = ids.tobytes(), [0, *(4 * at).tolist()]
     known.update(zip(new, (packed[i:j] for i, j in zip(at, at[1:]))))
     first_ids = iter(encodings[1 : 1 + len(firsts)])
@@ -84,8 +85,9 @@ def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
 def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int | None = END) -> None:
     """Encode every row's whole text (null: empty), append ``end``, and write the files to ``out``.
 
-    Rows of one doc_id are in ascending order of text, a null doc_id comes first. ``tokenizer``
-    must be readable on executors. An empty table makes files without rows.
+    Rows of one doc_id are in ascending order of a hash of the text, a null doc_id comes
+    first; ranges go by both, so one doc_id may have very many rows. ``tokenizer`` must be
+    readable on executors. An empty table makes files without rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int | None = EN
                 start += int(ends[-1]) if len(ends) else 0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = rows.repartitionByRange(text_tasks(rows), "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", F.xxhash64("text"))
+    placed = rows.repartitionByRange(text_tasks(rows), *order).sortWithinPartitions(*order, "text")
     (
         placed.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")
