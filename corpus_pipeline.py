@@ -6,12 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import bpe_documents, exact_dedup, language_id, mixing, near_dedup
-from pagewright.llm.storage import table, written
+from pagewright.llm.storage import scratch, shared_path, table, written
 from pagewright.shipping import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in some language; those without a letter go."""
+    """Documents whose text is in a learned language; text without a letter, and text of letters foreign to them, goes."""
     ship(spark)
     return language_id.drop_undetermined(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -22,7 +22,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates, the least doc_id."""
+    """Of each class of near-duplicates, the row of least doc_id."""
     ship(spark)
     return near_dedup.drop_near_duplicates(docs)
 
@@ -45,7 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage. What a stage wrote for itself is deleted when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared_path(spark, f"pipeline-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, path)
     return STAGES[-1][1](spark, docs, sf_dir)
