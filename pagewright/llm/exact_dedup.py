@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranges import join_unique
-from .storage import located, shared_path, written
+from .storage import identified, shared_path, written
 
 
 def normalised(text: Column) -> Column:
@@ -85,7 +85,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] | None = No
     """
     spark = docs.sparkSession
     digest = digest or (lambda text: F.sha2(text, 256))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (docs[locator] if locator else F.monotonically_increasing_id()).alias("locator"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (docs[locator].cast("long") if locator else F.monotonically_increasing_id()).alias("locator"))
     plain = source.select("doc_id", F.length("text").cast("long").alias("n_chars"), normalised(F.col("text")).alias("plain"), "locator")
     # The locator is fixed by being written; it addresses a row of this table for good.
     path = shared_path(spark, "exact-rows")
@@ -122,7 +122,7 @@ def _answer(rows: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: one of each group of equal texts, of
-    repeated rows too. Rows are met by locator, so no doc_id or text is a key of the join."""
-    rows, locator = located(docs, "exact-located")
-    kept = exact_groups(rows, locator=locator).where("kept").select(F.col("locator").alias(locator))
+    repeated rows too. Rows are met by doc_id where that tells them apart, else by a number."""
+    rows, locator = identified(docs, "exact-located")
+    kept = exact_groups(rows, locator=locator).where("kept").select(F.col("locator").cast(rows.schema[locator].dataType).alias(locator))
     return rows.join(kept.hint("merge"), locator, "left_semi").select(*docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranges import HOT_SHARE, join_unique
-from .storage import located, written
+from .storage import identified, written
 
 WEIGHTS = (5, 2, 1)
 #: Of all words, how many the mix takes; how often a document may be taken.
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
         F.col("source").isNull().alias("no_source"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source_key"),
         F.xxhash64("text").alias("text_hash"),
-        (docs[locator] if locator else F.monotonically_increasing_id()).alias("locator"),
+        (docs[locator].cast("long") if locator else F.monotonically_increasing_id()).alias("locator"),
     )
     hashed = lambda column: F.lpad(F.hex(F.xxhash64(column)), 16, "0")
     shuffled = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
@@ -134,8 +134,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` (all columns), each as often as the mix takes it; repeated rows are
-    rows of their own, met by locator."""
-    rows, locator = located(docs, "mix-located")
-    of = mix(rows, locator=locator, **how).where("copies > 0").select(F.col("locator").alias(locator), F.expr("sequence(1, copies)").alias("copies"))
+    rows of their own. Rows are met by doc_id where that tells them apart, else by a number."""
+    rows, locator = identified(docs, "mix-located")
+    of = mix(rows, locator=locator, **how).where("copies > 0").select(F.col("locator").cast(rows.schema[locator].dataType).alias(locator), F.expr("sequence(1, copies)").alias("copies"))
     joined = rows.select(F.col(locator), F.struct(*docs.columns).alias("row")).join(of.hint("merge"), locator)
     return joined.select("row", F.explode("copies")).select("row.*")

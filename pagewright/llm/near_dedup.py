@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .components import connected
 from .ranges import HOT_SHARE, join_unique
 from .shingles import mix64, pieces, shingle_hashes
-from .storage import located, written
+from .storage import identified, written
 
 SIMILARITY = 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 shares a band with probability
@@ -306,10 +306,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: of each class of rows the one of least
-    doc_id (null last). Every row is a document here, whatever rows share its doc_id, and is
-    met by its locator; see `near_classes`."""
-    rows, locator = located(docs, "near-located")
+    doc_id (null last). Every row is a document here, whatever rows share its doc_id: where
+    that doesn't tell rows apart, a number does; see `near_classes`."""
+    rows, locator = identified(docs, "near-located")
     classes = near_classes(rows.select(F.col(locator).alias("doc_id"), "text"), similarity).select(F.col("doc_id").alias(locator), "class_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col(locator).alias("locator"))
-    first = rows.select(locator, rank.alias("rank")).join(classes.hint("merge"), locator).groupBy("class_id").agg(F.min("rank").alias("rank"))
-    return rows.join(first.select(F.col("rank.locator").alias(locator)).hint("merge"), locator, "left_semi").select(*docs.columns)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col(locator).cast("long").alias("locator"))
+    kind = rows.schema[locator].dataType
+    first = rows.select(F.col(locator).cast("long").alias(locator), rank.alias("rank")).join(classes.hint("merge"), locator).groupBy("class_id").agg(F.min("rank").alias("rank"))
+    return rows.join(first.select(F.col("rank.locator").cast(kind).alias(locator)).hint("merge"), locator, "left_semi").select(*docs.columns)

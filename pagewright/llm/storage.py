@@ -65,11 +65,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def located(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written with a further column that tells its rows apart, repeated ones too, and
-    the name of that column. Being written, it stays what it is."""
-    locator = free_name(df, "locator")
-    return written(df.withColumn(locator, F.monotonically_increasing_id()), name), locator
+def identified(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column of integers that tells its rows apart.
+
+    That is doc_id, where it is never null or repeated. Else the rows are written with a
+    further column of numbers; being written, they stay what they are.
+    """
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+    if ids.where("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs, next(c for c in docs.columns if c.lower() == "doc_id")
+    locator = free_name(docs, "locator")
+    return written(docs.withColumn(locator, F.monotonically_increasing_id()), name), locator
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
