@@ -17,6 +17,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -430,8 +431,15 @@ def test_token_counts(docs, none):
     n = lambda t: len(library.encode(t, add_special_tokens=False).ids)
     for text in odd_texts():
         assert own.count(text) == n(text)
-    for text in odd_texts()[:60]:
-        assert own.prefix_table(text) == [n(text[:i]) for i in range(len(text) + 1)]
+    rnd = random.Random(8)
+    bits = list("abcdelvrstmABC    \n\t\r'.,!?01é你🙂 ≮Σςİ") + [" ", "　", "\xad", "\u200d", "\u200b", "<|endoftext|>", "<|startoftext|>", "<|endof", "|>", "'re", "'ll", "'v", "e\u0301", "\u0301", "\u0323", "\x1c", "\x85", "\x00", "한", "\u1112\u1161\u11ab", "\u09c7\u09be"]
+    for text in odd_texts()[:60] + ["".join(rnd.choices(bits, k=rnd.randint(0, 40))) for _ in range(300)]:
+        counts = [n(text[:i]) for i in range(len(text) + 1)]
+        assert own.prefix_table(text) == counts and own.count(text) == counts[-1]
+        for budget in (0, 1, 4, 9, 10**6):
+            most = max(i for i, c in enumerate(counts) if c <= budget)
+            cut = own.truncate(text, budget)
+            assert counts[cut] <= budget and not regex.search(f"[^{bpe.SPACE}]", text[cut:most])
     text = prose(random.Random(4), 200)
     for budget in (0, 1, 57, 10**6):
         cut = own.truncate(text, budget)
@@ -451,7 +459,7 @@ def test_token_counts_of_long_words():
     for letters in ("etaoinshrdlu", "=", "的一是不了人我在有他"):
         text = "".join(rnd.choices(letters, k=20_000))
         assert own.count(text) == n(text)
-        assert sum(map(len, own.table.inner)) < 100_000 and not own.words
+        assert sum(map(len, own.table.heads)) < 100_000 and not own.words
     for text in ("".join(rnd.choices("etaoins", k=300)), "it's'll!'s--" * 9, "的一是不了人我在" * 20, "İStraßeÀé" * 12, "e\u0301a\u0302한국어" * 9, "one two " + "abcde" * 40):
         counts = [n(text[:i]) for i in range(len(text) + 1)]
         assert own.prefix_table(text) == counts
