@@ -1,67 +1,106 @@
 """Trees of form fields and page dictionaries as node tables (node, parent, ...).
 
-Walks go level by level: each level is one join, and the loop ends when a level is empty.
-Depth is bounded, as trees in files may have cycles; a node is visited once per depth.
+What a node has from its ancestors is found by doubling: each round joins a node's path so
+far with the path of the node it has come to, so a tree of depth d takes about log2(d)
+rounds. Each round is checkpointed. There is no bound on depth. Nodes below a cycle, or below
+a parent that isn't there, aren't reached from a root and are left out (`unrooted` has them).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 64
+from ..lineage import kept
+
+#: How a path from an ancestor (``a_<name>``) and the one that begins below it (``<name>``) join.
+Join = Callable[[Column, Column], Column]
 
 
-def walk_down(nodes: DataFrame, state: dict[str, tuple[Column, Column]], depth: int = MOST_DEPTH) -> DataFrame:
-    """Every node reached from the roots (parent null) with its depth and state. ``state`` gives
-    for each name its value at a root and, in terms of ``p_<name>`` of the parent, at a child."""
+def _doubled(nodes: DataFrame, state: dict[str, tuple[Column, Join]]) -> DataFrame:
+    """node, up (null once a root is passed), depth and state of every node's longest path."""
     names = list(state)
-    level = nodes.where("parent IS NULL").select("*", F.lit(0).alias("depth"), *[state[n][0].alias(n) for n in names])
-    found = level
-    for d in range(1, depth + 1):
-        above = level.select(F.col("node").alias("parent"), *[F.col(n).alias(f"p_{n}") for n in names])
-        level = nodes.join(above, "parent").select(*nodes.columns, F.lit(d).alias("depth"), *[state[n][1].alias(n) for n in names])
-        if level.isEmpty():
+    paths = kept(nodes.select("node", F.col("parent").alias("up"), F.lit(0).alias("depth"), *[state[n][0].alias(n) for n in names]))
+    left = paths.where("up IS NOT NULL").count()
+    while left:
+        above = paths.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("a_depth"), *[F.col(n).alias(f"a_{n}") for n in names], F.lit(True).alias("there"))
+        joined = paths.where("up IS NOT NULL").join(above, "up", "left")
+        # A path that ends in a parent that isn't there stays as it is.
+        moved = joined.select(
+            "node",
+            F.when(F.col("there"), F.col("next")).otherwise(F.col("up")).alias("up"),
+            F.when(F.col("there"), F.col("depth") + F.col("a_depth") + 1).otherwise(F.col("depth")).alias("depth"),
+            *[F.when(F.col("there"), state[n][1](F.col(f"a_{n}"), F.col(n))).otherwise(F.col(n)).alias(n) for n in names],
+        )
+        paths = kept(paths.where("up IS NULL").unionByName(moved))
+        before, left = left, paths.where("up IS NOT NULL").count()
+        if left == before:  # a tree has nodes at every depth, so what is left has no root
             break
-        found = found.unionByName(level)
-    return found
+    return paths
 
 
-def field_names(nodes: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """Node, full dotted name and inherited type of each field (node, parent, part, type)."""
-    has = F.coalesce("part", F.lit("")) != ""
-    name = F.when(has & (F.coalesce("p_name", F.lit("")) != ""), F.concat_ws(".", "p_name", "part")).when(has, F.col("part")).otherwise(F.col("p_name"))
-    return walk_down(nodes, {"name": (F.coalesce("part", F.lit("")), name), "kind": (F.col("type"), F.coalesce("type", "p_kind"))}, depth)
+def walk_down(nodes: DataFrame, state: dict[str, tuple[Column, Join]]) -> DataFrame:
+    """node, depth and state of every node that a root (parent null) is above. ``state`` gives for
+    each name a node's own value and how that of a path joins with the one above it."""
+    return _doubled(nodes, state).where("up IS NULL").drop("up")
 
 
-def terminals(nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """Fields without children."""
-    return named.join(nodes.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct(), "node", "left_anti")
+def unrooted(nodes: DataFrame) -> DataFrame:
+    """Nodes that no root is above: in or below a cycle, or below a parent that isn't there."""
+    return _doubled(nodes, {}).where("up IS NOT NULL").select("node")
 
 
-def inherited(nodes: DataFrame, key: str, depth: int = MOST_DEPTH) -> DataFrame:
-    """Node and the value of ``key`` of itself or its nearest ancestor that has one."""
-    return walk_down(nodes, {"value": (F.col(key), F.coalesce(key, "p_value"))}, depth).select("node", "value")
+def nearest(above: Column, own: Column) -> Column:
+    return F.coalesce(own, above)
 
 
-def with_live_descendant(nodes: DataFrame, live: DataFrame, depth: int = 32) -> DataFrame:
-    """Nodes that are live or above a live one; from the live ones up, each node once."""
-    level = live.select("node").distinct()
-    found = level
-    for _ in range(depth):
-        level = nodes.join(level, "node", "left_semi").where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().join(found, "node", "left_anti")
-        if level.isEmpty():
-            break
-        found = found.union(level)
-    return found
+def dotted(above: Column, own: Column) -> Column:
+    """Names joined by a dot, empty ones left out."""
+    return F.when(own == "", above).when(above == "", own).otherwise(F.concat(above, F.lit("."), own))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """Nodes of a graph (src, dst) that can be reached from the roots (node)."""
-    found = level = roots.select("node").distinct()
-    for _ in range(depth):
-        level = edges.join(level.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti")
-        if level.isEmpty():
-            break
-        found = found.union(level)
+def field_names(nodes: DataFrame) -> DataFrame:
+    """Node, full dotted name, inherited type and depth of each field (node, parent, part, type)."""
+    return walk_down(nodes, {"name": (F.coalesce("part", F.lit("")), dotted), "kind": (F.col("type"), nearest)})
+
+
+def terminals(nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """Fields without children."""
+    return named.join(nodes.select(F.col("parent").alias("node")).where("node IS NOT NULL").distinct(), "node", "left_anti")
+
+
+def inherited(nodes: DataFrame, key: str) -> DataFrame:
+    """Node and the value of ``key`` of itself or its nearest ancestor that has one."""
+    return walk_down(nodes, {"value": (F.col(key), nearest)}).select("node", "value")
+
+
+def with_live_descendant(nodes: DataFrame, live: DataFrame) -> DataFrame:
+    """Nodes that are live or above a live one, each once.
+
+    By doubling: who is within 2^k steps above a live node is so within 2^(k+1) steps if it
+    is 2^k steps above one that is.
+    """
+    found = kept(live.select("node").distinct())
+    hops = kept(nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("up")))
+    n = found.count()
+    while True:
+        above = hops.join(found, "node", "left_semi").select(F.col("up").alias("node"))
+        found = kept(found.union(above).distinct())
+        before, n = n, found.count()
+        twice = kept(hops.join(hops.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
+        # Nothing new within 2^k steps of what is known means nothing new further up.
+        if n == before or twice.isEmpty():
+            return found
+        hops = twice
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of a graph (src, dst) that can be reached from the roots (node): level by level,
+    each node once, until a level is empty."""
+    found = level = kept(roots.select("node").distinct())
+    while not level.isEmpty():
+        level = kept(edges.join(level.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti"))
+        found = kept(found.union(level))
     return found

@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import fields as O
 from ..operators import trees
 from .registry import Book, table
 
 book = Book()
 
-#: Flag bits of fields.
-MULTILINE, PUSHBUTTON, COMB = 1 << 12, 1 << 16, 1 << 24
-
 _NODES = """(SELECT 'r' || r_regionkey AS node, NULL AS parent, r_name AS part, CASE WHEN r_regionkey % 2 = 0 THEN 'Tx' END AS type FROM region
     UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, CASE WHEN n_nationkey % 3 = 0 THEN 'Ch' END FROM nation
     UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END, CASE WHEN c_custkey % 7 = 0 THEN 'Btn' END FROM customer)"""
@@ -89,9 +87,11 @@ def c19_inherited_media_box(spark, sf_dir):
     return _boxes(spark, sf_dir, "media_box")
 
 
-@book.query(f"{_BOXES} SELECT page, CAST(coalesce(own, above, root) AS VARCHAR) IS NOT NULL AS has_value FROM b")
+@book.query(f"{_WALK.replace('coalesce(t.type, w.kind)', 'coalesce(t.type || t.part, w.kind)').replace('type AS kind', 'type || part AS kind')} SELECT node, kind AS value FROM w WHERE node LIKE 'c%'")
 def c18_inherited_value(spark, sf_dir):
-    return _boxes(spark, sf_dir, "resources").select("page", F.col("value").isNotNull().alias("has_value"))
+    """A text, of the field or of the nearest one above that has it."""
+    df = nodes(spark, sf_dir).withColumn("v", F.concat("type", "part"))
+    return trees.inherited(df, "v").where("node LIKE 'c%'")
 
 
 _LIVE = "(SELECT DISTINCT 'c' || o_custkey AS node FROM orders WHERE o_orderstatus = 'F')"
@@ -132,95 +132,102 @@ def g28_reachable(spark, sf_dir):
 _FT = "CASE p_partkey % 5 WHEN 0 THEN 'Tx' WHEN 1 THEN 'Ch' WHEN 2 THEN 'Btn' WHEN 3 THEN 'Sig' END"
 
 
+def _parts(spark, sf_dir) -> DataFrame:
+    """k, ft, flags, value and default of a field for each part."""
+    ft = F.element_at(F.array(*[F.lit(x) for x in ("Tx", "Ch", "Btn", "Sig", "Zz")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    flags = F.when(ft == "Tx", F.col("p_size") * 4096).when(ft == "Btn", F.col("p_size") * 65536)
+    default = F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("name"), ft.alias("ft"), flags.alias("flags"), F.col("p_name").alias("value"), default.alias("default"))
+
+
 @book.query(f"SELECT p_partkey AS k, CASE {_FT} WHEN 'Tx' THEN CASE WHEN (p_size * 4096) & 4096 <> 0 THEN 'multiline_text' ELSE 'text' END WHEN 'Ch' THEN 'dropdown' WHEN 'Btn' THEN CASE WHEN (p_size * 65536) & 65536 <> 0 THEN 'unknown' ELSE 'checkbox' END WHEN 'Sig' THEN 'signature' ELSE 'unknown' END AS field_type FROM part")
 def b15_classify(spark, sf_dir):
-    ft = F.element_at(F.array(*[F.lit(x) for x in ("Tx", "Ch", "Btn", "Sig", "Zz")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    bit = lambda b: (F.col("p_size") * b).bitwiseAND(F.lit(b)) != 0
-    kind = F.when(ft == "Tx", F.when(bit(MULTILINE), "multiline_text").otherwise("text")).when(ft == "Ch", "dropdown").when(ft == "Btn", F.when(bit(PUSHBUTTON), "unknown").otherwise("checkbox")).when(ft == "Sig", "signature").otherwise("unknown")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), kind.alias("field_type"))
+    return _parts(spark, sf_dir).select("k", O.field_kind(F.col("ft"), F.col("flags")).alias("field_type"))
 
 
 @book.query("SELECT event_id AS k, CASE WHEN event_type = 'click' THEN 'reset_form' ELSE 'unsupported' END AS action FROM events")
 def b16_button_action(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.when(F.col("event_type") == "click", "reset_form").otherwise("unsupported").alias("action"))
+    action = F.when(F.col("event_type") == "click", "ResetForm").when(F.col("event_type") != "view", "SubmitForm")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), O.button_action(action).alias("action"))
 
 
-@book.query("SELECT l_orderkey AS doc_id, l_linenumber AS field, l_quantity AS value FROM lineitem WHERE l_linenumber = 2")
+@book.query("SELECT c_custkey AS doc_id, c_name AS name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = 2)")
 def b13_fields_of_page(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("field"), F.col("l_quantity").alias("value"))
+    """A field per customer with a widget per order."""
+    fields = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("name"))
+    widgets = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (F.col("o_orderkey") % 5).alias("page")).join(fields, "doc_id")
+    return O.fields_of_page(fields, widgets, 2)
 
 
 @book.query("SELECT c_custkey AS doc_id, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS has_form FROM customer")
 def b14_has_form(spark, sf_dir):
-    has = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("has", F.lit(True))
-    return table(spark, sf_dir, "customer").join(has, "c_custkey", "left").select(F.col("c_custkey").alias("doc_id"), F.coalesce("has", F.lit(False)).alias("has_form"))
+    fields = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"))
+    return O.with_has_form(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")), fields)
 
 
 @book.query("SELECT p_partkey AS k, CASE WHEN p_size % 3 = 0 THEN p_type WHEN p_size % 3 = 1 THEN p_brand ELSE p_name END AS label FROM part")
 def h16_option_label(spark, sf_dir):
-    pair = F.when(F.col("p_size") % 3 == 0, F.array("p_brand", "p_type")).when(F.col("p_size") % 3 == 1, F.array("p_brand")).otherwise(F.array("p_name"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.coalesce(F.try_element_at(pair, F.lit(2)), F.try_element_at(pair, F.lit(1))).alias("label"))
+    option = F.when(F.col("p_size") % 3 == 0, F.array("p_brand", "p_type")).when(F.col("p_size") % 3 == 1, F.array("p_brand")).otherwise(F.array("p_name"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), O.option_label(option).alias("label"))
 
 
 @book.query("SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN [p_brand] ELSE [p_brand, p_type] END AS states FROM part")
 def h17_on_states(spark, sf_dir):
     names = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Off"), "p_brand")).otherwise(F.array("p_brand", "p_type"))
-    states = F.map_from_arrays(names, F.transform(names, lambda _: F.lit(1)))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.array_remove(F.map_keys(states), "Off").alias("states"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), O.on_states(F.map_from_arrays(names, names)).alias("states"))
 
 
-_SCOPES = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+_LISTED = "('ECONOMY', 'PROMO')"
 
 
-@book.query(f"SELECT o_orderkey AS field, CASE WHEN {_SCOPES} THEN 'only' WHEN o_orderstatus = 'P' THEN 'all' ELSE 'except' END AS scope FROM orders")
+@book.query(f"SELECT p_partkey AS k, s.scope FROM part, (SELECT 'all' AS scope UNION ALL SELECT 'only' UNION ALL SELECT 'except') s WHERE s.scope = 'all' OR (s.scope = 'only') = (p_type IN {_LISTED})")
 def g07_reset_scope(spark, sf_dir):
-    scope = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "only").when(F.col("o_orderstatus") == "P", "all").otherwise("except")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("field"), scope.alias("scope"))
+    """Fields in each kind of scope over two names."""
+    names = spark.createDataFrame([("ECONOMY",), ("PROMO",)], "name string")
+    parts = [O.in_scope(_parts(spark, sf_dir), scope, names).select("k", F.lit(scope).alias("scope")) for scope in (O.ALL, O.ONLY, O.EXCEPT)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @book.query("SELECT o_orderkey AS button, CASE WHEN o_custkey % 4 = 0 THEN 'all' WHEN (o_custkey & 1) = 0 THEN 'only' ELSE 'except' END AS scope FROM orders")
 def g08_scope_of_button(spark, sf_dir):
-    """No names: everything; else the lowest flag bit says only these or all but these."""
-    names = F.when(F.col("o_custkey") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("o_orderstatus"))
-    scope = F.when(F.size(names) == 0, "all").when(F.col("o_custkey").bitwiseAND(F.lit(1)) == 0, "only").otherwise("except")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("button"), scope.alias("scope"))
+    names = F.when(F.col("o_custkey") % 4 != 0, F.array("o_orderstatus"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("button"), O.reset_scope(names, F.col("o_custkey")).alias("scope"))
 
 
-@book.query(f"SELECT o_orderkey AS field, CASE WHEN {_SCOPES} THEN o_orderstatus ELSE o_orderpriority END AS value FROM orders")
+@book.query(f"SELECT p_partkey AS k, CASE WHEN p_type NOT IN {_LISTED} THEN p_name WHEN {_FT} = 'Sig' THEN NULL WHEN p_size % 2 = 0 THEN p_brand WHEN {_FT} = 'Btn' THEN 'Off' ELSE '' END AS value FROM part")
 def g09_reset_in_scope(spark, sf_dir):
-    """Fields of the named priorities go back to their default, the status."""
-    fields = table(spark, sf_dir, "orders")
-    names = spark.createDataFrame([("1-URGENT",), ("2-HIGH",)], "o_orderpriority string").withColumn("listed", F.lit(True))
-    return fields.join(F.broadcast(names), "o_orderpriority", "left").select(F.col("o_orderkey").alias("field"), F.when(F.col("listed"), F.col("o_orderstatus")).otherwise(F.col("o_orderpriority")).alias("value"))
+    """Only the named fields go back to their default."""
+    names = spark.createDataFrame([("ECONOMY",), ("PROMO",)], "name string")
+    return O.reset(_parts(spark, sf_dir), O.ONLY, names).select("k", "value")
 
 
 @book.query(f"SELECT p_partkey AS k, CASE {_FT} WHEN 'Btn' THEN CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'Off' END WHEN 'Sig' THEN NULL ELSE CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END END AS value FROM part")
 def g10_reset_field(spark, sf_dir):
-    """The default, else Off for a button, nothing for a signature and an empty text."""
-    ft = F.element_at(F.array(*[F.lit(x) for x in ("Tx", "Ch", "Btn", "Sig", "Zz")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    default = F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))
-    value = F.when(ft == "Btn", F.coalesce(default, F.lit("Off"))).when(ft == "Sig", F.lit(None)).otherwise(F.coalesce(default, F.lit("")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), value.alias("value"))
+    return O.reset(_parts(spark, sf_dir), O.ALL).select("k", "value")
 
 
-@book.query("SELECT l_orderkey AS field, l_linenumber AS kid, CASE WHEN l_linenumber = 2 THEN 'On' ELSE 'Off' END AS state FROM lineitem")
+@book.query("SELECT l_orderkey AS field, l_linenumber AS kid, CASE WHEN l_linenumber % 3 = l_orderkey % 3 THEN 'v' || l_orderkey % 3 ELSE 'Off' END AS state FROM lineitem")
 def g11_radio_states(spark, sf_dir):
-    """The kid that bears the value is on, its siblings are off."""
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("field"), F.col("l_linenumber").alias("kid"), F.when(F.col("l_linenumber") == 2, "On").otherwise("Off").alias("state"))
+    """The kids that bear the value are on, their siblings are off."""
+    name = lambda c: F.concat(F.lit("v"), (F.col(c) % 3).cast("string"))
+    rows = table(spark, sf_dir, "lineitem")
+    kids = rows.select(F.col("l_orderkey").alias("field"), F.col("l_linenumber").alias("kid"), F.array(F.lit("Off"), name("l_linenumber")).alias("states"))
+    values = rows.select(F.col("l_orderkey").alias("field"), name("l_orderkey").alias("value")).distinct()
+    return O.button_states(kids, values).select("field", "kid", "state")
 
 
 @book.query("SELECT c_custkey AS field, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN s_name END, c_name) AS value FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
 def g12_set_values(spark, sf_dir):
     """A keyed update: new values where there are some."""
-    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_name").alias("new"))
-    return table(spark, sf_dir, "customer").join(new, "c_custkey", "left").select(F.col("c_custkey").alias("field"), F.coalesce("new", "c_name").alias("value"))
+    fields = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_name").alias("value"))
+    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_name").alias("value")).join(fields.select("name"), "name", "left_semi")
+    return O.set_values(fields, new).select(F.col("name").alias("field"), "value")
 
 
 @book.query("SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN [p_brand, p_type] ELSE [p_name, p_brand, p_type] END AS options FROM part")
 def g45_dropdown_options(spark, sf_dir):
     current = F.when(F.col("p_size") % 4 == 0, F.col("p_type")).otherwise(F.col("p_name"))
-    options = F.array("p_brand", "p_type")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(F.array_contains(options, current), options).otherwise(F.array_prepend(options, current)).alias("options"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), O.offered(F.array("p_brand", "p_type"), current).alias("options"))
 
 
 _DAS = ("/Helv 12 Tf 0 g", "0.5 g /TiRo 9.5 Tf", "1 0 0 rg", "/Cour 8 Tf 0 0 0 1 k 0 1 0 rg", "Tf g", "/Zz x Tf 0.2 0.4 0.6 0.5 k")
@@ -237,16 +244,6 @@ def h11_appearance_style(spark, sf_dir):
 @book.query("SELECT p_partkey AS k, '0.5 w 0 G' || chr(10) || '0.50 0.50 ' || printf('%.2f', greatest(p_size * 10.0::DOUBLE - 1.0, 0.0)) || ' 19.00 re S' || chr(10) || '1.5 w 1 J 1 j' || chr(10) || printf('%.2f', 0.25 * (p_size * 10.0::DOUBLE)) || ' 10.00 m' || chr(10) || printf('%.2f', 0.75 * (p_size * 10.0::DOUBLE)) || ' 5.00 l' || chr(10) || 'S' || chr(10) || printf('%.2f', 0.5 * (p_size * 10.0::DOUBLE)) || ' 15.00 m' || chr(10) || printf('%.2f', 0.5 * (p_size * 10.0::DOUBLE)) || ' 15.00 l' || chr(10) || 'S' || chr(10) AS drawing FROM part")
 def h29_signature_appearance(spark, sf_dir):
     """Two strokes in a box as wide as the part is large: a line and a dot."""
-    w, h = F.col("p_size") * 10.0, F.lit(20.0)
     point = lambda x, y: F.array(F.lit(x), F.lit(y))
     strokes = F.array(F.array(point(0.25, 0.5), point(0.75, 0.75)), F.array(point(0.5, 0.25)))
-    at = lambda p: F.format_string("%.2f %.2f", p[0] * w, (F.lit(1.0) - p[1]) * h)
-
-    def stroke(s):
-        first = F.concat(at(s[0]), F.lit(" m\n"), F.when(F.size(s) == 1, F.concat(at(s[0]), F.lit(" l\n"))).otherwise(""))
-        rest = F.array_join(F.transform(F.slice(s, F.lit(2), F.size(s)), lambda p: F.concat(at(p), F.lit(" l\n"))), "")
-        return F.concat(first, rest, F.lit("S\n"))
-
-    border = F.format_string("0.5 w 0 G\n0.50 0.50 %.2f %.2f re S\n1.5 w 1 J 1 j\n", F.greatest(w - 1.0, F.lit(0.0)), F.greatest(h - 1.0, F.lit(0.0)))
-    drawing = F.concat(border, F.array_join(F.transform(F.filter(strokes, lambda s: F.size(s) > 0), stroke), ""))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), drawing.alias("drawing"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), O.signature_drawing(strokes, F.col("p_size") * 10.0, F.lit(20.0)).alias("drawing"))
