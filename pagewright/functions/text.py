@@ -23,13 +23,21 @@ def count_literal(text: Column, needle: str, match_case: bool = False) -> Column
     if not needle:
         return F.lit(0)
     text, needle = (text, needle) if match_case else (F.lower(text), needle.lower())
-    return F.size(F.split(text, r"\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E", -1)) - 1
+    return F.size(F.split(text, _quoted(needle), -1)) - 1
 
 
-def count_words(text: Column, word: str, match_case: bool = False) -> Column:
-    """Occurrences of a word among the runs of letters and digits."""
-    text, word = (text, word) if match_case else (F.lower(text), word.lower())
-    return F.size(F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: w == word))
+def _quoted(needle: str) -> str:
+    """A pattern that matches just the needle."""
+    return r"\Q" + needle.replace(r"\E", r"\E\\E\Q") + r"\E"
+
+
+def count_words(text: Column, query: str, match_case: bool = False) -> Column:
+    """Non-overlapping occurrences of a query, of one word or several, that neither begin nor
+    end inside a run of letters and digits."""
+    if not query:
+        return F.lit(0)
+    text, query = (text, query) if match_case else (F.lower(text), query.lower())
+    return F.regexp_count(text, F.lit(rf"(?<![\p{{L}}\p{{N}}]){_quoted(query)}(?![\p{{L}}\p{{N}}])"))
 
 
 def line_regex(pattern: str) -> str:
@@ -102,6 +110,22 @@ def pdfua(xmp: Column) -> Column:
 FAMILIES = {"pdfa": pdfa, "pdfx": pdfx, "pdfe": pdfe, "pdfua": pdfua}
 
 
+def known_schemas(xmp: Column) -> Column:
+    """The known families whose schema is named, in their order."""
+    return F.filter(F.array(*[F.lit(t) for t in FAMILIES]), lambda t: F.contains(xmp, F.concat(F.lit("/"), t, F.lit("/ns/id/"))))
+
+
+def updated(entries: Column, changes: Column) -> Column:
+    """A map with the entries of another put in or in place of its own."""
+    return F.map_concat(F.map_filter(entries, lambda k, _: ~F.map_contains_key(changes, k)), changes)
+
+
+def differs(entries: Column, edited: Column, keys: tuple[str, ...]) -> Column:
+    """Any of the keys has another value; an absent one is empty."""
+    value = lambda m, k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))
+    return F.exists(F.array(*[value(entries, k) != value(edited, k) for k in keys]), lambda x: x)
+
+
 def unknown_schemas(xmp: Column) -> Column:
     """Tokens before /ns/id/ of no known family, distinct, as first seen."""
     tokens = F.array_distinct(F.regexp_extract_all(xmp, F.lit("(?<=/)([^/]+)/ns/id/"), F.lit(1)))

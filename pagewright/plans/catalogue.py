@@ -6,7 +6,7 @@ import importlib
 
 from .registry import Query
 
-NAMES = ("search", "pages", "geometry", "overlap", "labels", "viewer", "forms", "images", "metadata", "folds", "notes", "parsing")
+NAMES = ("search", "pages", "geometry", "overlap", "labels", "viewer", "forms", "images", "metadata", "redaction", "folds", "notes", "parsing")
 BOOKS = tuple(importlib.import_module(f"{__package__}.{name}").book for name in NAMES)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import binary as B
 from ..functions import text as T
+from ..operators import fields as O
+from ..operators import scrub as R
+from ..shipping import ship
 from .labels import _pick, _pick_sql
 from .registry import Book, table
 
@@ -57,55 +59,20 @@ def b04_matching_field_rows(spark, sf_dir):
     return b03_matching_fields(spark, sf_dir).select("doc_id", F.explode("fields").alias("field"))
 
 
-@book.query(f"SELECT doc_id, NOT (Title = c_name AND Author = 'BUILDING') AS dirty FROM {_INFO} JOIN customer ON doc_id = c_custkey")
+@book.query(f"SELECT doc_id, Author <> 'BUILDING' OR coalesce(Creator, '') <> '' AS dirty FROM {_INFO}")
 def b31_dirty(spark, sf_dir):
-    edited = F.struct(_entry("Title").alias("t"), F.lit("BUILDING").alias("a"))
-    return info(spark, sf_dir).select("doc_id", (~(edited["t"].eqNullSafe(_entry("Title")) & edited["a"].eqNullSafe(_entry("Author")))).alias("dirty"))
+    """Edited so that the author is BUILDING and there is no creator."""
+    edited = T.updated(F.col("info"), F.create_map(F.lit("Author"), F.lit("BUILDING"), F.lit("Creator"), F.lit("")))
+    return info(spark, sf_dir).select("doc_id", T.differs(F.col("info"), edited, FIELDS).alias("dirty"))
 
 
 @book.query(f"SELECT doc_id, 'New' AS title, Author AS author, coalesce(Creator, '') AS creator FROM {_INFO}")
 def g14_write_metadata(spark, sf_dir):
     """New entries win, the others stay."""
-    old = F.map_filter("info", lambda k, _: ~k.isin("Title"))
-    new = info(spark, sf_dir).withColumn("info", F.map_concat(old, F.create_map(F.lit("Title"), F.lit("New"))))
+    new = info(spark, sf_dir).withColumn("info", T.updated(F.col("info"), F.create_map(F.lit("Title"), F.lit("New"))))
     return new.select("doc_id", _entry("Title").alias("title"), _entry("Author").alias("author"), _entry("Creator").alias("creator"))
 
 
-@book.query(f"SELECT doc_id, CAST((Title IS NOT NULL)::INT + (Author IS NOT NULL)::INT + (Subject IS NOT NULL)::INT + (Keywords IS NOT NULL)::INT + (Creator IS NOT NULL)::INT - len({_MATCHED}) AS INTEGER) AS kept FROM {_INFO}")
-def g33_scrub_info(spark, sf_dir):
-    wanted = T.needles(_QUERIES)
-    left = F.map_filter("info", lambda _, v: ~T.contains_any(v, wanted)) if wanted else F.create_map().cast("map<string,string>")
-    return info(spark, sf_dir).select("doc_id", F.size(left).alias("kept"))
-
-
-@book.query(f"SELECT doc_id, 'info' AS violation FROM {_INFO} WHERE len({_MATCHED}) > 0 UNION ALL SELECT c_custkey, 'form' FROM customer WHERE c_nationkey = 7")
-def g35_postconditions(spark, sf_dir):
-    """One row per forbidden thing that is still there; the write gate wants none."""
-    docs = info(spark, sf_dir)
-    leaking = docs.where(F.exists(F.map_values("info"), lambda v: T.contains_any(v, T.needles(_QUERIES)))).select("doc_id", F.lit("info").alias("violation"))
-    forms = table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.col("c_custkey").alias("doc_id"), F.lit("form").alias("violation"))
-    return leaking.unionByName(forms)
-
-
-@book.query("SELECT c_custkey AS doc_id, list_sort(list_filter(['Pages', 'Type', CASE WHEN c_nationkey % 2 = 0 THEN 'Lang' END], lambda k: k IS NOT NULL)) AS keys FROM customer")
-def g30_strip_extras(spark, sf_dir):
-    """Named keys of the catalogue go, the rest stays."""
-    extras = ("Metadata", "StructTreeRoot", "PieceInfo", "OpenAction")
-    keys = F.array(F.lit("Type"), F.lit("Pages"), F.lit("Metadata"), F.lit("OpenAction"))
-    keys = F.when(F.col("c_nationkey") % 2 == 0, F.array_append(keys, F.lit("Lang"))).otherwise(keys)
-    catalogue = F.map_from_arrays(keys, F.transform(keys, lambda k: k))
-    left = F.map_filter(catalogue, lambda k, _: ~k.isin(*extras))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.array_sort(F.map_keys(left)).alias("keys"))
-
-
-@book.query(f"SELECT doc_id, CAST((Title IS NOT NULL)::INT + (Author IS NOT NULL)::INT + (Subject IS NOT NULL)::INT + (Keywords IS NOT NULL)::INT - len(list_filter({_MATCHED}, lambda x: x <> 'Creator')) AS INTEGER) AS kept FROM {_INFO}")
-def g34_scrub_chain(spark, sf_dir):
-    """Several scrubs one after the other: the creator goes, then whatever matches."""
-    wanted = T.needles(_QUERIES)
-    scrubs = [lambda df: df.withColumn("info", F.map_filter("info", lambda k, _: k != "Creator")), lambda df: df.withColumn("info", F.map_filter("info", lambda _, v: ~T.contains_any(v, wanted)))]
-    return reduce(lambda df, s: df.transform(s), scrubs, info(spark, sf_dir)).select("doc_id", F.size("info").alias("kept"))
-
-
 @book.query("SELECT conv_id AS doc_id, turn AS page, regexp_replace(text, '(?i)tion', '████', 'g') AS redacted, NOT regexp_matches(text, '(?i)tion') AS untouched FROM conversations")
 def g37_redact_text(spark, sf_dir):
     """Matches blacked out; the result is searched again, and a hit fails the job."""
@@ -116,8 +83,8 @@ def g37_redact_text(spark, sf_dir):
 @book.query("SELECT doc_id, toxic = 0 AND quality = 1 AS verified FROM labels")
 def d13_verified(spark, sf_dir):
     """No leaks and no violations."""
-    leaks = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("leaks"), (1 - F.col("quality")).alias("violations"))
-    return leaks.select("doc_id", ((F.col("leaks") == 0) & (F.col("violations") == 0)).alias("verified"))
+    labels = table(spark, sf_dir, "labels")
+    return R.verified(labels.select("doc_id"), labels.where("toxic = 1").select("doc_id"), labels.where("quality = 0").select("doc_id")).select("doc_id", "verified")
 
 
 _XMPS = (
@@ -212,49 +179,44 @@ def h73_decode_padded(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), T.pdf_string(odd, pad=True).alias("decoded"))
 
 
-@book.query("SELECT doc_id, sha256(substr(text, 1, 50) || substr(text, 81, 40)) AS digest FROM documents WHERE length(text) >= 120 AND octet_length(encode(text)) = length(text)")
+@book.query("SELECT doc_id, lower(sha256(unhex(substr(hex(encode(text)), 1, 100) || substr(hex(encode(text)), 161, 80)))) AS digest FROM documents WHERE octet_length(encode(text)) >= 120 UNION ALL SELECT doc_id, NULL FROM documents WHERE octet_length(encode(text)) < 120 OR text IS NULL")
 def d23_digest_byte_range(spark, sf_dir):
-    """Two spans of the bytes; spans past the end have no digest."""
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text")).withColumn("raw", F.encode("text", "UTF-8"))
-    digest = F.when(F.octet_length("raw") >= 120, F.sha2(F.concat(F.substring("raw", 1, 50), F.substring("raw", 81, 40)), 256))
-    return docs.select("doc_id", digest.alias("digest")).where("digest IS NOT NULL")
-
-
-@book.query("SELECT doc_id, CASE WHEN octet_length(encode(text)) >= 120 THEN sha256(unhex(substr(hex(encode(text)), 1, 100) || substr(hex(encode(text)), 161, 80))) END AS digest FROM documents")
-def d23_digest_byte_range_all(spark, sf_dir):
-    """d23 on the bytes of every document; null where a span passes the end."""
-    docs = table(spark, sf_dir, "documents").withColumn("raw", F.encode("text", "UTF-8"))
-    digest = F.when(F.octet_length("raw") >= 120, F.sha2(F.concat(F.substring("raw", 1, 50), F.substring("raw", 81, 40)), 256))
-    return docs.select("doc_id", digest.alias("digest"))
+    """Two spans of the bytes of every document; spans past the end have no digest."""
+    ship(spark)
+    digest = B.over(lambda raw: B.digest_spans(raw, [0, 50, 80, 40], "sha256"), "binary")
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(digest(F.encode("text", "UTF-8")))).alias("digest"))
 
 
 @book.query("SELECT l_orderkey AS k, l_linenumber AS n, l_partkey + l_suppkey AS covered, l_partkey + l_suppkey < 300 AS appended FROM lineitem")
 def h51_coverage_end(spark, sf_dir):
-    ranges = F.array(F.lit(0).cast("long"), F.lit(10).cast("long"), F.col("l_partkey"), F.col("l_suppkey"))
-    end = F.element_at(ranges, 3) + F.element_at(ranges, 4)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), end.alias("covered"), (end < 300).alias("appended"))
+    spans = F.array(F.lit(0).cast("long"), F.lit(10).cast("long"), F.col("l_partkey"), F.col("l_suppkey"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), O.coverage_end(spans).alias("covered"), O.appended(spans, F.lit(300)).alias("appended"))
 
 
 @book.query("SELECT l_orderkey AS k, l_linenumber AS n, l_linenumber <> 3 AND l_partkey - 50 >= 0 AS valid FROM lineitem")
 def h50_read_byte_range(spark, sf_dir):
-    """Four numbers, none negative."""
     numbers = F.array(F.lit(0).cast("long"), F.lit(10).cast("long"), F.col("l_partkey") - 50)
     numbers = F.when(F.col("l_linenumber") != 3, F.array_append(numbers, F.col("l_suppkey"))).otherwise(numbers)
-    valid = (F.size(numbers) == 4) & F.forall(numbers, lambda x: x >= 0)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), valid.alias("valid"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), O.byte_range(numbers).isNotNull().alias("valid"))
+
 
-book.queries["g15_set_metadata"], book.sql["g15_set_metadata"] = g14_write_metadata, book.sql["g14_write_metadata"]
-book.queries["j03_known_families"], book.sql["j03_known_families"] = h02_claims, book.sql["h02_claims"]
+_PATCH = "(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Set ' || doc_id END AS Title, CASE WHEN doc_id % 3 = 0 THEN '' END AS Subject FROM (SELECT c_custkey AS doc_id FROM customer))"
 
 
-#: Keys of a page that an image in its place makes void.
-PAGE_KEYS = ("Annots", "Thumb", "BleedBox", "TrimBox", "ArtBox", "Group", "B", "AA", "StructParents", "Metadata", "PieceInfo", "AF")
+@book.query(f"SELECT i.doc_id, coalesce(p.Title, i.Title) AS title, i.Author AS author, coalesce(p.Subject, i.Subject) AS subject, coalesce(i.Creator, '') AS creator FROM {_INFO} i JOIN {_PATCH} p USING (doc_id)")
+def g15_set_metadata(spark, sf_dir):
+    """A table of changes applied by key: entries given win, also empty ones; the others stay."""
+    key = F.col("c_custkey")
+    given = F.map_from_arrays(F.array(F.lit("Title"), F.lit("Subject")), F.array(F.when(key % 2 == 0, F.concat(F.lit("Set "), key.cast("string"))), F.when(key % 3 == 0, "")))
+    changes = table(spark, sf_dir, "customer").select(key.alias("doc_id"), F.map_filter(given, lambda _, v: v.isNotNull()).alias("changes"))
+    rows = info(spark, sf_dir).join(changes, "doc_id").withColumn("info", T.updated(F.col("info"), F.col("changes")))
+    return rows.select("doc_id", *[_entry(f).alias(f.lower()) for f in ("Title", "Author", "Subject", "Creator")])
 
 
-@book.query("SELECT p_partkey AS k, list_filter(['Type', 'MediaBox', CASE WHEN p_size % 2 = 0 THEN 'Rotate' END], lambda x: x IS NOT NULL) AS keys FROM part")
-def g36_replaced_page_keys(spark, sf_dir):
-    """What is left of a page's dictionary when its content becomes one picture."""
-    keys = F.array(*[F.lit(x) for x in ("Type", "MediaBox", *PAGE_KEYS)])
-    keys = F.when(F.col("p_size") % 2 == 0, F.array_append(keys, F.lit("Rotate"))).otherwise(keys)
-    page = F.map_filter(F.map_from_arrays(keys, keys), lambda k, _: ~k.isin(*PAGE_KEYS))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.map_keys(page).alias("keys"))
+@book.query("SELECT page_id AS k, list_filter(['pdfa', 'pdfx', 'pdfe', 'pdfua'], lambda t: page_id % (2 + length(t)) = 0) AS known FROM pages")
+def j03_known_families(spark, sf_dir):
+    """Which of the known families' schemas a text names: those that are not unknown."""
+    named = F.array(*[F.when(F.col("page_id") % (2 + len(t)) == 0, F.lit(t)) for t in T.FAMILIES])
+    xmp = F.concat(F.lit("http://x/other/ns/id/ "), F.array_join(F.transform(F.filter(named, lambda t: t.isNotNull()), lambda t: F.concat(F.lit("http://x/"), t, F.lit("/ns/id/"))), " "))
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("k"), T.known_schemas(xmp).alias("known"), T.unknown_schemas(xmp).alias("unknown"))
+    return rows.where(F.assert_true(F.array_join("unknown", ",") == "other").isNull()).select("k", "known")
