@@ -6,14 +6,19 @@ A parser takes bytes and returns a value or None for what it can't read; it neve
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-#: Order in which a quantisation table is stored.
-ZIGZAG = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+# Order in which a quantisation table is stored, as places row by row.
+ZIGZAG = (
+    0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28,
+    35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63,
+)
 #: The standard luminance table, row by row.
 STANDARD_LUMINANCE = (
     16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62,
@@ -45,53 +50,63 @@ def inflate(data: bytes) -> bytes | None:
     return None
 
 
-def quantisation_tables(segment: bytes) -> dict[int, list[int]] | None:
-    """Tables of a segment by number, in row order."""
-    found, at = {}, 0
+def quantisation_table(segment: bytes, wanted: int = 0) -> list[int] | None:
+    """The first table of that number in a segment, in row order; None if there is none
+    before the segment ends or breaks off."""
+    at = 0
     while at < len(segment):
-        wide, number = segment[at] >> 4, segment[at] & 15
-        size = 128 if wide else 64
-        body = segment[at + 1 : at + 1 + size]
-        if wide > 1 or len(body) < size:
+        kind, number = divmod(segment[at], 16)
+        body = segment[at + 1 : at + (129 if kind else 65)]
+        if len(body) < (128 if kind else 64):
             return None
-        values = np.frombuffer(body, dtype=">u2" if wide else "u1").tolist()
-        table = [0] * 64
-        for value, place in zip(values, ZIGZAG):
-            table[place] = value
-        found[number] = table
-        at += 1 + size
-    return found
+        if number == wanted:
+            values = np.frombuffer(body, dtype=">u2" if kind else "u1")
+            table = np.zeros(64, dtype=np.int64)
+            table[list(ZIGZAG)] = values
+            return table.tolist()
+        at += 1 + len(body)
+    return None
+
+
+#: A marker of a JPEG with whatever stands before it: bytes that are none are passed over, and
+#: any number of fill bytes may be in front of it.
+_MARKER = re.compile(rb"\xff+([^\xff])", re.DOTALL)
+#: Markers without contents, and those after which no table comes.
+_ALONE, _LAST = {0x01, 0xD8, *range(0xD0, 0xD8)}, {0xD9, 0xDA}
+
+
+def segments(jpeg: bytes) -> Iterator[tuple[int, bytes]]:
+    """Marker and contents of the segments before the scan, as far as they are whole."""
+    at = 2
+    while found := _MARKER.search(jpeg, at):
+        marker, at = found[1][0], found.end()
+        if marker in _ALONE:
+            continue
+        size = int.from_bytes(jpeg[at : at + 2], "big")
+        if marker in _LAST or size < 2 or at + size > len(jpeg):
+            return
+        yield marker, jpeg[at + 2 : at + size]
+        at += size
 
 
 def luminance_table(jpeg: bytes) -> list[int] | None:
-    """Table 0 of a JPEG, looked for marker by marker before the scan begins."""
-    if jpeg[:2] != b"\xff\xd8":
+    """The first table 0 of a JPEG."""
+    if not jpeg.startswith(b"\xff\xd8"):
         return None
-    at, found = 2, None
-    while at + 4 <= len(jpeg) and jpeg[at] == 0xFF:
-        marker, size = jpeg[at + 1], int.from_bytes(jpeg[at + 2 : at + 4], "big")
-        if marker == 0xFF:
-            at += 1
-            continue
-        if marker == 0xDA or size < 2:
-            break
-        if marker == 0xDB and (tables := quantisation_tables(jpeg[at + 4 : at + 2 + size])) and 0 in tables:
-            found = tables[0]
-        at += 2 + size
-    return found
+    tables = (quantisation_table(body) for marker, body in segments(jpeg) if marker == 0xDB)
+    return next((t for t in tables if t is not None), None)
 
 
 def jpeg_quality(jpeg: bytes) -> float | None:
-    """The quality dial that scales the standard table to the one found, by its unclamped entries."""
+    """The quality dial that scales the standard table to the one found. Entries are
+    (standard * scale + 50) / 100, cut to 1..255; those that may have been cut tell nothing, and
+    where there are no others there is no answer."""
     table = luminance_table(jpeg)
-    if table is None:
-        return None
-    scales = [100.0 * t / s for t, s in zip(table, STANDARD_LUMINANCE) if 1 < t < 255]
+    scales = [(100.0 * t - 50.0) / s for t, s in zip(table or (), STANDARD_LUMINANCE) if 1 < t < 255]
     if not scales:
-        return 100.0 if max(table) <= 1 else 1.0
+        return None
     scale = sum(scales) / len(scales)
-    quality = (200.0 - scale) / 2.0 if scale <= 100.0 else 5000.0 / scale
-    return min(100.0, max(1.0, quality))
+    return min(100.0, max(1.0, (200.0 - scale) / 2.0 if scale <= 100.0 else 5000.0 / scale))
 
 
 def ber_end(data: bytes, at: int = 0, depth: int = 0) -> int | None:

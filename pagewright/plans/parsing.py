@@ -53,30 +53,41 @@ def h47_octet_string(spark, sf_dir):
 
 
 def _jpegs(spark, sf_dir):
-    """Heads of JPEG files whose table 0 is the part's size 64 times over."""
+    """Heads of JPEG files with fill bytes, a marker without contents, a table 1, a table 0 whose
+    entries are the part's size plus their place, and another table 0."""
     ship(spark)
-    size = F.lpad(F.hex("p_size"), 2, "0")
-    head = F.concat(F.lit("FFD8FFE00004AAAA" + "FFDB004300"), F.repeat(size, F.lit(64)), F.lit("FFDA0002"))
+    entry = lambda i: F.lpad(F.hex((F.col("p_size") + i).cast("long")), 2, "0")
+    entries = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), entry), "")
+    head = F.concat(F.lit("FFD8FFE00004AAAA" + "00FFFFFFD0" + "FFDB008401" + "07" * 64 + "00"), entries, F.lit("FFDB004300" + "09" * 64 + "FFDA0002"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.unhex(head).alias("jpeg"))
 
 
-@book.query("SELECT p_partkey AS k, list_transform(range(64), lambda x: p_size) AS entries FROM part")
+#: Places row by row of the stored order, for SQL: diagonal by diagonal, up and down in turn.
+_PLACES = "(SELECT r, c, row_number() OVER (ORDER BY r + c, CASE WHEN (r + c) % 2 = 1 THEN r ELSE c END) - 1 AS i FROM (SELECT unnest(range(8)) AS r), (SELECT unnest(range(8)) AS c))"
+
+
+@book.query(f"SELECT p_partkey AS k, list(CAST(p_size + i AS INTEGER) ORDER BY r, c) AS entries FROM part, {_PLACES} GROUP BY p_partkey")
 def h42_luminance_table(spark, sf_dir):
     return _jpegs(spark, sf_dir).select("k", B.over(B.luminance_table, "array<int>")("jpeg").alias("entries"))
 
 
-@book.query("SELECT r_regionkey AS k, 64 AS n, 63 AS last FROM region")
+@book.query(f"SELECT p_partkey AS k, CASE WHEN p_size % 3 <> 2 THEN list(CAST(CASE WHEN p_size % 3 = 0 THEN p_size + i ELSE 256 * p_size + i END AS INTEGER) ORDER BY r, c) END AS entries FROM part, {_PLACES} GROUP BY p_partkey, p_size")
 def h43_quantisation_table(spark, sf_dir):
-    """Entries 0 to 63 in stored order: the last stays last."""
+    """Segments of entries of one byte, of two bytes, and cut off."""
     ship(spark)
-    body = bytes([0, *range(64)])
-    last = B.over(lambda seg: (B.quantisation_tables(bytes(seg)) or {}).get(0, [None] * 64), "array<int>")
-    return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), last(F.lit(body)).alias("t")).select("k", F.size("t").alias("n"), F.element_at("t", 64).alias("last"))
+    wide, cut = F.col("p_size") % 3 == 1, F.col("p_size") % 3 == 2
+    entry = lambda i: F.when(wide, F.concat(F.lpad(F.hex("p_size"), 2, "0"), F.lpad(F.hex(i.cast("long")), 2, "0"))).otherwise(F.lpad(F.hex((F.col("p_size") + i).cast("long")), 2, "0"))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), entry), "")
+    segment = F.concat(F.when(wide, "10").otherwise("00"), F.when(cut, F.substring(body, 1, 126)).otherwise(body))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), B.over(B.quantisation_table, "array<int>")(F.unhex(segment)).alias("entries"))
+
 
+_STANDARD = "[" + ", ".join(map(str, B.STANDARD_LUMINANCE)) + "]"
 
-@book.query()
+
+@book.query(f"""WITH s AS (SELECT p_partkey AS k, avg((100.0::DOUBLE * (p_size + i) - 50.0::DOUBLE) / ({_STANDARD})[CAST(r * 8 + c + 1 AS INTEGER)]) FILTER (p_size + i BETWEEN 2 AND 254) AS scale FROM part, {_PLACES} GROUP BY p_partkey)
+    SELECT k, round(least(greatest(CASE WHEN scale <= 100 THEN (200 - scale) / 2 ELSE 5000 / scale END, 1), 100), 6) AS quality FROM s""")
 def d10_jpeg_quality(spark, sf_dir):
-    """An average over ratios; held against a scaled standard table in the tests."""
     return _jpegs(spark, sf_dir).select("k", F.round(B.over(B.jpeg_quality, "double")("jpeg"), 6).alias("quality"))
 
 
@@ -110,10 +121,15 @@ def h26_burn_regions(spark, sf_dir):
     return _pixels(spark, sf_dir).select("k", F.substring(burnt, 9, 8).alias("burnt"), F.substring(burnt, 1, 8).alias("kept"))
 
 
-@book.query("SELECT n_nationkey AS k, [0, 0, 8, 8]::INTEGER[] AS box FROM nation")
+@book.query("SELECT n_nationkey AS k, [n_nationkey % 5, n_nationkey // 5, n_nationkey % 5 + 2 + n_nationkey % 2, n_nationkey // 5 + 3]::INTEGER[] AS box FROM nation")
 def d06_ink_box(spark, sf_dir):
-    """Every row and column of these pictures has dark pixels."""
-    return _pixels(spark, sf_dir).select("k", B.over(lambda p: B.ink_box(p, 8), "array<int>")("pixels").alias("box"))
+    """White pictures of 8 x 8 pixels with a dark rectangle somewhere, and, in most, a dark pixel alone."""
+    ship(spark)
+    x, y, k = F.col("n_nationkey") % 5, F.floor(F.col("n_nationkey") / 5), F.col("n_nationkey")
+    dark = lambda i: ((i % 8).between(x, x + 1 + k % 2) & F.floor(i / 8).between(y, y + 2)) | (i == F.when((x >= 2) & (y >= 2), 0).when((x <= 3) & (y <= 2), 63).otherwise(-1))
+    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(dark(i), "FF40FFFF").otherwise("FFFFFFFF")), "")
+    rows = table(spark, sf_dir, "nation").select(k.alias("k"), F.unhex(pixels).alias("pixels"))
+    return rows.select("k", B.over(lambda p: B.ink_box(p, 8), "array<int>")("pixels").alias("box"))
 
 
 @book.query("SELECT n_nationkey AS k, 2.0::DOUBLE * (n_nationkey + 1) AS width FROM nation")
