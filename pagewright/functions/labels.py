@@ -150,15 +150,29 @@ def quadding(q: Column) -> Column:
 
 
 def pdf_date(raw: Column) -> Column:
-    """A PDF date as text, its offset kept; anything else unchanged."""
-    s = F.regexp_replace(raw, "^D:", "")
-    pattern = r"^(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(?:([Z+-])(\d{2})?'?(\d{2})?'?)?"
-    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(s, pattern, i), F.lit("")), F.lit(default))
-    month = part(2, "01").cast("int")
-    day = F.concat(F.get(F.array(*[F.lit(m) for m in MONTHS]), month - 1), F.lit(" "), part(3, "01").cast("int").cast("string"), F.lit(", "), part(1, ""))
-    zone = F.when(part(7, "") == "Z", " UTC").when(part(7, "") != "", F.concat(F.lit(" UTC"), part(7, ""), part(8, "00"), F.lit(":"), part(9, "00"))).otherwise("")
-    clock = F.when(part(4, "") != "", F.concat(F.lit(" at "), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00"), zone)).otherwise("")
-    return F.when((part(1, "") == "") | (month < 1) | (month > 12), raw).otherwise(F.concat(day, clock))
+    """A PDF date as text, its offset kept; anything else unchanged.
+
+    A date is a year of four digits and up to five more numbers of two; what comes after them
+    may be the offset from UTC: a sign or Z, hours, and minutes set off by apostrophes.
+    """
+    s = date_body(raw)
+    digits = F.least(F.length(F.regexp_extract(s, "^[0-9]*", 0)), F.lit(14))
+    numbers = F.floor((digits - 4) / 2).cast("int")  # after the year
+    two = lambda at: F.substring(s, at, F.lit(2))
+    number = lambda k, default: F.when(numbers >= k, two(F.lit(3 + 2 * k))).otherwise(default)
+    month = number(1, "01").cast("int")
+    day = F.concat(F.get(F.array(*[F.lit(m) for m in MONTHS]), month - 1), F.lit(" "), number(2, "01").cast("int").cast("string"), F.lit(", "), F.substring(s, 1, 4))
+    after = 5 + 2 * numbers
+    sign = F.substring(s, after, F.lit(1))
+    whole = lambda x: F.rlike(x, F.lit("^[0-9]{2}$"))
+    hours = F.when(whole(two(after + 1)), two(after + 1))
+    rest = after + 1 + F.when(hours.isNull(), 0).otherwise(2)
+    rest = rest + F.when(F.substring(s, rest, F.lit(1)) == "'", 1).otherwise(0)
+    minutes = F.when(whole(two(rest)), two(rest))
+    offset = F.concat(F.lit(" UTC"), sign, F.coalesce(hours, F.lit("00")), F.lit(":"), F.coalesce(minutes, F.lit("00")))
+    zone = F.when(sign == "Z", " UTC").when(sign.isin("+", "-"), offset).otherwise("")
+    clock = F.when(numbers >= 3, F.concat(F.lit(" at "), number(3, "00"), F.lit(":"), number(4, "00"), F.lit(":"), number(5, "00"), zone)).otherwise("")
+    return F.when((digits < 4) | (month < 1) | (month > 12), raw).otherwise(F.concat(day, clock))
 
 
 def date_body(s: Column) -> Column:

@@ -109,3 +109,23 @@ def inspector_counts(images: DataFrame, target: float) -> DataFrame:
         F.count_if(known & (F.col("dpi") <= target) & (F.col("filter") != "DCTDecode")).alias("untouched"),
         F.count_if(~known).alias("unmeasurable"),
     )
+
+
+def image_objects(objects: DataFrame) -> DataFrame:
+    """Streams (subtype, ...) that are images."""
+    return objects.where(F.col("subtype") == "Image")
+
+
+def image_names(resources: DataFrame, known: DataFrame) -> DataFrame:
+    """Resources (page, name, id) that stand for an image of ``known`` (id)."""
+    return resources.join(known.select("id"), "id", "left_semi").select("page", "name", "id")
+
+
+def without_empty(streams: DataFrame) -> DataFrame:
+    """Streams with anything in them (length)."""
+    return streams.where(F.col("length") > 0)
+
+
+def serialized_size(content: Column) -> Column:
+    """Bytes of what a step gave; 0 where it failed."""
+    return F.coalesce(F.octet_length(content), F.lit(0)).cast("long")

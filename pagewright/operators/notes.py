@@ -40,3 +40,13 @@ def text_streams(notes: DataFrame) -> DataFrame:
     """One text of all of a page's notes, in order of their ids."""
     parts = F.array_sort(F.collect_list(F.struct("note_id", "text")))
     return notes.groupBy("doc_id", "page").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("stream"))
+
+
+def on_pages(notes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Notes on pages that are there (doc_id, page)."""
+    return notes.join(pages.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").select(*notes.columns)
+
+
+def removed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left without the owned streams, and how many each document had."""
+    return without_owned(rows), rows.groupBy("doc_id").agg(F.count_if(F.col("note_id").isNotNull()).alias("removed"))

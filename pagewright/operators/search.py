@@ -40,6 +40,50 @@ def words_of_matches(spans: DataFrame, matches: DataFrame) -> DataFrame:
     return matches.join(spans, ["doc_id", "page"]).where((F.col("start") < F.col("m_end")) & (F.col("end") > F.col("m_start")))
 
 
+def words_of_pattern(spans: DataFrame, pattern: str) -> DataFrame:
+    """The words that each match of a pattern meets in the text that `words_to_text` placed
+    them in (doc_id, page, line, ord, text, start, end), with the number of the match."""
+    order = F.array_sort(F.collect_list(F.struct("start", "line", "text")))
+    gap = lambda a, b: F.when(a["line"] == b["line"], " ").otherwise("\n")
+    glued = lambda w: F.array_join(F.transform(w, lambda x, i: F.concat(F.when(i > 0, gap(F.get(w, i - 1), x)).otherwise(""), x["text"])), "")
+    pages = spans.groupBy("doc_id", "page").agg(order.alias("w")).select("doc_id", "page", glued(F.col("w")).alias("t"))
+    found = pages.select("doc_id", "page", F.posexplode(T.match_spans(F.col("t"), pattern)).alias("k", "s"))
+    found = found.select("doc_id", "page", (F.col("k") + 1).cast("long").alias("match"), F.col("s.start").alias("m_start"), F.col("s.end").alias("m_end"))
+    return words_of_matches(spans, found)
+
+
+#: Tokens of a query that are looked up together, and how many queries without so many are
+#: tested against every text.
+KEY_TOKENS, MOST_SHORT = 4, 1000
+
+
+def holding(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each text (columns of ``texts``, with ``text``) with the item_id of each query
+    (item_id, query) it holds, case aside.
+
+    A text that holds a query holds its inner tokens in a row: the first few are looked up by
+    hash, and what shares them is compared in full. Shorter queries are tested against every
+    text; they are counted first, and more than MOST_SHORT raise.
+    """
+    tokens = lambda s: F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    key = lambda a, i: F.xxhash64(F.slice(a, i, F.lit(KEY_TOKENS)))
+    asked = queries.where(F.col("query") != "").withColumn("tokens", tokens(F.col("query")))
+    # The first and last token may be the end and beginning of longer ones in a text.
+    long = asked.where(F.size("tokens") >= KEY_TOKENS + 2).select("item_id", "query", key(F.col("tokens"), F.lit(2)).alias("key"))
+    cut = texts.withColumn("tokens", tokens(F.col("text"))).where(F.size("tokens") >= KEY_TOKENS)
+    keyed = cut.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - KEY_TOKENS + 1), lambda i: key(F.col("tokens"), i)))))
+    places = keyed.join(long.select("key").distinct(), "key", "left_semi").select(*texts.columns, "key")
+    found = places.join(long, "key").where(F.contains(F.lower("text"), F.lower("query"))).select(*texts.columns, "item_id")
+    short = [(r["item_id"], r["query"]) for r in asked.where(F.size("tokens") < KEY_TOKENS + 2).select("item_id", "query").limit(MOST_SHORT + 1).collect()]
+    if len(short) > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} queries of fewer than {KEY_TOKENS + 2} words")
+    if not short:
+        return found
+    low = [(i, q.lower()) for i, q in short]
+    hit = F.filter(F.array(*[F.when(F.contains(F.lower("text"), F.lit(q)), F.lit(i)) for i, q in low]), lambda x: x.isNotNull())
+    return found.unionByName(texts.withColumn("item_id", F.explode(hit)))
+
+
 def token_matches(words: DataFrame, query: str, whole_word: bool = False) -> DataFrame:
     """Recognised words that are, or contain, the query; case doesn't count."""
     low = F.lower("text")

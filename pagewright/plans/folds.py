@@ -111,10 +111,12 @@ def h19_encodable(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(T.encodable(F.col("text"))).alias("n"))
 
 
-@book.query("SELECT item_id AS k, CAST(unicode(substr(text, 1, 1)) AS INTEGER) AS byte FROM benchmark WHERE unicode(substr(text, 1, 1)) < 256")
+@book.query("SELECT k, pos, CAST(CASE WHEN code BETWEEN 32 AND 126 OR code BETWEEN 160 AND 255 THEN code WHEN code = 338 THEN 140 WHEN code = 339 THEN 156 WHEN code = 8364 THEN 128 WHEN code = 8217 THEN 146 END AS INTEGER) AS byte FROM (SELECT k, CAST(pos - 1 AS INTEGER) AS pos, unicode(ch) AS code FROM (SELECT item_id AS k, unnest(string_split(text || 'œ€’漢', '')) AS ch, generate_subscripts(string_split(text || 'œ€’漢', ''), 1) AS pos FROM benchmark))")
 def h18_ansi_byte(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), T.ansi_byte(F.substring("text", 1, 1)).alias("byte"), F.ascii(F.substring("text", 1, 1)).alias("code"))
-    return rows.where("code < 256").select("k", "byte")
+    """Of every character of every text; null where it has none."""
+    chars = F.filter(F.split(F.concat("text", F.lit("œ€’漢")), ""), lambda c: c != "")
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k"), F.posexplode(chars).alias("pos", "ch"))
+    return rows.select("k", "pos", T.ansi_byte(F.col("ch")).alias("byte"))
 
 
 _W = "[" + ",".join(map(str, T.ASCII_WIDTHS)) + "]"

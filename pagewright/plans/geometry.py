@@ -10,6 +10,8 @@ from .registry import Book, table
 
 book = Book()
 
+#: Pages that are on screen at a time, at most.
+MOST_BOXES = 100
 RECTS = "(SELECT l_orderkey AS k, l_linenumber AS n, l_quantity * 10.0::DOUBLE AS x, CAST(l_partkey % 700 AS DOUBLE) AS y, l_discount * 1000.0::DOUBLE + 4.0::DOUBLE AS width, l_tax * 300.0::DOUBLE + 6.0::DOUBLE AS height, CAST((l_suppkey % 5) * 90 - 90 AS INTEGER) AS rot FROM lineitem)"
 
 
@@ -186,9 +188,11 @@ def c31_clip_region(spark, sf_dir):
 
 @book.query(f"SELECT k, n, p, (greatest(x, p * 200.0::DOUBLE) - p * 200.0::DOUBLE) / 1.0::DOUBLE AS x FROM {RECTS}, (SELECT CAST(r_regionkey AS DOUBLE) AS p FROM region) WHERE least(x + width, p * 200.0::DOUBLE + 180.0::DOUBLE) - greatest(x, p * 200.0::DOUBLE) >= 2 AND least(y + height, 700.0::DOUBLE) - greatest(y, 0.0::DOUBLE) >= 2")
 def c32_selection_regions(spark, sf_dir):
-    """Selected rectangles on every page box; the page boxes are those on screen, a handful."""
-    boxes = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("double").alias("p"))
-    df = rects(spark, sf_dir).crossJoin(F.broadcast(boxes))
+    """Selected rectangles on every page box on screen: a handful, which are counted."""
+    boxes = [r["p"] for r in table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("double").alias("p")).limit(MOST_BOXES + 1).collect()]
+    if len(boxes) > MOST_BOXES:
+        raise ValueError(f"more than {MOST_BOXES} pages on screen")
+    df = rects(spark, sf_dir).withColumn("p", F.explode(F.array(*[F.lit(p) for p in boxes])))
     page = G.rect(F.col("p") * 200.0, F.lit(0.0), F.lit(180.0), F.lit(700.0))
     return df.withColumn("r", G.clip_region(r_(), page, F.lit(100.0))).where("r IS NOT NULL").select("k", "n", "p", "r.x")
 
@@ -216,14 +220,16 @@ def h66_fit_zoom(spark, sf_dir):
     return keyed(rects(spark, sf_dir), G.fit_zoom(mode, F.col("x") + 10.0, F.col("y") + 10.0, F.lit(900.0), F.lit(700.0), 40.0).cast("long").alias("zoom"))
 
 
-@book.query(f"SELECT k, n, x, y FROM {RECTS} ORDER BY y, x, k, n LIMIT 100")
+@book.query(f"SELECT k, n, x, y FROM {RECTS} ")
 def f01_rect_order(spark, sf_dir):
-    return keyed(rects(spark, sf_dir), "x", "y").orderBy("y", "x", "k", "n").limit(100)
+    """All rectangles from the top, then from the left."""
+    return keyed(rects(spark, sf_dir), "x", "y").orderBy("y", "x", "k", "n")
 
 
-@book.query(f"SELECT k, n, x, y FROM {RECTS} ORDER BY y DESC, x, k, n LIMIT 100")
+@book.query(f"SELECT k, n, x, y FROM {RECTS} ")
 def f02_word_order(spark, sf_dir):
-    return keyed(rects(spark, sf_dir), "x", "y").orderBy(F.desc("y"), "x", "k", "n").limit(100)
+    """All words, whose origin is below, from the top, then from the left."""
+    return keyed(rects(spark, sf_dir), "x", "y").orderBy(F.desc("y"), "x", "k", "n")
 
 
 @book.query(f"SELECT k, n, greatest(x - 25.0::DOUBLE, 0.0::DOUBLE) AS x, greatest(width - 20.0::DOUBLE, 24.0::DOUBLE) AS width, greatest(height - 5.0::DOUBLE, 16.0::DOUBLE) AS height FROM {RECTS}")

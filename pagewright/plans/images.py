@@ -56,9 +56,9 @@ def d03_measure_placements(spark, sf_dir):
     return placements(spark, sf_dir).groupBy("id").agg(F.max("placed").alias("displayed"), F.array_sort(F.collect_set("page")).alias("pages"))
 
 
-@book.query(f"SELECT i.id FROM {_IMAGES} i LEFT JOIN {_PLACED} p ON i.id = p.id WHERE width > 0 AND height > 0 ORDER BY pages[1] ASC NULLS LAST, stored DESC, i.id LIMIT 25")
+@book.query(f"SELECT i.id FROM {_IMAGES} i LEFT JOIN {_PLACED} p ON i.id = p.id WHERE width > 0 AND height > 0 ")
 def f03_image_order(spark, sf_dir):
-    return I.inventory(images(spark, sf_dir), placements(spark, sf_dir)).select("id").limit(25)
+    return I.inventory(images(spark, sf_dir), placements(spark, sf_dir)).select("id")
 
 
 _PLAN = f"""(SELECT id, CASE WHEN reason IS NOT NULL THEN 'skip' ELSE o END AS outcome, reason FROM (SELECT *, CASE WHEN width <= 0 OR height <= 0 THEN 'decode' WHEN bits < 8 THEN 'bilevel' WHEN space = 'Indexed' THEN 'indexed' WHEN displayed IS NULL THEN 'unreferenced'
@@ -95,8 +95,8 @@ def d16_inspector_counts(spark, sf_dir):
 
 @book.query("SELECT p_partkey AS id FROM part WHERE p_type LIKE '%STEEL%' OR p_size > 25")
 def b17_image_objects(spark, sf_dir):
-    subtype = F.when(F.contains("p_type", F.lit("STEEL")) | (F.col("p_size") > 25), "Image").otherwise("Form")
-    return table(spark, sf_dir, "part").where(subtype == "Image").select(F.col("p_partkey").alias("id"))
+    subtype = F.when(F.contains("p_type", F.lit("STEEL")) | (F.col("p_size") > 25), "Image").when(F.col("p_size") > 5, "Form")
+    return I.image_objects(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), subtype.alias("subtype"))).select("id")
 
 
 @book.query(f"SELECT id, CASE WHEN space = 'DeviceGray' THEN 'gray' WHEN space IN ('DeviceRGB', 'CalRGB') THEN 'rgb' ELSE 'other' END AS kind FROM {_IMAGES}")
@@ -131,12 +131,13 @@ def b23_describe_color_space(spark, sf_dir):
 
 @book.query(f"SELECT id, stored FROM {_IMAGES} WHERE stored > 9000")
 def g29_drop_empty_streams(spark, sf_dir):
-    return images(spark, sf_dir).where(F.col("stored") - 9000 > 0).select("id", "stored")
+    streams = images(spark, sf_dir).withColumn("length", F.greatest(F.col("stored") - 9000, F.lit(0)))
+    return I.without_empty(streams).select("id", "stored")
 
 
-@book.query("SELECT p_partkey AS k, CAST(octet_length(encode(p_name)) AS BIGINT) AS size FROM part")
+@book.query("SELECT p_partkey AS k, CAST(CASE WHEN p_size % 2 = 0 THEN octet_length(encode(p_name)) ELSE 0 END AS BIGINT) AS size FROM part")
 def d14_serialized_size(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.octet_length("p_name").cast("long").alias("size"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), I.serialized_size(F.when(F.col("p_size") % 2 == 0, F.col("p_name"))).alias("size"))
 
 
 @book.query(f"SELECT 'drop_empty' AS step, (SELECT CAST(sum(stored) AS BIGINT) FROM {_IMAGES}) AS size_before, (SELECT CAST(sum(stored) AS BIGINT) FROM {_IMAGES} WHERE height > 0) AS size_after UNION ALL SELECT 'recompress', (SELECT CAST(sum(stored) AS BIGINT) FROM {_IMAGES} WHERE height > 0), (SELECT CAST(sum(least(stored, encoded)) AS BIGINT) FROM {_IMAGES} WHERE height > 0)")

@@ -100,7 +100,7 @@ def h55_format_bytes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), L.format_bytes(F.col("o_custkey") * F.col("o_custkey") * 7).alias("size"))
 
 
-@book.query("SELECT o_orderkey AS k, CASE WHEN o_custkey % 50 <= 0 THEN '0%' ELSE printf('%.1f%%', (o_custkey % 50 - o_custkey % 40) / CAST(o_custkey % 50 AS DOUBLE) * 100) END AS reduction FROM orders")
+@book.query("SELECT o_orderkey AS k, CASE WHEN o_custkey % 50 <= 0 THEN '0%' ELSE printf('%.1f%%', sign(x) * floor(abs(x) * 10 + 0.5::DOUBLE) / 10) END AS reduction FROM (SELECT *, (o_custkey % 50 - o_custkey % 40) / CAST(nullif(o_custkey % 50, 0) AS DOUBLE) * 100 AS x FROM orders)")
 def h56_percent_reduction(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), L.percent_reduction(F.col("o_custkey") % 50, F.col("o_custkey") % 40).alias("reduction"))
 

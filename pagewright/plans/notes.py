@@ -49,9 +49,12 @@ def g17_remove_notes(spark, sf_dir):
     return N.without_owned(rows(spark, sf_dir)).select("doc_id", "page", "text")
 
 
-@book.query(f"SELECT doc_id, CAST(count(*) FILTER (note_id IS NOT NULL) AS BIGINT) AS removed FROM {_ROWS} GROUP BY doc_id")
+@book.query(f"SELECT doc_id, CAST(count(*) FILTER (note_id IS NOT NULL) AS BIGINT) AS removed, CAST(count(*) FILTER (note_id IS NULL) AS BIGINT) AS kept FROM {_ROWS} GROUP BY doc_id")
 def g18_remove_text_layer(spark, sf_dir):
-    return rows(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("note_id").isNotNull()).alias("removed"))
+    """How many owned streams go from each document, and how many are in what is left."""
+    left, gone = N.removed(rows(spark, sf_dir))
+    kept = left.groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return gone.join(kept, "doc_id", "left").select("doc_id", "removed", F.coalesce("kept", F.lit(0).cast("long")).alias("kept"))
 
 
 @book.query(f"SELECT doc_id, page, string_agg(text, chr(10) ORDER BY note_id) AS stream FROM {_ROWS} WHERE note_id IS NOT NULL GROUP BY doc_id, page")
@@ -64,6 +67,9 @@ def g20_read_notes(spark, sf_dir):
     return N.read_notes(rows(spark, sf_dir), 792.0)
 
 
-@book.query(f"SELECT doc_id, page, coalesce(family, 'Helvetica') AS family, 792.0::DOUBLE - y AS y FROM {_ROWS} WHERE note_id IS NOT NULL AND page = 2")
+@book.query(f"SELECT doc_id, page, note_id, family = 'Helvetica' AND size = 12.0::DOUBLE AND color = '#000000' AS plain, 595.0::DOUBLE - y AS y FROM (SELECT doc_id, page, note_id, coalesce(family, 'Helvetica') AS family, coalesce(size, 12.0::DOUBLE) AS size, coalesce(color, '#000000') AS color, y FROM {_ROWS} WHERE note_id IS NOT NULL)")
 def g21_reconstruct_note(spark, sf_dir):
-    return N.read_notes(rows(spark, sf_dir), 792.0).where("page = 2").select("doc_id", "page", "family", "y")
+    """On lower pages; whether all of a note's style is the default."""
+    notes = N.read_notes(rows(spark, sf_dir), 595.0)
+    plain = (F.col("family") == "Helvetica") & (F.col("size") == 12.0) & (F.col("color") == "#000000")
+    return notes.select("doc_id", "page", "note_id", plain.alias("plain"), "y")

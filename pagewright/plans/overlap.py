@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import fields as O
+from ..operators import images as I
+from ..operators import notes as N
+from ..operators import pages as P
 from .geometry import RECTS, r_, rects
 from .registry import Book, table
 
@@ -66,56 +70,61 @@ def c30_hit_test(spark, sf_dir):
     return df.where(G.contains_point(r_(), F.lit(205.0), F.lit(20.0))).groupBy("k").agg(F.min("n").alias("hit"))
 
 
-@book.query("SELECT l_orderkey AS k, l_linenumber AS n, o_custkey AS page FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey")
+_ON = "(SELECT l_suppkey AS doc_id, l_partkey AS widget, min(l_linenumber) AS page FROM lineitem WHERE l_linenumber > 1 GROUP BY l_suppkey, l_partkey)"
+
+
+def _annotations(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("widget"), F.col("l_linenumber").alias("page"))
+
+
+@book.query(f"SELECT doc_id, widget, page FROM {_ON}")
 def c01_widget_pages(spark, sf_dir):
-    widgets = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
-    page_of = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("page"))
-    return widgets.join(page_of, "k", "left")
+    return O.widget_pages(_annotations(spark, sf_dir))
 
 
-@book.query("SELECT o_orderkey AS widget, coalesce(CASE WHEN c_nationkey > 4 THEN CAST(c_nationkey AS BIGINT) END, o_custkey % 7) AS page FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE coalesce(CASE WHEN c_nationkey > 4 THEN CAST(c_nationkey AS BIGINT) END, o_custkey % 7) <> 0")
+@book.query(f"SELECT doc_id, widget, page FROM (SELECT w.doc_id, w.widget, coalesce(p.page, w.own) AS page FROM (SELECT DISTINCT l_suppkey AS doc_id, l_partkey AS widget, CAST(CASE WHEN l_partkey % 3 > 0 THEN l_partkey % 4 END AS INTEGER) AS own FROM lineitem) w LEFT JOIN {_ON} p USING (doc_id, widget)) WHERE page <> 0")
 def c02_place_with_fallback(spark, sf_dir):
     """The page a widget is listed on, else its own note of it; 0 is no page."""
-    listed = table(spark, sf_dir, "customer").where("c_nationkey > 4").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("listed"))
-    own = F.pmod(F.col("o_custkey"), F.lit(7))
-    rows = table(spark, sf_dir, "orders").join(listed, "o_custkey", "left").select(F.col("o_orderkey").alias("widget"), F.coalesce("listed", own).alias("page"))
-    return rows.where("page <> 0")
+    own = F.when(F.col("l_partkey") % 3 > 0, F.col("l_partkey") % 4).cast("int").alias("own_page")
+    widgets = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc_id"), F.col("l_partkey").alias("widget"), own).distinct()
+    return O.placed(widgets, O.widget_pages(_annotations(spark, sf_dir)))
 
 
-@book.query("SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
+@book.query("SELECT l_orderkey AS page, l_linenumber AS name, l_partkey AS id FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10)")
 def c03_known_images(spark, sf_dir):
-    known = table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"))
+    """Names of pages' resources that stand for a known image."""
+    known = table(spark, sf_dir, "part").where("p_size < 10").select(F.col("p_partkey").alias("id"))
+    resources = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("name"), F.col("l_partkey").alias("id"))
+    return I.image_names(resources, known)
 
 
-@book.query("SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_linenumber = 1")
+@book.query(f"SELECT doc_id, widget FROM {_ON}")
 def c21_live_ids(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("id")).distinct()
+    """Annotations that are on a page, each once."""
+    return O.widget_pages(_annotations(spark, sf_dir)).select("doc_id", "widget")
 
 
-@book.query("SELECT DISTINCT id, src FROM (SELECT s_suppkey AS id, 'signature' AS src FROM supplier WHERE s_acctbal > 0 UNION SELECT c_custkey, 'signature' FROM customer WHERE c_acctbal > 0)")
+@book.query("SELECT DISTINCT ref FROM (SELECT s_suppkey AS ref FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def c25_signature_union(spark, sf_dir):
-    """References from two places, each once."""
-    a = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
-    b = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
-    return a.unionByName(b).dropDuplicates(["id"]).withColumn("src", F.lit("signature"))
+    """Signatures that the form or the permissions refer to."""
+    a = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("ref"))
+    return O.referred(a, table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("ref")))
 
 
-@book.query("SELECT DISTINCT l_suppkey AS ref FROM lineitem")
+@book.query("SELECT DISTINCT l_suppkey AS ref FROM lineitem WHERE l_linenumber <> 2")
 def c26_dedup_insert(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("ref")).dropDuplicates(["ref"])
+    return O.referred(table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") != 2, F.col("l_suppkey")).alias("ref")))
 
 
-@book.query("SELECT l_orderkey AS k, l_linenumber AS note, o_orderpriority AS page FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'")
+@book.query("SELECT l_orderkey AS doc_id, l_linenumber AS page, l_partkey AS note FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_linenumber = o_custkey % 4 + 1")
 def c28_notes_on_pages(spark, sf_dir):
-    """Notes on a page that isn't there are left out."""
-    pages = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("page"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("note")).join(pages, "k")
+    """Notes on a page that isn't there are left out; here each document has one page."""
+    pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 4 + 1).alias("page"))
+    notes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"), F.col("l_partkey").alias("note"))
+    return N.on_pages(notes, pages).withColumn("page", F.col("page").cast("int"))
 
 
 @book.query("SELECT c_custkey AS doc_id, EXISTS (SELECT 1 FROM customer o WHERE o.c_nationkey = c.c_nationkey AND o.c_mktsegment = c.c_mktsegment AND o.c_custkey <> c.c_custkey) AS elsewhere FROM customer c")
 def b26_open_elsewhere(spark, sf_dir):
-    """Whether another open document has the same path: a count per path, not pairs."""
-    docs = table(spark, sf_dir, "customer")
-    paths = docs.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    return docs.join(paths, ["c_nationkey", "c_mktsegment"]).select(F.col("c_custkey").alias("doc_id"), (F.col("n") > 1).alias("elsewhere"))
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat_ws("/", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("path"))
+    return P.open_elsewhere(docs).select("doc_id", "elsewhere")

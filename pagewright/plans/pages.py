@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import pages as P
 from .registry import Book, table
 
@@ -53,12 +54,13 @@ def g04_merge_document(spark, sf_dir):
 
 @book.query(f"SELECT doc_id, page, width, height FROM {_PAGES}")
 def g05_page_sizes(spark, sf_dir):
-    return pages(spark, sf_dir).select("doc_id", "page", "width", "height")
+    """From the documents' heads, page by page."""
+    return P.page_sizes(P.document_heads(pages(spark, sf_dir))).select("doc_id", "page", "width", "height")
 
 
 @book.query(f"SELECT doc_id, page, CAST((rotation // 90 + 3) % 4 AS INTEGER) AS turns FROM {_PAGES}")
 def g06_add_turns(spark, sf_dir):
-    return pages(spark, sf_dir).select("doc_id", "page", F.pmod((F.col("rotation") / 90).cast("int") + 3, F.lit(4)).alias("turns"))
+    return pages(spark, sf_dir).select("doc_id", "page", P.added_turns(F.col("rotation"), 3).alias("turns"))
 
 
 @book.query(f"SELECT doc_id, CAST(page - 1 AS INTEGER) AS page, text FROM {_PAGES} WHERE page BETWEEN 2 AND 3")
@@ -72,40 +74,54 @@ def a05_export_text(spark, sf_dir):
     return P.export_text(df)
 
 
-@book.query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS page_count, max(width) AS widest FROM {_PAGES} GROUP BY doc_id")
+@book.query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS page_count, list([width, height] ORDER BY page) AS sizes FROM {_PAGES} GROUP BY doc_id")
 def a02_document_head(spark, sf_dir):
-    return pages(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("page_count"), F.max("width").alias("widest"))
+    heads = P.document_heads(pages(spark, sf_dir))
+    return heads.select("doc_id", "page_count", F.transform("page_dimensions", lambda s: F.array(s["width"], s["height"])).alias("sizes"))
 
 
-@book.query("SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^?#]*') AS path FROM pages")
+@book.query(r"SELECT page_id AS k, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/b' || regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) || '/c' AS path FROM pages WHERE NOT regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '(^|/)[.]{0,2}(/|$)') OR regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1) = ''".replace("|| '/b' ||", "|| '/b/' ||"))
 def a03_canonical_path(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://[^?#]*", 0).alias("path")).distinct()
+    """Steps put into each address that cancel out: a/../b before it, ./c//d/.. behind it."""
+    at = F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0)
+    rest = F.regexp_extract("url", "^[a-z]+://[^/?#]*/?([^?#]*)", 1)
+    plain = ~F.rlike(rest, F.lit(r"(^|/)[.]{0,2}(/|$)")) | (rest == "")
+    path = F.concat(at, F.lit("/a/.././b/"), rest, F.lit("/./c//d/..?x=/y"))
+    return table(spark, sf_dir, "pages").where(plain).select(F.col("page_id").alias("k"), P.canonical_path(path).alias("path"))
 
 
-@book.query("SELECT doc_id, contains(substr(text, 1, 2048), 'the') AS marked FROM documents WHERE octet_length(encode(text)) = length(text)")
+@book.query("SELECT doc_id, regexp_matches(substr(hex(encode(CASE WHEN doc_id % 3 = 0 THEN text || '/Linearized' ELSE substr(text, 1, 1000) || '/Linearized 1' || text END)), 1, 4096), '^(..)*2F4C696E656172697A6564') AS marked FROM documents")
 def a13_marker_in_head(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    head = F.decode(F.substring(F.encode("text", "UTF-8"), 1, 2048), "ISO-8859-1")
-    return docs.select("doc_id", (F.instr(head, F.lit("the")) > 0).alias("marked"))
+    """Each third document has the marker at its end, the others after 1000 characters."""
+    late = F.col("doc_id") % 3 == 0
+    content = F.when(late, F.concat("text", F.lit("/Linearized"))).otherwise(F.concat(F.substring("text", 1, 1000), F.lit("/Linearized 1"), "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.is_linearized(F.encode(content, "UTF-8")).alias("marked"))
 
 
-@book.query("SELECT doc_id, regexp_matches(substr(hex(encode(text)), 1, 4096), '^(..)*746865') AS marked FROM documents")
-def a13_marker_in_head_all(spark, sf_dir):
-    """a13 on the bytes of every document, whatever its characters."""
-    head = F.decode(F.substring(F.encode("text", "UTF-8"), 1, 2048), "ISO-8859-1")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.instr(head, F.lit("the")) > 0).alias("marked"))
-
-
-@book.query("SELECT doc_id, CASE WHEN toxic = 1 THEN NULL ELSE quality END AS verified FROM labels WHERE toxic = 0")
+@book.query("SELECT l.doc_id, l.quality = 1 AND l.toxic = 0 AS verified, CASE WHEN l.quality = 1 AND l.toxic = 0 THEN d.n_chars END AS written FROM labels l JOIN documents d USING (doc_id)")
 def a14_gated_rows(spark, sf_dir):
-    """Only verified rows may be written; the check fails the job otherwise."""
-    rows = table(spark, sf_dir, "labels").where("toxic = 0")
-    return rows.where(F.assert_true(F.col("toxic") == 0, "not verified").isNull()).select("doc_id", F.col("quality").alias("verified"))
+    """What may be written of each document: its size where it is verified, else nothing."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return P.gated(rows, (F.col("quality") == 1) & (F.col("toxic") == 0), "n_chars").select("doc_id", "verified", F.col("n_chars").alias("written"))
 
 
-@book.query("SELECT doc_id, 'pagewright' AS producer, n_chars AS size FROM documents")
+@book.query("SELECT doc_id, 'D:20240229120000Z' AS modified, 'pagewright' AS producer, 'D:' || doc_id AS created, CAST(CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END AS INTEGER) AS n FROM documents")
 def a10_stamp(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("pagewright").alias("producer"), F.col("n_chars").alias("size"))
+    """Every second document has an older producer, all a date of creation and a title."""
+    own = F.create_map(F.lit("CreationDate"), F.concat(F.lit("D:"), F.col("doc_id").cast("string")), F.lit("ModDate"), F.lit("D:1999"))
+    more = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("Title"), F.lit("t"), F.lit("Producer"), F.lit("other"))).otherwise(F.create_map().cast("map<string,string>"))
+    docs = P.stamped(table(spark, sf_dir, "documents").select("doc_id", F.map_concat(own, more).alias("info")), "pagewright", F.lit("2024-02-29 12:00:00").cast("timestamp"))
+    entry = lambda k, name: F.element_at("info", k).alias(name)
+    return docs.select("doc_id", entry("ModDate", "modified"), entry("Producer", "producer"), entry("CreationDate", "created"), F.size("info").alias("n"))
+
+
+@book.query("SELECT doc_id, octet_length(encode(CASE WHEN toxic = 1 THEN 'locked ' || doc_id ELSE 'plain ' || doc_id END)) AS n, toxic = 1 AS locked FROM labels")
+def a09_bytes_for_disk(spark, sf_dir):
+    """Toxic documents stand for protected ones; their encrypted bytes are given."""
+    text = lambda word: F.encode(F.concat(F.lit(word), F.col("doc_id").cast("string")), "UTF-8")
+    locked = F.col("toxic") == 1
+    entries = table(spark, sf_dir, "labels").select("doc_id", text("plain ").alias("plain"), F.when(locked, text("locked ")).alias("encrypted"), F.when(locked, "protected").otherwise("plaintext").alias("protection"), F.lit(False).alias("pending"))
+    return P.bytes_for_disk(entries).select("doc_id", F.octet_length("written").cast("long").alias("n"), F.startswith(F.decode("written", "UTF-8"), F.lit("locked")).alias("locked"))
 
 
 def _islands(spark, sf_dir):

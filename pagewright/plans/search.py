@@ -65,12 +65,25 @@ def b08_search_whole_word(spark, sf_dir):
     return S.search_pages(pages(spark, sf_dir), "the", whole_word=True)
 
 
-@book.query(rf"""WITH s AS (SELECT doc_id, page, ord, text, sum(length(text) + 1) OVER (PARTITION BY doc_id, page ORDER BY line, ord) - length(text) - 1 AS a FROM {_WORDS})
-    SELECT doc_id, page, 1 AS match, ord, text FROM s WHERE a < 40 AND a + length(text) > 25""")
+_EDGES = r"list_filter(range(1, length(t) + 1), lambda i: substr(t, i, {n}) = '{q}' AND NOT regexp_matches(substr(' ' || t, i, 1), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substr(t || ' ', i + {n}, 1), '[\p{{L}}\p{{N}}]'))"
+
+
+@book.query(f"SELECT * FROM (SELECT doc_id, page, CAST(len({_EDGES.format(n=5, q='e, an')}) AS BIGINT) + CAST(len({_EDGES.format(n=2, q='e,')}) AS BIGINT) AS n_matches FROM (SELECT doc_id, page, lower(text) AS t FROM {_PAGES})) WHERE n_matches > 0")
+def b08_search_whole_phrase(spark, sf_dir):
+    """Queries of several words and with punctuation; what they begin or end in the middle of doesn't count."""
+    found = [S.search_pages(pages(spark, sf_dir), q, whole_word=True) for q in ("e, an", "E,")]
+    return found[0].unionByName(found[1]).groupBy("doc_id", "page").agg(F.sum("n_matches").alias("n_matches"))
+
+
+@book.query(rf"""WITH s AS (SELECT doc_id, page, ord, text, sum(length(text) + 1) OVER (PARTITION BY doc_id, page ORDER BY line, ord) - length(text) - 1 AS a FROM {_WORDS}),
+    j AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY ord) AS t FROM {_WORDS} GROUP BY doc_id, page),
+    m AS (SELECT doc_id, page, i, row_number() OVER (PARTITION BY doc_id, page ORDER BY i) AS match FROM (SELECT doc_id, page, unnest(list_filter(range(1, length(t) + 1), lambda i: substr(t, i, 3) = 'e t')) AS i FROM j))
+    SELECT doc_id, page, match, ord, text FROM s JOIN m USING (doc_id, page) WHERE a < i + 2 AND a + length(text) > i - 1""")
 def b09_words_of_match(spark, sf_dir):
+    """The words that each match of a pattern in the page's recognised text meets: the last
+    letter of a word, the blank and the first letter of the next."""
     spans = S.words_to_text(words(spark, sf_dir))
-    found = pages(spark, sf_dir).select("doc_id", "page", F.lit(1).alias("match"), F.lit(25).alias("m_start"), F.lit(40).alias("m_end"))
-    return S.words_of_matches(spans, found).select("doc_id", "page", "match", "ord", "text")
+    return S.words_of_pattern(spans, "e[ \n]t").select("doc_id", "page", "match", "ord", "text")
 
 
 @book.query(f"SELECT doc_id, page, ord, text FROM {_WORDS} WHERE contains(lower(text), 'ou')")
@@ -130,20 +143,12 @@ def e11_word_spans(spark, sf_dir):
     return S.words_to_text(words(spark, sf_dir)).select("doc_id", "page", "ord", "start", "end")
 
 
-@book.query("""WITH c AS (SELECT doc_id, unnest(range(1, length(left(text, 60)) + 1)) AS i, text FROM documents), d AS (SELECT doc_id, i, substr(text, i, 1) AS ch FROM c)
-    SELECT doc_id, CAST(i - 1 AS BIGINT) AS char_index, CAST(sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY i) - octet_length(encode(ch)) AS BIGINT) AS byte_start FROM d WHERE ch <> 'e'""")
+@book.query("""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE length(text) > 0),
+    d AS (SELECT doc_id, i, ch, CAST(sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY i) - octet_length(encode(ch)) AS BIGINT) AS byte_start FROM c)
+    SELECT doc_id, CAST(i - 1 AS BIGINT) AS char_index, byte_start FROM d WHERE ch <> 'e'""")
 def e09_char_offsets(spark, sf_dir):
-    """Undecodable characters (here: the letter e) are left out of the text but keep their index."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("t"))
-    chars = docs.select("doc_id", F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("i", "ch"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.octet_length("ch")).over(before), F.lit(0))
-    return chars.where("ch <> 'e'").withColumn("byte_start", start.cast("long")).select("doc_id", F.col("i").cast("long").alias("char_index"), "byte_start")
-
-
-@book.query()
-def e09_char_offsets_whole(spark, sf_dir):
-    """e09 on whole texts, from the bytes that begin a character; held against a plain loop in the tests."""
+    """Undecodable characters (here: the letter e) are left out of the text but keep their index.
+    Read from the bytes that begin a character."""
     byte = lambda raw, b: F.substring(raw, b + 1, F.lit(1))
     begins = lambda raw: F.filter(F.sequence(F.lit(0), F.octet_length(raw) - 1), lambda b: ~byte(raw, b).between(F.unhex(F.lit("80")), F.unhex(F.lit("BF"))))
     # As a variable of a lambda the bytes are made once a text, not once a byte.
@@ -216,12 +221,12 @@ def e15_active_match(spark, sf_dir):
     return S.token_matches(words(spark, sf_dir), "e").withColumn("k", F.row_number().over(order)).where("k = 6").select("doc_id", "page", "ord")
 
 
-@book.query(f"SELECT p.doc_id, p.page, b.item_id FROM {_PAGES} p, (SELECT item_id, substr(text, 1, 6) AS q FROM benchmark) b WHERE contains(lower(p.text), lower(b.q))")
+@book.query("SELECT d.doc_id, b.item_id FROM documents d, (SELECT item_id, text FROM benchmark UNION ALL SELECT -1, 'thin' UNION ALL SELECT -2, 'e th') b WHERE contains(lower(d.text), lower(b.text))")
 def c08_surviving_queries(spark, sf_dir):
-    """Every query that still has a hit on a page; the queries are few and are checked to be."""
-    queries = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 6).alias("q"))
-    rows = pages(spark, sf_dir).join(F.broadcast(queries), F.contains(F.lower("text"), F.lower("q")))
-    return rows.select("doc_id", "page", "item_id")
+    """Every query, a whole benchmark text or a short one, that a document still holds."""
+    short = spark.createDataFrame([(-1, "thin"), (-2, "e th")], "item_id long, query string")
+    queries = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query")).unionByName(short)
+    return S.holding(table(spark, sf_dir, "documents").select("doc_id", "text"), queries).select("doc_id", "item_id")
 
 
 @book.query(f"SELECT doc_id, list_sort(list(DISTINCT page)) AS pages FROM {_HITS} GROUP BY doc_id")
@@ -235,13 +240,13 @@ def d22_recognised_pages(spark, sf_dir):
     return blank.groupBy("doc_id").agg(F.count_if(F.length("words_text") > 0).alias("gained"))
 
 
-def _same(name: str, as_name: str) -> None:
-    """One operation of the inventory that is another one under a second name."""
-    book.queries[name] = book.queries[as_name]
-    book.sql[name] = book.sql[as_name]
-
-
-_same("c06_interval_overlap", "b09_words_of_match")
+@book.query(rf"""WITH s AS (SELECT doc_id, page, ord, text, sum(length(text) + 1) OVER (PARTITION BY doc_id, page ORDER BY line, ord) - length(text) - 1 AS a FROM {_WORDS})
+    SELECT doc_id, page, 1 AS match, ord, text FROM s WHERE a < 40 AND a + length(text) > 25""")
+def c06_interval_overlap(spark, sf_dir):
+    """Words that the characters 25 to 40 of a page meet."""
+    spans = S.words_to_text(words(spark, sf_dir))
+    found = pages(spark, sf_dir).select("doc_id", "page", F.lit(1).alias("match"), F.lit(25).alias("m_start"), F.lit(40).alias("m_end"))
+    return S.words_of_matches(spans, found).select("doc_id", "page", "match", "ord", "text")
 
 
 @book.query(f"SELECT doc_id, page, CASE WHEN page % 5 = 0 THEN 'unsupported' ELSE 'layered' END AS outcome FROM {_BLANKED} p WHERE regexp_matches(text, '^\\s*$') AND EXISTS (SELECT 1 FROM {_CACHE} c WHERE c.doc_id = p.doc_id AND c.page = p.page) AND page <= 8")
@@ -256,19 +261,10 @@ def g22_text_layer_pages(spark, sf_dir):
     return known.select("doc_id", "page", F.when(simple, "layered").otherwise("unsupported").alias("outcome"))
 
 
-@book.query(f"SELECT doc_id, page, ord, text, CAST((ord - 1) * 10 AS DOUBLE) AS x FROM {_WORDS} WHERE page = 1")
+@book.query(f"SELECT doc_id, page, ord, text, CAST((ord - 1) * 10 AS DOUBLE) AS x FROM {_WORDS}")
 def j01_recognised_words(spark, sf_dir):
     """Words of page images by a pluggable engine; here one that reads them from the bytes."""
     from ..sources.recognise import WordsInBytes, recognise
 
-    images = pages(spark, sf_dir).where("page = 1").select("doc_id", "page", F.encode("text", "UTF-8").alias("image"))
-    return recognise(images, WordsInBytes()).select("doc_id", "page", "ord", "text", "x")
-
-
-@book.query(f"SELECT doc_id, page, ord, text, CAST((ord - 1) * 10 AS DOUBLE) AS x FROM {_WORDS}")
-def j01_recognised_words_all(spark, sf_dir):
-    """j01 on every page, not only first ones."""
-    from ..sources.recognise import WordsInBytes, recognise
-
     images = pages(spark, sf_dir).select("doc_id", "page", F.encode("text", "UTF-8").alias("image"))
     return recognise(images, WordsInBytes()).select("doc_id", "page", "ord", "text", "x")
