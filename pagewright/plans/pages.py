@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import pages as P
+from ..sources import pdf
 from .registry import Book, table
 
 book = Book()
@@ -174,3 +175,27 @@ def c29_parser_agreement(spark, sf_dir):
     b = df.groupBy("doc_id").agg(F.max("page").cast("long").alias("second_parser"))
     both = a.join(b, "doc_id", "full_outer")
     return both.where(F.assert_true(F.col("first_parser").eqNullSafe(F.col("second_parser")), "page counts differ").isNull())
+
+
+#: A file for each customer: a page per order, half of them below a turned node, a size of their
+#: own where the order's number is even.
+_TREE = "(SELECT CAST(o_custkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 2, o_orderkey) AS page, CASE WHEN o_orderkey % 2 = 0 THEN 300.0 + o_orderkey % 50 ELSE 200.0 END AS w, CASE WHEN o_orderkey % 2 = 0 THEN 100.0 ELSE 500.0 END AS h, o_orderkey % 2 = 1 AS turned FROM orders)"
+
+
+@book.query(f"""SELECT path, CAST(page AS INTEGER) AS page, CAST(CASE WHEN turned THEN h ELSE w END AS DOUBLE) AS width, CAST(CASE WHEN turned THEN w ELSE h END AS DOUBLE) AS height, CAST(CASE WHEN turned THEN 90 ELSE 0 END AS INTEGER) AS rotation, CAST(path AS BIGINT) % 3 = 0 AS linearized, CAST(NULL AS VARCHAR) AS error FROM {_TREE} WHERE CAST(path AS BIGINT) % 7 > 1
+    UNION ALL SELECT DISTINCT path, NULL, NULL, NULL, NULL, CAST(path AS BIGINT) % 3 = 0, CASE WHEN CAST(path AS BIGINT) % 7 = 0 THEN 'not a PDF file' ELSE 'PASSWORD_REQUIRED' END FROM {_TREE} WHERE CAST(path AS BIGINT) % 7 < 2""")
+def a01_pages_of_files(spark, sf_dir):
+    """Bytes of files written here and parsed by the source: plain, encrypted, and no PDF at all."""
+    key, even = F.col("o_orderkey"), F.col("o_orderkey") % 2 == 0
+    number = (key + 10).cast("string")
+    size = F.when(even, F.concat(F.lit("/MediaBox [0 0 "), (key % 50 + 300).cast("string"), F.lit(" 100] "))).otherwise("")
+    page = F.concat(number, F.lit(" 0 obj << /Type /Page /Parent "), F.when(even, "2").otherwise("3"), F.lit(" 0 R "), size, F.lit(">> endobj\n"))
+    kid = F.struct(key.alias("key"), F.concat(number, F.lit(" 0 R")).alias("ref"))
+    kids = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, kid))), lambda k: k["ref"]), " ")
+    files = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(page), "").alias("objects"), kids(even).alias("straight"), kids(~even).alias("turned"))
+    owner = F.col("o_custkey")
+    head = F.concat(F.when(owner % 7 == 0, "no file").otherwise("%PDF-1.7"), F.lit("\n"), F.when(owner % 3 == 0, "9 0 obj << /Linearized 1 >> endobj\n").otherwise(""))
+    tree = F.concat(F.lit("1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /MediaBox [0 0 200 500] /Kids ["), "straight", F.lit(" 3 0 R] >> endobj\n3 0 obj << /Type /Pages /Rotate 90 /Kids ["), "turned", F.lit("] >> endobj\n"))
+    tail = F.concat(F.lit("trailer << /Root 1 0 R "), F.when(owner % 7 == 1, "/Encrypt 8 0 R ").otherwise(""), F.lit(">>"))
+    content = F.encode(F.concat(head, tree, F.col("objects"), tail), "UTF-8")
+    return pdf.parse_pages(files.select(owner.cast("string").alias("path"), content.alias("content")))

@@ -98,12 +98,16 @@ def rows(path: str, data: bytes) -> Iterator[tuple]:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of the PDF files at ``path``, read where Spark reads them and parsed on
-    the executors, a file at a time."""
+    """Pages of the PDF files at ``path``, read where Spark reads them."""
+    return parse_pages(spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path))
+
+
+def parse_pages(files: DataFrame) -> DataFrame:
+    """Pages of files (path, content), parsed on the executors, a file at a time."""
     from ..shipping import ship
 
-    ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+    ship(files.sparkSession)
+    files = files.select("path", "content")
 
     def run(batches):
         import pyarrow as pa

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import binary as B
+from pagewright.functions import cms, labels
 from pagewright.functions import text as T
 from pagewright.operators import folds, pages, scrub, search, trees
 from pagewright.plans import catalogue
@@ -186,6 +187,38 @@ def test_postconditions_fail_closed(spark):
     assert "document Info dictionary present" in {r["violation"] for r in scrub.postconditions(docs, pages_, fields, annotations, flat, []).collect()}
 
 
+def test_signed_messages():
+    tlv = lambda tag, *inside: bytes([tag, len(b"".join(inside))]) + b"".join(inside)
+    assert cms.oid(bytes.fromhex("2A864886F70D010904")) == cms.MESSAGE_DIGEST and cms.oid(b"\x55\x04\x03") == "2.5.4.3" and cms.oid(b"") == ""
+    assert list(cms.children(b"\x30\x80\x02\x01\x05\x00\x00\x04\x01a")) == [(0x30, b"\x02\x01\x05"), (4, b"a")]
+    assert list(cms.children(b"\x04\x05ab")) == []
+    name = tlv(0x30, tlv(0x31, tlv(0x30, b"\x06\x03\x55\x04\x03", tlv(0x1E, "Zoë".encode("utf-16-be")))))
+    assert cms.common_name(name) == "Zoë" and cms.common_name(b"\x30\x80" * 200) is None
+    rnd = random.Random(3)
+    for _ in range(2000):  # whatever the bytes, nothing is raised
+        assert cms.facts(bytes(rnd.choices([0x30, 0x80, 0xA0, 0x31, 0x06, 0x04, 0, 1, 2, 9, 0x2A, 0x86], k=rnd.randint(0, 40)))) is None
+
+
+def test_bytes_for_disk(spark):
+    row = lambda pending, protection, encrypted: spark.createDataFrame([(b"plain", pending, protection, encrypted)], "plain binary, pending boolean, protection string, encrypted binary")
+    assert bytes(pages.bytes_for_disk(row(False, "plaintext", None)).first()["written"]) == b"plain"
+    assert bytes(pages.bytes_for_disk(row(None, "protected", b"locked")).first()["written"]) == b"locked"
+    for bad in (row(True, "plaintext", None), row(False, "protected", None), row(False, "other", None)):
+        with pytest.raises(Exception, match="redaction|encrypted|protection"):
+            pages.bytes_for_disk(bad).collect()
+
+
+def test_paths_and_dates(spark):
+    paths = {"/a/./b//c": "/a/b/c", "/../x/..": "/", "http://h/a/../b?q=/../c#d": "http://h/b", "a/b/../../../c": "/c"}
+    df = spark.createDataFrame([(k,) for k in paths], "p string")
+    assert {r["p"]: r["c"] for r in df.select("p", pages.canonical_path(F.col("p")).alias("c")).collect()} == paths
+    dates = {"D:20240229123045+05'30'": " at 12:30:45 UTC+05:30", "D:20240229123045Z": " at 12:30:45 UTC", "2024022912-08": " at 12:00:00 UTC-08:00", "D:20240229": "", "D:20240229123045+0530": " at 12:30:45 UTC+05:30"}
+    df = spark.createDataFrame([(k,) for k in [*dates, "D:2024", "D:20241", "D:202", "D:20241399", "x"]], "d string")
+    got = {r["d"]: r["t"] for r in df.select("d", labels.pdf_date(F.col("d")).alias("t")).collect()}
+    assert all(got[k].endswith("29, 2024" + clock) for k, clock in dates.items())
+    assert got["D:2024"].endswith("1, 2024") and got["D:20241"] == got["D:2024"] and all(got[k] == k for k in ("D:202", "D:20241399", "x"))
+
+
 def test_gate(spark):
     df = spark.createDataFrame([(1, True, "a"), (2, False, "b"), (3, None, "c")], "id int, ok boolean, body string")
     rows = pages.gated(df, F.col("ok"), "body")
