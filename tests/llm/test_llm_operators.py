@@ -139,6 +139,25 @@ def test_links_that_a_leader_misses(spark, monkeypatch):
         assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(df).collect()} == want
 
 
+def test_recall_of_bands():
+    """Measured: of 2,000 pairs of similarity 0.8 to 0.85, those that share a band."""
+    rnd = random.Random(13)
+    first, second = [], []
+    while len(first) < 2000:
+        words = [rnd.choice(WORDS) + str(rnd.randrange(500)) for _ in range(rnd.randint(80, 160))]
+        edited = words[:]
+        for _ in range(max(1, len(words) // 45)):
+            edited[rnd.randrange(len(words))] = "edited"
+        a, b = " ".join(words), " ".join(edited)
+        if 0.8 <= similarity(bag_of(a), bag_of(b)) < 0.85:
+            first.append(a)
+            second.append(b)
+    m = near_dedup.BANDS * near_dedup.BAND_ROWS
+    of = lambda texts: near_dedup.signatures(*near_dedup.bags(*shingles.shingle_hashes(pa.array(texts))), len(texts), m).reshape(len(texts), near_dedup.BANDS, near_dedup.BAND_ROWS)
+    met = (of(first) == of(second)).all(axis=2).any(axis=1)
+    assert met.mean() >= 0.999
+
+
 def test_signatures_estimate_weighted_similarity():
     rnd = random.Random(11)
     a = [rnd.choice(WORDS) * rnd.randint(1, 2) for _ in range(400)]
@@ -423,6 +442,45 @@ def test_token_files(spark, docs, none):
     assert token_files.read_tokens(spark, path).collect() == []
 
 
+def test_token_file_footers(spark):
+    """Encodings, row groups and page indexes as the format promises."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(i, prose(rnd, 400)) for i in range(3000)], "doc_id long, text string")
+    path = shared_path(spark, "test-footers")
+    token_files.write_tokens(df, P.path("byte_bpe_50k.json"), path)
+    files = [f for f in glob.glob(path.removeprefix("file://") + "/*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+    assert files
+    for name in files:
+        meta = pq.ParquetFile(name).metadata
+        assert [meta.row_group(0).column(i).path_in_schema for i in range(5)] == ["doc_id", "part", "local_start", "n_tokens", "ids.list.element"]
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 2 * token_files.ROW_GROUP_BYTES
+            for i in range(5):
+                column = group.column(i)
+                assert column.has_column_index and column.has_offset_index
+                assert ("RLE_DICTIONARY" if i == 4 else "DELTA_BINARY_PACKED") in column.encodings
+    tight = shared_path(spark, "test-tokens")
+    token_files.write_tokens(df.limit(50), P.path("byte_bpe_50k.json"), tight)
+    assert token_files.read_tokens(spark, tight, first=7, last=9).count() == 3
+
+
+def test_tokens_that_cross_pieces(monkeypatch):
+    """Where pieces can't be told apart in the library's ids, whole texts are encoded."""
+    from tokenizers import Tokenizer
+
+    name = P.path("byte_bpe_50k.json")
+    texts = ["ab cd ef", "gh ij", "", "x"]
+    want = [Tokenizer.from_file(name).encode(t, add_special_tokens=False).ids for t in texts]
+    tokenizer, lengths, _ = token_files._encoder(name)
+    monkeypatch.setattr(token_files, "_encoder", lambda path: (tokenizer, lengths + 1, {}))  # ends aren't found
+    assert [x.tolist() for x in token_files.encode_batch(name, texts)] == want
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
@@ -532,6 +590,15 @@ def test_fingerprints(docs, none):
     assert fingerprints.fingerprint_edits(none).collect() == []
 
 
+def test_fingerprints_of_repeated_ids(spark):
+    """A third of the rows has one doc_id, another none; the least long is an id like others."""
+    rows = [(i, f"text of number {i} here") for i in range(100)] + [(7, f"one of many texts {i}") for i in range(150)] + [(None, f"no id {i}") for i in range(120)] + [(-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bytes_per_task=1000).collect()
+    ordered = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), -text_hash(r[1])))
+    edits = [fingerprints.edited_text(t, ordered[(i + 1) % len(ordered)][1]) for i, (_, t) in enumerate(ordered)]
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == Counter((k, hashlib.sha256(e.encode()).hexdigest()) for (k, _), e in zip(ordered, edits))
+
+
 def test_sketch_estimates_and_merges():
     rnd = np.random.default_rng(3)
     pool = rnd.integers(0, 1 << 64, 30000, dtype=np.uint64)
