@@ -53,9 +53,10 @@ DIGITS = (32, 16, 16)
 
 def _buckets(rows: DataFrame, digits: int, total: int) -> DataFrame:
     """``rows`` with the bucket of their shuffle key: its first digits. Buckets of more than a
-    thousandth of the rows hold rows alike in doc_id; they are cut by the digits of the text,
-    and where those are alike too by those of the row, so that any number can be repeated."""
-    most = max(64, total // HOT_SHARE)
+    thousandth of the rows, and of four times their even share, hold rows alike in doc_id;
+    they are cut by the digits of the text, and where those are alike too by those of the row,
+    so that any number can be repeated."""
+    most = max(total // HOT_SHARE, 4 * total // 16**digits, 64)
     rows = rows.withColumn("bucket", F.substring("key", 1, digits))
     for upto in (DIGITS[0] + digits, sum(DIGITS[:2]) + digits):
         hot = rows.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > most).select("bucket", F.lit(True).alias("hot"))
