@@ -86,8 +86,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int | None = EN
     """Encode every row's whole text (null: empty), append ``end``, and write the files to ``out``.
 
     Rows of one doc_id are in ascending order of a hash of the text, a null doc_id comes
-    first; ranges go by both, so one doc_id may have very many rows. ``tokenizer`` must be
-    readable on executors. An empty table makes files without rows.
+    first; where a doc_id has more rows than a range is to have, ranges go by both.
+    ``tokenizer`` must be readable on executors. An empty table makes files without rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int | None = EN
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = ("doc_id", F.xxhash64("text"))
-    placed = rows.repartitionByRange(text_tasks(rows), *order).sortWithinPartitions(*order, "text")
+    tasks = text_tasks(rows)
+    crowded = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(1000, rows.count() // tasks))
+    by = order[:1] if crowded.isEmpty() else order  # the hash needs the text for the bounds too
+    placed = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*order, "text")
     (
         placed.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")
