@@ -157,10 +157,10 @@ def text_operators(text, x, y, width, height):
     return F.when(shown != "", F.concat(F.format_string("BT /F1 %.2f Tf 3 Tr %.2f Tz %.2f %.2f Td (", size, stretch, x, y + DESCENT * size), literal, F.lit(") Tj ET")))
 
 
-@book.query(f"SELECT doc_id, page, ord, contains(text, '(') AS has_paren FROM {_WORDS} WHERE regexp_matches(text, '^[a-zA-Z(),.]+$')")
+@book.query(rf"SELECT doc_id, page, ord, contains(text, '(') AS has_paren FROM {_WORDS} WHERE regexp_matches(text, '[\x20-\x7E\xA0-\xFF\x{{152}}\x{{153}}\x{{20AC}}]')")
 def h30_text_stream(spark, sf_dir):
-    """Each plain word is drawn once, as itself."""
-    rows = words(spark, sf_dir).where(F.rlike("text", F.lit("^[a-zA-Z(),.]+$")))
+    """Every word with a character that can be written is drawn once."""
+    rows = words(spark, sf_dir)
     op = text_operators(F.col("text"), F.col("ord") * 10.0, F.lit(100.0), F.lit(50.0), F.lit(10.0))
     drawn = rows.withColumn("op", op).where(F.rlike("op", F.lit(r"^BT /F1 8\.96 Tf 3 Tr [\d.]+ Tz [\d.]+ 101\.89 Td \(.*\) Tj ET$")))
     return drawn.select("doc_id", "page", "ord", F.contains("op", F.lit("\\(")).alias("has_paren"))
