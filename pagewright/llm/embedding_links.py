@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .ranges import join_unique
-from .storage import written
+from .storage import free_name, written
 from .vectors import finite_rows
 
 LEAST_COSINE = 0.95
@@ -187,8 +187,9 @@ def group_links(least: float, grid: int):
     return run
 
 
-def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, chunk_rows: int = CHUNK_ROWS, grid: int | None = None) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
+def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, chunk_rows: int = CHUNK_ROWS, grid: int | None = None, locator: str | None = None) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding),
+    and the column ``locator`` of numbers unique by row, if one is named.
 
     Rows are vectors of their own, whatever their vec_id: a repeated row links with its like,
     and component_id is the smallest vec_id that links reach, null only if none there has one.
@@ -197,7 +198,7 @@ def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, chunk_rows: in
     ignored; an empty table gives no rows. Equal vectors are one in the join, with their number.
     ``grid`` is the number of dimensions of the grid; by default it follows the number of rows.
     """
-    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.monotonically_increasing_id().alias("loc"), "embedding")
+    source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), (vectors[locator].cast("long") if locator else F.monotonically_increasing_id()).alias("loc"), "embedding")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,13 +239,17 @@ def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, chunk_rows: in
     least_id = groups.groupBy("label").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("n"))
     groups = join_unique(groups, least_id, ["label"], "n", n_groups)
     groups = groups.select("digest", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component_id")
-    linked = join_unique(some.select("vec_id", "digest"), groups, ["digest"], "copies", rows.count())
-    alone = rows.where("vector IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    every = linked.select("vec_id", "n_links", "component_id").unionByName(alone)
-    return every.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    linked = join_unique(some.select("vec_id", "loc", "digest"), groups, ["digest"], "copies", rows.count())
+    alone = rows.where("vector IS NULL").select("vec_id", "loc", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    every = linked.select("vec_id", "loc", "n_links", "component_id").unionByName(alone)
+    kept = F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return every.select("vec_id", "n_links", "component_id", kept, *([F.col("loc").alias(locator)] if locator else []))
 
 
 def drop_near_vectors(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """The rows of ``vectors`` (all columns) whose vec_id is the least of its component."""
-    kept = vector_links(vectors, least).where("kept AND vec_id IS NOT NULL").select("vec_id").distinct()
-    return vectors.join(kept.hint("merge"), "vec_id", "left_semi").select(*vectors.columns)
+    """The rows of ``vectors`` (all columns) that are kept: with the least vec_id of their component,
+    or without any where no row of it has one. Rows are met by a number in a written copy."""
+    locator = free_name(vectors, "locator")
+    rows = written(vectors.withColumn(locator, F.monotonically_increasing_id()), "vectors-located")
+    kept = vector_links(rows, least, locator=locator).where("kept").select(locator)
+    return rows.join(kept.hint("merge"), locator, "left_semi").select(*vectors.columns)

@@ -69,10 +69,9 @@ def _unpacked(data: bytes, wide: bool, rows: int, dim: int) -> np.ndarray:
 def nearest(part: np.ndarray, entries: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the nearest entry (ties to the lower), its squared distance, and lower minus upper
     bound less what rounding may take; minus infinity where integers are large."""
-    own = np.array(entries, dtype=part.dtype).reshape(len(entries), part.shape[1])
     wide = part.dtype == object or any(abs(v) >= NARROW for e in entries for v in e)
-    if wide:
-        part, own = part.astype(object), own.astype(object)
+    part = part.astype(object) if wide else part
+    own = np.array(entries, dtype=part.dtype).reshape(len(entries), part.shape[1])
     distance = ((part[:, None, :] - own[None, :, :]) ** 2).sum(axis=2) if part.shape[1] else np.zeros((len(part), len(own)), dtype=np.int64)
     best = np.argmin(distance, axis=1)
     rows = np.arange(len(part))
