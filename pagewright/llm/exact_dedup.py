@@ -35,8 +35,10 @@ def keyed_state(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(_rank("n_chars", "doc_id", "locator")).alias("best"), F.count("*").alias("n"))
 
 
-#: Keys that one state store is meant to hold. The number of stores is fixed by the first run.
-KEYS_PER_STORE = 100_000
+#: Bytes that one state store is meant to hold on its disk, and about how many a key takes there.
+#: The number of stores is fixed by the first run.
+BYTES_PER_STORE, KEY_BYTES = 1 << 30, 200
+LEAST_STORES = 12
 
 
 def _session(spark: SparkSession, stores: int) -> SparkSession:
@@ -96,7 +98,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] | None = No
     if not total:
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "locator")
     out = shared_path(spark, "exact-state-rows")
-    run_stream(spark, path, schema, shared_path(spark, "exact-state"), out, max(12, math.ceil(total / KEYS_PER_STORE)), files_per_batch)
+    run_stream(spark, path, schema, shared_path(spark, "exact-state"), out, max(LEAST_STORES, math.ceil(total * KEY_BYTES / BYTES_PER_STORE)), files_per_batch)
     state = written(latest(spark, out, keyed_state(rows).schema), "exact-groups")
 
     # Full bytes of the hits: how many texts each digest stands for.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import cut_points, range_part, split_hot, text_tasks
+from .ranges import MOST_TASKS, range_cuts, range_part, table_of, text_tasks
 from .shingles import pieces, shingle_hashes
 
 K = 256
@@ -131,24 +131,25 @@ def fingerprint_edits(docs: DataFrame, k: int = K, bytes_per_task: int = 32 << 2
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "text")
-    tasks = text_tasks(rows, bytes_per_task)
-    cuts = split_hot(rows.select("id"), "id", cut_points(rows, "id", 4 * tasks), 4 * tasks)
-    rows = rows.select(F.struct(F.col("id").alias("k0"), F.xxhash64("text").alias("k1")).alias("key"), "doc_id", "text")
-    part = len(cuts) - range_part(F.col("key"), cuts)  # ascending as key descends
+    tasks, total = text_tasks(rows, bytes_per_task)
+    cuts = range_cuts(rows.select("id"), "id", tasks, max(tasks, min(4 * tasks, MOST_TASKS)), total)
+    n_parts = len(cuts) + 1
+    rows = rows.select(F.struct(F.col("id").alias("id"), F.xxhash64("text").alias("hash")).alias("key"), "doc_id", "text")
+    part = len(cuts) - range_part(F.col("key.id"), F.col("key.hash"), cuts)  # ascending as key descends
     firsts = rows.select("key", part.alias("part")).groupBy("part").agg(F.max("key").alias("key")).collect()
     first_key = {r["part"]: r["key"] for r in firsts}
     order = sorted(first_key)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the first one's rows go to the last
-    # One small row per range, looked up by position.
-    n_parts = len(cuts) + 1
-    key_of = lambda p: F.struct(*[F.lit(x).cast("long").alias(f"k{i}") for i, x in enumerate(first_key.get(p, (None, None)))])
-    keys = F.array(*[key_of(p) for p in range(n_parts)])
-    to = F.array(*[F.lit(before.get(p, 0)) for p in range(n_parts)])
+    # One small row per range, in one literal each, looked up by position.
+    keys = table_of([dict(zip(("id", "hash"), first_key.get(p, (None, None)))) for p in range(n_parts)], "array<struct<id:bigint,hash:bigint>>")
+    to = table_of([before.get(p, 0) for p in range(n_parts)], "array<int>")
     here = F.struct(F.col("part").alias("part"), F.lit(False).alias("extra"))
     placed = rows.withColumn("part", part)
     places = F.when(F.col("key") == F.get(keys, F.col("part")), F.array(here, F.struct(F.get(to, F.col("part")).alias("part"), F.lit(True).alias("extra")))).otherwise(F.array(here))
     placed = placed.select("key", "doc_id", "text", F.explode(places).alias("place")).select("place.part", "place.extra", "doc_id", "text", "key")
-    placed = placed.repartitionByRange(tasks, "part").sortWithinPartitions("part", "extra", F.desc("key"), F.desc("text")).drop("key")
+    # A task gets ranges next to each other.
+    placed = placed.repartitionById(tasks, F.floor(F.col("part").cast("long") * tasks / n_parts).cast("int"))
+    placed = placed.sortWithinPartitions("part", "extra", F.desc("key"), F.desc("text")).drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row of the batch before

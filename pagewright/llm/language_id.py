@@ -5,7 +5,7 @@ expectation maximisation. A word, written with the vocabulary's word mark in fro
 probability of all its segmentations into pieces together, summed by the forward algorithm;
 a text has that of its words. With equal priors the posterior over languages is the score.
 
-Words are runs of letters, of any length, of the lower-cased text. A character that is no
+Words are runs of letters (marks and numerals of any kind end one), of any length, of the lower-cased text. A character that is no
 piece counts as one of fixed probability, the same for all languages. Sums are rescaled on
 the way, so that they stay within a float's range in words of any length.
 """
@@ -42,7 +42,9 @@ KEPT_LETTERS = 64
 BLOCK_CHARS, RESCALED = 1 << 17, 16
 #: Nats per letter below which the best language doesn't explain a text; see `drop_undetermined`.
 LEAST_LIKELIHOOD = -9.0
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters that Python counts as alphanumeric, but that are neither letters nor decimal digits.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -210,7 +212,7 @@ class Scorer:
             self.logs[first : first + len(new)] = self.word_logs(short + long)
             self.place.update(zip(short + long, range(first, first + len(new))))
         get = self.place.__getitem__
-        out = [(self.logs[np.fromiter(map(get, w), dtype=np.int64, count=len(w))].sum(axis=0), sum(map(len, w))) if any(x.isalpha() for x in w) else None for w in words]
+        out = [(self.logs[np.fromiter(map(get, w), dtype=np.int64, count=len(w))].sum(axis=0), sum(map(len, w))) if w else None for w in words]
         if len(short) < len(new):
             for w in long:
                 del self.place[w]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -12,46 +13,59 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
-def cut_points(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most ``parts`` - 1 ascending integers that split ``key`` into even ranges."""
-    if parts < 2:
+#: No shuffle by range is dealt to more tasks than this: range bounds are kept by the driver.
+MOST_TASKS = 50_000
+_LOW = -(1 << 63)
+
+
+def range_cuts(rows: DataFrame, key: str, tasks: int, parts: int, total: int) -> list[tuple[int, int]]:
+    """Ascending pairs of ``key`` (an integer without nulls) and a 64-bit hash that cut ``rows``
+    into about ``parts`` even ranges, of which a task gets some.
+
+    Inside keys of more rows than a task is to have there are more of them, by the hash alone;
+    there are fewer such keys than ``tasks``. Only the key is read.
+    """
+    if parts < 2 or not total:
         return []
     probs = [i / parts for i in range(1, parts)]
-    found = df.select(F.col(key).cast("double").alias("k")).stat.approxQuantile("k", probs, 0.25 / parts)
-    return sorted({math.ceil(x) for x in found or []})
-
-
-def split_hot(df: DataFrame, key: str, cuts: list[int], parts: int) -> list[tuple[int, int]]:
-    """``cuts`` as pairs of key and hash, with more of them inside keys of more rows than a
-    range is to have: a key is then cut by a hash of 64 bits. There are fewer such keys than
-    ``parts``."""
-    low, space = -(1 << 63), 1 << 64
-    total = df.count()
-    hot = {r[key]: r["n"] for r in df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(1, total // max(1, parts))).collect()} if parts > 1 else {}
-    out = {(c, low) for c in cuts}
-    for k, n in hot.items():
+    found = rows.select(F.col(key).cast("double").alias("k")).stat.approxQuantile("k", probs, 0.25 / parts)
+    out = {(math.ceil(x), _LOW) for x in found or []}
+    most = max(1, total // tasks)
+    for k, n in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > most).collect():
         many = math.ceil(n * parts / total)
-        out |= {(k, low + i * space // many) for i in range(many)}
+        out |= {(k, _LOW + i * (1 << 64) // many) for i in range(many)}
         if k + 1 < 1 << 63:
-            out.add((k + 1, low))
+            out.add((k + 1, _LOW))
     return sorted(out)
 
 
-def range_part(key: Column, cuts: list[int] | list[tuple[int, ...]]) -> Column:
-    """How many of ``cuts`` are at most ``key`` (for pairs, a structure of two): the number of
-    its range, found in two steps."""
+def table_of(values: list, kind: str) -> Column:
+    """``values`` as one literal of the type ``kind``, however many there are."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+def range_part(key: Column, tie: Column, cuts: list[tuple[int, int]]) -> Column:
+    """How many of ``cuts`` are at most (``key``, ``tie``): the number of its range, found in two
+    steps. Where no key is cut by the hash, ``tie`` isn't looked at."""
     if not cuts:
         return F.lit(0)
+    both = any(h != _LOW for _, h in cuts)
+    cuts = [{"k": k, "h": h} for k, h in cuts] if both else [k for k, _ in cuts]
+    kind, key = ("struct<k:bigint,h:bigint>", F.struct(key.alias("k"), tie.alias("h"))) if both else ("bigint", key)
     step = math.isqrt(len(cuts)) + 1
     blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    literal = lambda x: F.struct(*[F.lit(y).cast("long").alias(f"k{i}") for i, y in enumerate(x)]) if isinstance(x, tuple) else F.lit(x).cast("long")
-    nested = F.array(*[F.array(*map(literal, b)) for b in blocks])
-    heads = F.array(*[literal(b[0]) for b in blocks])
-    block = F.size(F.filter(heads, lambda x: x <= key))
-    inside = F.size(F.filter(F.element_at(nested, block), lambda x: x <= key))
+    block = F.size(F.filter(table_of([b[0] for b in blocks], f"array<{kind}>"), lambda x: x <= key))
+    inside = F.size(F.filter(F.element_at(table_of(blocks, f"array<array<{kind}>>"), block), lambda x: x <= key))
     return F.when(block == 0, 0).otherwise((block - 1) * step + inside).cast("int")
 
 
+def text_tasks(rows: DataFrame, bytes_per_task: int = 32 << 20) -> tuple[int, int]:
+    """How many tasks give each about so many bytes of ``text``, or more from MOST_TASKS on; and
+    how many rows there are."""
+    size, total = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    return min(MOST_TASKS, max(1, math.ceil((size or 0) / bytes_per_task))), total
+
+
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """Inner join with ``right``, whose ``keys`` are unique and whose ``count`` column says
     how many of the ``total`` left rows have them.
@@ -64,13 +78,3 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str,
     hot = right.where(F.col(count) > most).drop(count)
     cold = right.where(F.col(count) <= most).drop(count)
     return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys))
-
-
-#: No shuffle by range is dealt to more tasks than this: range bounds are kept by the driver.
-MOST_TASKS = 20_000
-
-
-def text_tasks(rows: DataFrame, bytes_per_task: int = 32 << 20) -> int:
-    """How many tasks give each about so many bytes of ``text``, or more from MOST_TASKS on."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(MOST_TASKS, max(1, math.ceil(size / bytes_per_task)))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,7 +14,14 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_folders: list[str] = []
+#: Folders of `scratch` that are open, by thread: pipelines side by side don't share them.
+_open = threading.local()
+
+
+def _folders() -> list[str]:
+    if not hasattr(_open, "folders"):
+        _open.folders = []
+    return _open.folders
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,13 +33,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="pagewright-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         base = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{(_folders[-1] if _folders else base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{(_folders()[-1] if _folders() else base).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -43,11 +52,11 @@ def delete(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """A folder for all that is written in the block, deleted at its end: what is still to be
     read later must have been written to a path taken before."""
-    _folders.append(shared_path(spark, "scratch"))
+    _folders().append(shared_path(spark, "scratch"))
     try:
         yield
     finally:
-        delete(spark, _folders.pop())
+        delete(spark, _folders().pop())
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

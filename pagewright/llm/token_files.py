@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import MOST_PIECES, split
-from .ranges import text_tasks
+from .ranges import MOST_TASKS, range_cuts, range_part, text_tasks
 from .shingles import pieces
 from .workers import resident
 
@@ -113,11 +113,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int | None = EN
                 start += int(ends[-1]) if len(ends) else 0
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    order = ("doc_id", F.xxhash64("text"))
-    tasks = text_tasks(rows)
-    crowded = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > max(1000, rows.count() // tasks))
-    by = order[:1] if crowded.isEmpty() else order  # the hash needs the text for the bounds too
-    placed = rows.repartitionByRange(tasks, *by).sortWithinPartitions(*order, "text")
+    tasks, total = text_tasks(rows)
+    ids = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))
+    cuts = range_cuts(ids, "id", tasks, min(4 * tasks, MOST_TASKS), total)
+    part = range_part(F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text"), cuts)
+    placed = rows.repartitionById(tasks, F.floor(part.cast("long") * tasks / (len(cuts) + 1)).cast("int")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     (
         placed.mapInArrow(run, SCHEMA)
         .write.option("compression", "zstd")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from pagewright.llm import bpe, bpe_documents, chat_format, exact_dedup, fingerprints, language_id, mixing, near_dedup, secret_scan, shingles, token_counts, token_files  # noqa: E402
+from pagewright.llm import bpe, bpe_documents, chat_format, exact_dedup, fingerprints, language_id, mixing, near_dedup, ranges, secret_scan, shingles, token_counts, token_files  # noqa: E402
 from pagewright.llm.components import connected  # noqa: E402
 from pagewright.llm.storage import shared_path  # noqa: E402
 
@@ -221,6 +221,33 @@ def test_language_of_long_words(spark):
     assert nothing.count() == df.count()
 
 
+def test_letters_beside_numerals(spark):
+    """A letter is a letter beside superscripts, fractions and letters that are numerals; those alone are none."""
+    path = P.path("piece_bpe_32k.model")
+    lists = {"en": "the of and to house water night".split(), "es": "los una casa agua noche años".split()}
+    odd = {1000: "10 m²", 1001: "x² y²", 1002: "½ ² Ⅷ ٣ ①", 1003: "the² house½", 1004: "Ⅷc"}
+    rows = [(i, " ".join(lists[lang] * 5), lang) for i, lang in enumerate(["en", "es"] * 20)] + [(i, t, None) for i, t in odd.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, path).collect()}
+    assert {i for i in odd if got[i] == "und"} == {1002} and got[1003] == "en"
+    assert {1000, 1001, 1003, 1004} <= {r["doc_id"] for r in language_id.drop_undetermined(df, path, least=-20.0).collect()}
+    some = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    assert [c for c in some if bool(language_id._WORD.fullmatch(c)) != c.isalpha()] == []
+
+
+def test_range_cuts(spark):
+    """Ranges ascend with key and hash, are even, and cut a key of a third of the rows."""
+    rows = [(i * 37 % 4001 - 2000,) for i in range(4000)] + [(77,)] * 2000
+    df = spark.createDataFrame(rows, "k long").withColumn("h", F.xxhash64(F.monotonically_increasing_id())).cache()
+    cuts = ranges.range_cuts(df, "k", 8, 32, len(rows))
+    got = df.select("k", "h", ranges.range_part(F.col("k"), F.col("h"), cuts).alias("p")).collect()
+    assert all(r["p"] == sum(c <= (r["k"], r["h"]) for c in cuts) for r in got)
+    assert max(Counter(r["p"] for r in got).values()) < 4 * len(rows) / 32
+    even = ranges.range_cuts(df.where("k <> 77"), "k", 8, 32, 4000)
+    assert all(r["p"] == sum(c <= (r["k"], 0) for c in even) for r in df.select("k", ranges.range_part(F.col("k"), F.lit(None).cast("long"), even).alias("p")).collect())
+    assert ranges.range_cuts(df.limit(0), "k", 8, 32, 0) == []
+
+
 def brute_logs(word: str, p: np.ndarray, number: dict) -> np.ndarray:
     """Log sums over all segmentations, in logarithms throughout."""
     logs = np.full((len(word) + 1, p.shape[1]), -np.inf)
