@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import bpe_documents, exact_dedup, language_id, mixing, near_dedup
-from pagewright.llm.storage import scratch, shared_path, table, written
+from pagewright.llm.storage import delete, scratch, shared_path, table, written
 from pagewright.shipping import ship
 
 
@@ -45,10 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the last stage. What a stage wrote for itself is deleted when its result is written."""
-    docs = table(spark, sf_dir, "documents")
+    """Rows of the last stage. What a stage wrote for itself is deleted when its result is written,
+    and its result when the next one's is; what the last stage reads stays, as its rows are read
+    from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = shared_path(spark, f"pipeline-{name}")
         with scratch(spark):
             docs = written(stage(spark, docs, sf_dir), name, path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
