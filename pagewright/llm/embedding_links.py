@@ -33,7 +33,7 @@ BLOCK_DIMS = 8
 #: Vectors of one chunk, and of a cell that isn't cut.
 CHUNK_ROWS = 4096
 #: By how much one more dimension of the grid thins cells out, about; it only chooses the plan.
-THINS = 2.0
+THINS = 2.5
 #: What budgets and boxes give away to rounding; rotated coordinates are stored as floats.
 SLACK = 1e-5
 TILE_ROWS, TILE_PAIRS = 256, 1 << 15
@@ -75,8 +75,10 @@ def cells(rotated: np.ndarray, width: float, grid: int) -> Iterator[tuple[np.nda
             yield rows, np.where(up, high[rows], low[rows])
 
 
-def placed(groups: DataFrame, least: float, grid: int) -> DataFrame:
-    """dim, block, cell, loc, copies, vector and rotated of every cell that a vector goes to."""
+def placed(groups: DataFrame, least: float, grid: int, payload: bool = True) -> DataFrame:
+    """dim, block and cell of every cell that a vector goes to, with its loc, copies, vector and
+    rotated coordinates if ``payload``."""
+    names = ["dim", "block", "cell", "loc", "copies", "vector", "rotated"][: 7 if payload else 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,18 +88,28 @@ def placed(groups: DataFrame, least: float, grid: int) -> DataFrame:
                 of = np.flatnonzero(dims == dim)
                 for i in range(0, len(of), CHUNK_ROWS):
                     own = of[i : i + CHUNK_ROWS]
-                    x = np.frombuffer(b"".join(raws[k] for k in own), dtype="<f8").reshape(len(own), dim)
-                    turned = (unit(x) @ rotation(dim)).astype("<f4")
+                    turned = (unit(_doubles([raws[k] for k in own], dim)) @ rotation(dim)).astype("<f4")
                     packed = pa.array([r.tobytes() for r in turned], pa.binary())
                     for b, ((first, end), share) in enumerate(zip(blocks_of(dim), budgets(dim, least))):
                         for rows, cell in cells(turned[:, first:end].astype(np.float64), 2 * share**0.5, min(grid, end - first)):
                             take = batch.take(pa.array(own[rows]))
-                            yield pa.RecordBatch.from_arrays(
-                                [take.column(1), pa.array(np.full(len(rows), b, dtype=np.int32)), pa.array([c.tobytes() for c in cell.astype("<i4")], pa.binary()), take.column(0), take.column(2), take.column(3), packed.take(pa.array(rows))],
-                                names=["dim", "block", "cell", "loc", "copies", "vector", "rotated"],
-                            )
+                            columns = [take.column(1), pa.array(np.full(len(rows), b, dtype=np.int32)), pa.array([c.tobytes() for c in cell.astype("<i4")], pa.binary()), take.column(0), take.column(2), take.column(3)]
+                            yield pa.RecordBatch.from_arrays([*columns, packed.take(pa.array(rows))][: len(names)], names=names)
 
-    return groups.select("loc", "dim", "copies", "vector").mapInArrow(run, "dim int, block int, cell binary, loc long, copies long, vector binary, rotated binary")
+    kinds = ("int", "int", "binary", "long", "long", "binary", "binary")
+    return groups.select("loc", "dim", "copies", "vector").mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds))))
+
+
+def _packed(v: np.ndarray) -> bytes:
+    """As floats where those say the same, else as doubles."""
+    short = v.astype("<f4")
+    return short.tobytes() if (short == v).all() else v.astype("<f8").tobytes()
+
+
+def _doubles(packed: list[bytes], dim: int) -> np.ndarray:
+    if len({len(x) for x in packed}) == 1:
+        return np.frombuffer(b"".join(packed), dtype="<f4" if len(packed[0]) == 4 * dim else "<f8").astype(np.float64).reshape(len(packed), dim)
+    return np.stack([np.frombuffer(x, dtype="<f4" if len(x) == 4 * dim else "<f8").astype(np.float64) for x in packed])
 
 
 class Members:
@@ -105,11 +117,10 @@ class Members:
 
     def __init__(self, table: pa.Table, dim: int, first: int, end: int):
         loc = np.asarray(table.column("loc"))
-        read = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind).reshape(len(loc), dim)
-        rotated = read("rotated", "<f4").astype(np.float64)
+        rotated, vectors = (_doubles(table.column(name).to_pylist(), dim) for name in ("rotated", "vector"))
         order = np.argsort(rotated[:, first], kind="stable")
         self.loc, self.rotated, self.copies = loc[order], rotated[order], np.asarray(table.column("copies"))[order]
-        self.vectors = unit(read("vector", "<f8")[order])
+        self.vectors = unit(vectors[order])
         self.block = self.rotated[:, first:end]
         self.square = (self.block * self.block).sum(axis=1)
 
@@ -207,7 +218,7 @@ def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, chunk_rows: in
             for rows, x in finite_rows(batch.column(2)):
                 for k, v in zip(rows.tolist(), x + 0.0):  # a negative zero is a zero
                     if v.any():
-                        packed[k], dims[k] = v.astype("<f8").tobytes(), len(v)
+                        packed[k], dims[k] = _packed(v), len(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dims), pa.array(packed, pa.binary())], names=["vec_id", "loc", "dim", "vector"])
 
     # Locators are fixed by being written.
@@ -221,12 +232,11 @@ def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, chunk_rows: in
         while n_groups / THINS**grid > chunk_rows and grid < BLOCK_DIMS:
             grid += 1
 
-    places = written(placed(groups, least, grid), "vector-places")
     place = ["dim", "block", "cell"]
-    crowded = places.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows)
+    crowded = placed(groups, least, grid, payload=False).groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > chunk_rows)
     crowded = written(crowded.select(*place, F.ceil(F.col("n") / chunk_rows).cast("int").alias("chunks")), "vector-crowded")
     # Written, crowded cells have a known size: Spark broadcasts them if they are few, else merges.
-    chunked = places.join(crowded, place, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunked = placed(groups, least, grid).join(crowded, place, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("loc"), F.col("chunks")).cast("int"))
     other = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     paired = other.withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other")).drop("other", "chunks")

@@ -10,7 +10,6 @@ documents before one, is local_start plus the parts' totals.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +18,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MOST_PIECES, split
+from .bpe import split
 from .ranges import MOST_TASKS, range_cuts, range_part, text_tasks
 from .shingles import pieces
 from .workers import resident
 
 END = 2
+#: Pieces of text that a worker keeps by last use: when there are so many of late, those before go.
+GENERATION = 350_000
+#: New pieces that go to the library at a time.
+NEW_PIECES = 20_000
 ROW_GROUP_BYTES, PAGE_ROWS = 16 << 20, 256
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
 def _encoder(path: str):
-    """The library's tokenizer, how many bytes each id stands for, and the ids, packed, of
-    pieces of text; one per Python worker."""
+    """The library's tokenizer, how many bytes each id stands for, and the ids, packed, of pieces
+    of text, those used of late and those before; one per Python worker."""
 
     def make() -> tuple:
         from tokenizers import Tokenizer
@@ -41,7 +44,7 @@ def _encoder(path: str):
         lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():  # a byte-level token has a character per byte
             lengths[i] = len(token)
-        return tokenizer, lengths, {}
+        return tokenizer, lengths, [{}, {}]
 
     return resident(("token files", path), make)
 
@@ -53,33 +56,41 @@ def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
     before go to the library joined as one text, whose ids are cut where the pieces end;
     other texts go to it whole, and so do all if a token should cross a piece's end.
     """
-    tokenizer, lengths, known = _encoder(path)
-    if len(known) > MOST_PIECES:
-        known.clear()
+    tokenizer, lengths, kept = _encoder(path)
+    if len(kept[0]) > GENERATION:
+        kept[:] = {}, kept[0]
+    known, before = kept
     cut = [split(t) for t in texts]
     whole = [t for t, c in zip(texts, cut) if c is None]
     firsts = [c[0] for c in cut if c]
-    new = list(set().union(*(c[1:] for c in cut if c)).difference(known)) if firsts else []
+    needed = set().union(*(c[1:] for c in cut if c)).difference(known) if firsts else set()
+    for p in before.keys() & needed:
+        known[p] = before[p]
+    new = list(needed.difference(known))
+    for i in range(0, len(new), NEW_PIECES):
+        if not _encode_new(tokenizer, lengths, new[i : i + NEW_PIECES], known):
+            return _whole(tokenizer, texts)
+    first_ids, whole_ids = iter(_whole(tokenizer, firsts)), iter(_whole(tokenizer, whole))
+    get = known.__getitem__
+    return [next(whole_ids) if c is None else np.frombuffer(next(first_ids).tobytes() + b"".join(map(get, c[1:])), dtype="<u4") for c in cut]
+
+
+def _whole(tokenizer, texts: list[str]) -> list[np.ndarray]:
+    return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+
+def _encode_new(tokenizer, lengths: np.ndarray, new: list[str], known: dict[str, bytes]) -> bool:
+    """Add the packed ids of new pieces; False if a token crosses a piece's end."""
     spelled = [p if p[:1] == "\n" else " " + p for p in new]
-    encodings = tokenizer.encode_batch_fast(["".join(spelled), *firsts, *whole], add_special_tokens=False)
-    ids = np.array(encodings[0].ids, dtype="<u4")
+    ids = np.array(tokenizer.encode_batch_fast(["".join(spelled)], add_special_tokens=False)[0].ids, dtype="<u4")
     ends = np.cumsum(lengths[ids])
     borders = np.cumsum([len(p.encode()) for p in spelled], dtype=np.int64)
     at = np.searchsorted(ends, borders) + 1
-    if len(new) and (at[-1] != len(ids) or (ends[at - 1] != borders).any()):
-        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    if at[-1] != len(ids) or (ends[at - 1] != borders).any():
+        return False
     packed, at = ids.tobytes(), [0, *(4 * at).tolist()]
     known.update(zip(new, (packed[i:j] for i, j in zip(at, at[1:]))))
-    first_ids = iter(encodings[1 : 1 + len(firsts)])
-    whole_ids = iter(encodings[1 + len(firsts) :])
-    get = known.__getitem__
-    out = []
-    for c in cut:
-        if c is None:
-            out.append(np.array(next(whole_ids).ids, dtype="<u4"))
-        else:
-            out.append(np.frombuffer(array("I", next(first_ids).ids).tobytes() + b"".join(map(get, c[1:])), dtype="<u4"))
-    return out
+    return True
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int | None = END) -> None:
@@ -159,6 +170,7 @@ def token_checksums(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens (counted anew) and ids_crc32 of rows of `read_tokens`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("token checksums", lambda: None)  # a tokenizer that the worker has kept is let go
         for b in batches:
             lists = b.column(2)
             ids = np.asarray(lists.flatten(), dtype="<u4")
