@@ -233,18 +233,20 @@ class Pieces(dict):
         return value
 
 
-def split(text: str) -> list[str] | None:
-    """The text cut at its blanks, where every cut is also one between pretokens, else None.
+def cuttable(text: str) -> bool:
+    """Whether every blank of the text is also a border of pretokens: blanks are single spaces and
+    line feeds inside the text."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+        return False
+    return text.replace("\n", " ").isprintable()  # no other white space, no controls
+
 
-    That is so when blanks are single spaces and line feeds inside the text. A piece other
-    than the first stands for itself with a space before it, unless it begins with the line
-    feed that was before it.
+def split(text: str) -> list[str] | None:
+    """The text cut at its blanks, if it is `cuttable`, else None. A piece other than the first
+    stands for itself with a space before it, unless it begins with the line feed that was
+    before it.
     """
-    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
-        return None
-    if not text.replace("\n", " ").isprintable():  # other white space, controls
-        return None
-    return text.replace("\n", " \n").split(" ")
+    return text.replace("\n", " \n").split(" ") if cuttable(text) else None
 
 
 class ByteBpe:

@@ -16,6 +16,7 @@ cut into chunks, and all pairs of chunks are groups.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +31,16 @@ from .vectors import finite_rows
 
 LEAST_COSINE = 0.95
 BLOCK_DIMS = 8
-#: Vectors of one chunk, and of a cell that isn't cut.
-CHUNK_ROWS = 4096
+#: Vectors of one chunk, and of a cell that isn't cut. A vector is sent once per chunk of its cell.
+CHUNK_ROWS = 16_384
 #: By how much one more dimension of the grid thins cells out, about; it only chooses the plan.
-THINS = 2.5
+THINS = 1.7
 #: What budgets and boxes give away to rounding; rotated coordinates are stored as floats.
 SLACK = 1e-5
+#: Rows of a tile, and pairs that are looked at whole at a time.
 TILE_ROWS, TILE_PAIRS = 256, 1 << 15
+#: Vectors of length 1 have squared distances as floats that are out by less than this.
+FLOAT_SLACK = 2e-6
 SEED = 20
 
 
@@ -65,8 +69,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def cells(rotated: np.ndarray, width: float, grid: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers and cells (integers by grid dimension) that boxes around the rows, as wide as
-    half a cell, touch. Cells are counted from half a cell below zero."""
-    at = rotated[:, :grid] / width + 0.5
+    half a cell, touch."""
+    at = rotated[:, :grid] / width
     low, high = np.floor(at - 0.25 - SLACK).astype(np.int32), np.floor(at + 0.25 + SLACK).astype(np.int32)
     for corner in range(1 << grid):
         up = (corner >> np.arange(grid)) & 1 == 1
@@ -113,33 +117,47 @@ def _doubles(packed: list[bytes], dim: int) -> np.ndarray:
 
 
 class Members:
-    """Vectors of one side of a group, ordered by their first coordinate in the block."""
+    """Vectors of one side of a group, in slabs of about equally many by the block's first
+    coordinate, and in each slab ascending by its second; a block of one dimension has one slab."""
 
     def __init__(self, table: pa.Table, dim: int, first: int, end: int):
         loc = np.asarray(table.column("loc"))
         rotated, vectors = (_doubles(table.column(name).to_pylist(), dim) for name in ("rotated", "vector"))
+        n = len(loc)
+        self.by = min(first + 1, end - 1)
+        slabs = max(1, math.isqrt(n // TILE_ROWS)) if end - first > 1 else 1
+        self.ends = [n * k // slabs for k in range(slabs + 1)]
         order = np.argsort(rotated[:, first], kind="stable")
+        for a, b in zip(self.ends, self.ends[1:]):
+            order[a:b] = order[a:b][np.argsort(rotated[order[a:b], self.by], kind="stable")]
         self.loc, self.rotated, self.copies = loc[order], rotated[order], np.asarray(table.column("copies"))[order]
         self.vectors = unit(vectors[order])
-        self.block = self.rotated[:, first:end]
+        self.low = [self.rotated[a:b, first].min() if b > a else np.inf for a, b in zip(self.ends, self.ends[1:])]
+        self.high = [self.rotated[a:b, first].max() if b > a else -np.inf for a, b in zip(self.ends, self.ends[1:])]
+        self.block = self.rotated[:, first:end].astype(np.float32)
         self.square = (self.block * self.block).sum(axis=1)
+        self.key = self.rotated[:, self.by].copy()
 
     def near(self, other: Members, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows (own, other's) within the block's share; of a group with itself each once."""
-        reach = share**0.5
-        for i in range(0, len(self.loc), TILE_ROWS):
-            own = slice(i, min(i + TILE_ROWS, len(self.loc)))
-            low, high = np.searchsorted(other.block[:, 0], (self.block[i, 0] - reach, self.block[own.stop - 1, 0] + reach + SLACK))
-            low = max(low, i) if other is self else low
-            if low >= high:
-                continue
-            square = self.square[own, None] + other.square[None, low:high] - 2 * (self.block[own] @ other.block[low:high].T)
-            a, b = np.nonzero(square <= share + SLACK * SLACK)
-            a, b = a + i, b + low
-            if other is self:
-                a, b = a[b > a], b[b > a]
-            for k in range(0, len(a), TILE_PAIRS):
-                yield a[k : k + TILE_PAIRS], b[k : k + TILE_PAIRS]
+        """Pairs of rows (own, other's) within the block's share, and some little over it; of a
+        group with itself each once."""
+        reach = share**0.5 + SLACK
+        for slab, (start, stop) in enumerate(zip(self.ends, self.ends[1:])):
+            for i in range(start, stop, TILE_ROWS):
+                j = min(i + TILE_ROWS, stop)
+                for k, (low, high) in enumerate(zip(other.ends, other.ends[1:])):
+                    if (other is self and k < slab) or other.low[k] > self.high[slab] + reach or other.high[k] < self.low[slab] - reach:
+                        continue
+                    a, b = low + np.searchsorted(other.key[low:high], (self.key[i] - reach, self.key[j - 1] + reach), side="left")
+                    a = max(a, i) if other is self and k == slab else a
+                    if a < b:
+                        square = self.square[i:j, None] + other.square[None, a:b] - 2 * (self.block[i:j] @ other.block[a:b].T)
+                        x, y = np.nonzero(square <= np.float32(share + FLOAT_SLACK))
+                        x, y = x + i, y + a
+                        if other is self and k == slab:
+                            x, y = x[y > x], y[y > x]
+                        for at in range(0, len(x), TILE_PAIRS):
+                            yield x[at : at + TILE_PAIRS], y[at : at + TILE_PAIRS]
 
 
 class Links:
@@ -182,7 +200,7 @@ def group_links(least: float, grid: int):
         links = Links(loc)
         for a, b in left.near(right, shares[block]):
             x, y = left.rotated[a], right.rotated[b]
-            here = np.floor((x[:, first : first + grids] + y[:, first : first + grids]) / 2 / width + 0.5).astype(np.int32)
+            here = np.floor((x[:, first : first + grids] + y[:, first : first + grids]) / 2 / width).astype(np.int32)
             squares = np.add.reduceat((x - y) ** 2, [s for s, _ in ends], axis=1)
             within = squares <= shares
             good = (here == cell).all(axis=1) & within[:, block] & ~within[:, :block].any(axis=1)

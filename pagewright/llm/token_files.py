@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import split
+from .bpe import cuttable
 from .ranges import MOST_TASKS, range_cuts, range_part, text_tasks
 from .shingles import pieces
 from .workers import resident
@@ -26,6 +27,8 @@ from .workers import resident
 END = 2
 #: Pieces of text that a worker keeps by last use: when there are so many of late, those before go.
 GENERATION = 350_000
+#: Text that is encoded at a time: the more there is, the fewer of its pieces differ.
+BATCH_BYTES = 4 << 20
 #: New pieces that go to the library at a time.
 NEW_PIECES = 20_000
 ROW_GROUP_BYTES, PAGE_ROWS = 16 << 20, 256
@@ -52,7 +55,7 @@ def _encoder(path: str):
 def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
     """Ids of each text as the library gives them, without added special tokens.
 
-    Texts whose blanks are pretoken borders (`bpe.split`) are cut there. Pieces not seen
+    Texts whose blanks are pretoken borders (`bpe.cuttable`) are cut there. Pieces not seen
     before go to the library joined as one text, whose ids are cut where the pieces end;
     other texts go to it whole, and so do all if a token should cross a piece's end.
     """
@@ -60,19 +63,35 @@ def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
     if len(kept[0]) > GENERATION:
         kept[:] = {}, kept[0]
     known, before = kept
-    cut = [split(t) for t in texts]
-    whole = [t for t, c in zip(texts, cut) if c is None]
-    firsts = [c[0] for c in cut if c]
-    needed = set().union(*(c[1:] for c in cut if c)).difference(known) if firsts else set()
-    for p in before.keys() & needed:
-        known[p] = before[p]
-    new = list(needed.difference(known))
+    cut = [cuttable(t) for t in texts]
+    parts = pc.split_pattern(pc.replace_substring(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string()), "\n", " \n"), " ")
+    starts = np.asarray(parts.offsets, dtype=np.int64)
+    behind = np.ones(len(parts.values), dtype=bool)
+    behind[starts[:-1]] = False
+    # Pieces behind each text's first, as places in the list of those that differ.
+    coded = parts.values.filter(pa.array(behind)).dictionary_encode()
+    place, needed = np.asarray(coded.indices), coded.dictionary.to_pylist()
+    new = []
+    for p in needed:
+        if p not in known:
+            if p in before:
+                known[p] = before[p]
+            else:
+                new.append(p)
     for i in range(0, len(new), NEW_PIECES):
         if not _encode_new(tokenizer, lengths, new[i : i + NEW_PIECES], known):
             return _whole(tokenizer, texts)
-    first_ids, whole_ids = iter(_whole(tokenizer, firsts)), iter(_whole(tokenizer, whole))
-    get = known.__getitem__
-    return [next(whole_ids) if c is None else np.frombuffer(next(first_ids).tobytes() + b"".join(map(get, c[1:])), dtype="<u4") for c in cut]
+    packed = [known[p] for p in needed]
+    every = np.frombuffer(b"".join(packed), dtype="<u4")
+    sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+    size, first = sizes[place], (np.cumsum(sizes) - sizes)[place]
+    upto = np.concatenate(([0], np.cumsum(size)))
+    ids = every[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
+    ends = upto[starts[1:] - np.arange(1, len(starts))]
+    first_ids = _whole(tokenizer, parts.values.take(pa.array(starts[:-1])).to_pylist())
+    cut_ids = (np.concatenate((x, y)) for x, y in zip(first_ids, np.split(ids, ends[:-1])))
+    whole_ids = iter(_whole(tokenizer, [t for t, c in zip(texts, cut) if not c]))
+    return [next(cut_ids) if c else next(whole_ids) for c in cut]
 
 
 def _whole(tokenizer, texts: list[str]) -> list[np.ndarray]:
@@ -104,7 +123,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int | None = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at, to in pieces(batch.column(1)):
+            for at, to in pieces(batch.column(1), BATCH_BYTES):
                 b = batch.slice(at, to - at)
                 ids = encode_batch(tokenizer, [t or "" for t in b.column(1).to_pylist()])
                 if end is not None:

@@ -200,7 +200,7 @@ def test_every_near_pair_shares_a_block():
     assert within[fine].any(axis=1).all()
     width = 2 * shares[0] ** 0.5
     of = [[{tuple(c) for c in cell[rows == i].tolist()} for i in range(300) for rows, cell in [merged]] for v in (x, y) for merged in [tuple(map(np.concatenate, zip(*embedding_links.cells(v[:300, :8], width, 3))))]]
-    middle = np.floor((x + y)[:300, :3] / 2 / width + 0.5).astype(int)
+    middle = np.floor((x + y)[:300, :3] / 2 / width).astype(int)
     for i in np.flatnonzero(within[:300, 0]):
         assert tuple(middle[i]) in of[0][i] & of[1][i]
 
