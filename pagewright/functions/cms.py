@@ -26,7 +26,12 @@ def children(data: bytes) -> Iterator[tuple[int, bytes]]:
         end = ber_end(data, at)
         if end is None:
             return
-        size, head = data[at + 1], at + 2
+        head = at + 1
+        if data[at] & 31 == 31:  # a tag of several bytes: all but the last have the high bit
+            while data[head] & 128:
+                head += 1
+            head += 1
+        size, head = data[head], head + 1
         if size == 128:
             yield data[at], data[head : end - 2]
         else:
@@ -96,9 +101,9 @@ def facts(blob: bytes) -> dict | None:
     for tag, contents in info[3:4]:
         if tag == FIRST:
             for _, attribute in children(contents):
-                name, *values = children(attribute)
-                if name[0] == OID and oid(name[1]) == MESSAGE_DIGEST and values:
-                    first = next(children(values[0][1]), None)
+                values = list(children(attribute))
+                if len(values) > 1 and values[0][0] == OID and oid(values[0][1]) == MESSAGE_DIGEST:
+                    first = next(children(values[1][1]), None)
                     sealed = first[1] if first and first[0] == OCTETS else None
                     break
     certificates = next((c for t, c in rows if t == FIRST), b"")

@@ -1,16 +1,17 @@
 """Form fields as rows: what they are, what resetting and setting them gives, where they are.
 
 Field tables have doc_id, name (full dotted name), ft (inherited type), flags and value;
-widgets doc_id, widget, own_page; annotations doc_id, page, widget.
+widgets doc_id, widget, own_page; annotations doc_id, page, widget. Fields are met by doc_id and
+name, so copies of a form don't meet each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bits of field flags.
-MULTILINE, PUSHBUTTON, COMB = 1 << 12, 1 << 16, 1 << 24
+READ_ONLY, MULTILINE, RADIO, PUSHBUTTON, COMB = 1, 1 << 12, 1 << 15, 1 << 16, 1 << 24
 ALL, ONLY, EXCEPT = "all", "only", "except"
 
 
@@ -19,9 +20,9 @@ def has_flag(flags: Column, bit: int) -> Column:
 
 
 def field_kind(ft: Column, flags: Column) -> Column:
-    """Text, multiline_text, dropdown, checkbox, signature or unknown."""
+    """Text, multiline_text, dropdown, radio, checkbox, signature or unknown."""
     text = F.when(has_flag(flags, MULTILINE), "multiline_text").otherwise("text")
-    button = F.when(has_flag(flags, PUSHBUTTON), "unknown").otherwise("checkbox")
+    button = F.when(has_flag(flags, RADIO), "radio").when(has_flag(flags, PUSHBUTTON), "unknown").otherwise("checkbox")
     return F.when(ft == "Tx", text).when(ft == "Ch", "dropdown").when(ft == "Btn", button).when(ft == "Sig", "signature").otherwise("unknown")
 
 
@@ -61,11 +62,15 @@ def reset_scope(names: Column, flags: Column) -> Column:
     return F.when(F.coalesce(F.size(names), F.lit(0)) <= 0, ALL).when(has_flag(flags, 1), EXCEPT).otherwise(ONLY)
 
 
+_KEYS = ["doc_id", "name"]
+
+
 def in_scope(fields: DataFrame, scope: str, names: DataFrame | None = None) -> DataFrame:
-    """Fields that a scope takes in: all, only those named, or all except those."""
+    """Fields that a scope takes in: all, only those named, or all except those. ``names`` has
+    doc_id and name; of documents that it doesn't have, no field is named."""
     if scope == ALL:
         return fields
-    return fields.join(names.select("name").distinct(), "name", "left_semi" if scope == ONLY else "left_anti")
+    return fields.join(names.select(*_KEYS).distinct(), _KEYS, "left_semi" if scope == ONLY else "left_anti")
 
 
 def cleared(ft: Column, default: Column) -> Column:
@@ -75,31 +80,56 @@ def cleared(ft: Column, default: Column) -> Column:
 
 
 def reset(fields: DataFrame, scope: str, names: DataFrame | None = None) -> DataFrame:
-    """Fields (name, ft, value, default, ...) with those in scope reset, the others as they are."""
+    """Fields (doc_id, name, ft, value, default, ...) with those in scope reset, the others as
+    they are."""
     if scope == ALL:
         return fields.withColumn("value", cleared(F.col("ft"), F.col("default")))
-    listed = names.select("name").distinct().withColumn("_listed", F.lit(True))
-    rows = fields.join(listed, "name", "left")
+    listed = names.select(*_KEYS).distinct().withColumn("_listed", F.lit(True))
+    rows = fields.join(listed, _KEYS, "left")
     taken = F.coalesce("_listed", F.lit(False)) == (scope == ONLY)
     return rows.withColumn("value", F.when(taken, cleared(F.col("ft"), F.col("default"))).otherwise(F.col("value"))).drop("_listed")
 
 
 def button_states(kids: DataFrame, values: DataFrame) -> DataFrame:
-    """Kids (field, kid, states) with the state each shows for the field's new value (field,
-    value): the value where the kid has an appearance of that name, else off."""
-    rows = kids.join(values, "field")
+    """Kids (doc_id, name, kid, states) with the state each shows for the field's new value
+    (doc_id, name, value): the value where the kid has an appearance of that name, else off."""
+    rows = kids.join(values, _KEYS)
     return rows.withColumn("state", F.when(F.array_contains("states", F.col("value")), F.col("value")).otherwise("Off"))
 
 
 def set_values(fields: DataFrame, new: DataFrame) -> DataFrame:
-    """Fields with the values of ``new`` (name, value) where there are some. A name that no
-    field has fails the job."""
-    given = new.select("name", F.col("value").alias("_new"), F.lit(True).alias("_given"))
+    """Fields with the values of ``new`` (doc_id, name, value) where there are some. A name
+    that no field of its document has fails the job."""
+    given = new.select(*_KEYS, F.col("value").alias("_new"), F.lit(True).alias("_given"))
     here = fields.withColumn("_here", F.lit(True))
-    rows = here.join(given, "name", "full_outer").where(F.assert_true(F.coalesce("_here", F.lit(False)), "no field of that name").isNull())
+    rows = here.join(given, _KEYS, "full_outer").where(F.assert_true(F.coalesce("_here", F.lit(False)), "no field of that name").isNull())
     return rows.withColumn("value", F.when(F.col("_given"), F.col("_new")).otherwise(F.col("value"))).drop("_new", "_given", "_here")
 
 
+def form_fields(fields: DataFrame, widgets: DataFrame) -> DataFrame:
+    """What a form offers: doc_id, name, kind, value, export_value, options,
+    read_only, widget and page of terminal fields (doc_id, name, ft, flags, value, options) by their
+    widgets (doc_id, name, widget, page, states; states are names of appearances).
+
+    A group of radio buttons is a row per button, each with its own export value, '' where it has
+    no state for on, and the group's value; any other field is one row, at its least widget. A box
+    that names no state exports Yes. Texts and lists have their value, or an empty one; buttons
+    have Off for none; lists have the shown texts of their options. Fields without a widget on a
+    page are left out.
+    """
+    kind = field_kind(F.col("ft"), F.col("flags"))
+    on = F.try_element_at(F.array_remove("states", "Off"), F.lit(1))
+    here = widgets.where("page <> 0").select(*_KEYS, "widget", "page", on.alias("_on"))
+    rows = fields.withColumn("kind", kind).join(here, _KEYS)
+    place = Window.partitionBy(*_KEYS).orderBy("widget")
+    rows = rows.withColumn("_n", F.row_number().over(place)).where((F.col("_n") == 1) | (F.col("kind") == "radio"))
+    value = F.when(F.col("kind").isin("text", "multiline_text", "dropdown"), F.coalesce("value", F.lit(""))).when(F.col("kind").isin("radio", "checkbox"), F.coalesce("value", F.lit("Off"))).otherwise("")
+    export = F.when(F.col("kind") == "radio", F.coalesce("_on", F.lit(""))).when(F.col("kind") == "checkbox", F.coalesce("_on", F.lit("Yes"))).otherwise("")
+    shown = F.when(F.col("kind") == "dropdown", F.transform("options", option_label))
+    options = F.coalesce(shown, F.array().cast("array<string>"))
+    return rows.select(*_KEYS, "kind", value.alias("value"), export.alias("export_value"), options.alias("options"), has_flag(F.col("flags"), READ_ONLY).alias("read_only"), "widget", "page")
+
+
 def widget_pages(annotations: DataFrame) -> DataFrame:
     """doc_id, widget and the (first) page it is on, of every annotation on a page."""
     return annotations.groupBy("doc_id", "widget").agg(F.min("page").alias("page"))

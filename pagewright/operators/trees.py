@@ -2,7 +2,7 @@
 
 What a node has from its ancestors is found by doubling: each round joins a node's path so
 far with the path of the node it has come to, so a tree of depth d takes about log2(d)
-rounds. Each round is checkpointed. There is no bound on depth. Nodes below a cycle, or below
+rounds. Each round is written to the shared folder, and the one before deleted. There is no bound on depth. Nodes below a cycle, or below
 a parent that isn't there, aren't reached from a root and are left out (`unrooted` has them).
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import kept
+from ..lineage import Rounds
 
 #: How a path from an ancestor (``a_<name>``) and the one that begins below it (``<name>``) join.
 Join = Callable[[Column, Column], Column]
@@ -21,12 +21,11 @@ Join = Callable[[Column, Column], Column]
 
 def _doubled(nodes: DataFrame, state: dict[str, tuple[Column, Join]]) -> DataFrame:
     """node, up (null once a root is passed), depth and state of every node's longest path."""
-    names = list(state)
-    paths = kept(nodes.select("node", F.col("parent").alias("up"), F.lit(0).alias("depth"), *[state[n][0].alias(n) for n in names]))
-    left = paths.where("up IS NOT NULL").count()
+    names, rounds, open_ = list(state), Rounds(nodes.sparkSession), F.col("up").isNotNull()
+    paths, left = rounds.keep(nodes.select("node", F.col("parent").alias("up"), F.lit(0).alias("depth"), *[state[n][0].alias(n) for n in names]), open_)
     while left:
         above = paths.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("a_depth"), *[F.col(n).alias(f"a_{n}") for n in names], F.lit(True).alias("there"))
-        joined = paths.where("up IS NOT NULL").join(above, "up", "left")
+        joined = paths.where(open_).join(above, "up", "left")
         # A path that ends in a parent that isn't there stays as it is.
         moved = joined.select(
             "node",
@@ -34,8 +33,9 @@ def _doubled(nodes: DataFrame, state: dict[str, tuple[Column, Join]]) -> DataFra
             F.when(F.col("there"), F.col("depth") + F.col("a_depth") + 1).otherwise(F.col("depth")).alias("depth"),
             *[F.when(F.col("there"), state[n][1](F.col(f"a_{n}"), F.col(n))).otherwise(F.col(n)).alias(n) for n in names],
         )
-        paths = kept(paths.where("up IS NULL").unionByName(moved))
-        before, left = left, paths.where("up IS NOT NULL").count()
+        before = left
+        paths, left = rounds.keep(paths.where(~open_).unionByName(moved), open_)
+        rounds.forget(rounds.n - 1)
         if left == before:  # a tree has nodes at every depth, so what is left has no root
             break
     return paths
@@ -82,25 +82,30 @@ def with_live_descendant(nodes: DataFrame, live: DataFrame) -> DataFrame:
     By doubling: who is within 2^k steps above a live node is so within 2^(k+1) steps if it
     is 2^k steps above one that is.
     """
-    found = kept(live.select("node").distinct())
-    hops = kept(nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("up")))
-    n = found.count()
+    rounds = Rounds(nodes.sparkSession)
+    found, n = rounds.keep(live.select("node").distinct())
+    hops, _ = rounds.keep(nodes.where("parent IS NOT NULL").select("node", F.col("parent").alias("up")))
     while True:
         above = hops.join(found, "node", "left_semi").select(F.col("up").alias("node"))
-        found = kept(found.union(above).distinct())
-        before, n = n, found.count()
-        twice = kept(hops.join(hops.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
+        before = n
+        found, n = rounds.keep(found.union(above).distinct())
         # Nothing new within 2^k steps of what is known means nothing new further up.
-        if n == before or twice.isEmpty():
+        if n == before:
             return found
-        hops = twice
+        done = rounds.n - 2
+        hops, twice = rounds.keep(hops.join(hops.select(F.col("node").alias("up"), F.col("up").alias("next")), "up").select("node", F.col("next").alias("up")))
+        if not twice:
+            return found
+        rounds.forget(done)
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes of a graph (src, dst) that can be reached from the roots (node): level by level,
     each node once, until a level is empty."""
-    found = level = kept(roots.select("node").distinct())
-    while not level.isEmpty():
-        level = kept(edges.join(level.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti"))
-        found = kept(found.union(level))
+    rounds = Rounds(edges.sparkSession)
+    (found, n), level = rounds.keep(roots.select("node").distinct()), roots.select("node").distinct()
+    while n:
+        level, n = rounds.keep(edges.join(level.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(found, "node", "left_anti"))
+        if n:
+            found, _ = rounds.keep(found.union(level))
     return found

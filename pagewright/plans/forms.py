@@ -133,14 +133,14 @@ _FT = "CASE p_partkey % 5 WHEN 0 THEN 'Tx' WHEN 1 THEN 'Ch' WHEN 2 THEN 'Btn' WH
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    """k, ft, flags, value and default of a field for each part."""
+    """k, doc_id (a third of the parts each), name, ft, flags, value and default of a field for each part."""
     ft = F.element_at(F.array(*[F.lit(x) for x in ("Tx", "Ch", "Btn", "Sig", "Zz")]), (F.col("p_partkey") % 5 + 1).cast("int"))
-    flags = F.when(ft == "Tx", F.col("p_size") * 4096).when(ft == "Btn", F.col("p_size") * 65536)
+    flags = F.when(ft == "Tx", F.col("p_size") * 4096).when(ft == "Btn", F.col("p_size") * 32768)
     default = F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_type").alias("name"), ft.alias("ft"), flags.alias("flags"), F.col("p_name").alias("value"), default.alias("default"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 3).alias("doc_id"), F.col("p_type").alias("name"), ft.alias("ft"), flags.alias("flags"), F.col("p_name").alias("value"), default.alias("default"))
 
 
-@book.query(f"SELECT p_partkey AS k, CASE {_FT} WHEN 'Tx' THEN CASE WHEN (p_size * 4096) & 4096 <> 0 THEN 'multiline_text' ELSE 'text' END WHEN 'Ch' THEN 'dropdown' WHEN 'Btn' THEN CASE WHEN (p_size * 65536) & 65536 <> 0 THEN 'unknown' ELSE 'checkbox' END WHEN 'Sig' THEN 'signature' ELSE 'unknown' END AS field_type FROM part")
+@book.query(f"SELECT p_partkey AS k, CASE {_FT} WHEN 'Tx' THEN CASE WHEN (p_size * 4096) & 4096 <> 0 THEN 'multiline_text' ELSE 'text' END WHEN 'Ch' THEN 'dropdown' WHEN 'Btn' THEN CASE WHEN (p_size * 32768) & 32768 <> 0 THEN 'radio' WHEN (p_size * 32768) & 65536 <> 0 THEN 'unknown' ELSE 'checkbox' END WHEN 'Sig' THEN 'signature' ELSE 'unknown' END AS field_type FROM part")
 def b15_classify(spark, sf_dir):
     return _parts(spark, sf_dir).select("k", O.field_kind(F.col("ft"), F.col("flags")).alias("field_type"))
 
@@ -177,13 +177,15 @@ def h17_on_states(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), O.on_states(F.map_from_arrays(names, names)).alias("states"))
 
 
-_LISTED = "('ECONOMY', 'PROMO')"
+#: Named are two fields of document 1 and one of document 2: the others of those names aren't.
+_LISTED = "(p_partkey % 3, p_type) IN ((1, 'ECONOMY'), (1, 'PROMO'), (2, 'PROMO'))"
+_NAMED = [(1, "ECONOMY"), (1, "PROMO"), (2, "PROMO")]
 
 
-@book.query(f"SELECT p_partkey AS k, s.scope FROM part, (SELECT 'all' AS scope UNION ALL SELECT 'only' UNION ALL SELECT 'except') s WHERE s.scope = 'all' OR (s.scope = 'only') = (p_type IN {_LISTED})")
+@book.query(f"SELECT p_partkey AS k, s.scope FROM part, (SELECT 'all' AS scope UNION ALL SELECT 'only' UNION ALL SELECT 'except') s WHERE s.scope = 'all' OR (s.scope = 'only') = ({_LISTED})")
 def g07_reset_scope(spark, sf_dir):
-    """Fields in each kind of scope over two names."""
-    names = spark.createDataFrame([("ECONOMY",), ("PROMO",)], "name string")
+    """Fields in each kind of scope over names of two documents."""
+    names = spark.createDataFrame(_NAMED, "doc_id long, name string")
     parts = [O.in_scope(_parts(spark, sf_dir), scope, names).select("k", F.lit(scope).alias("scope")) for scope in (O.ALL, O.ONLY, O.EXCEPT)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -194,10 +196,10 @@ def g08_scope_of_button(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("button"), O.reset_scope(names, F.col("o_custkey")).alias("scope"))
 
 
-@book.query(f"SELECT p_partkey AS k, CASE WHEN p_type NOT IN {_LISTED} THEN p_name WHEN {_FT} = 'Sig' THEN NULL WHEN p_size % 2 = 0 THEN p_brand WHEN {_FT} = 'Btn' THEN 'Off' ELSE '' END AS value FROM part")
+@book.query(f"SELECT p_partkey AS k, CASE WHEN NOT ({_LISTED}) THEN p_name WHEN {_FT} = 'Sig' THEN NULL WHEN p_size % 2 = 0 THEN p_brand WHEN {_FT} = 'Btn' THEN 'Off' ELSE '' END AS value FROM part")
 def g09_reset_in_scope(spark, sf_dir):
     """Only the named fields go back to their default."""
-    names = spark.createDataFrame([("ECONOMY",), ("PROMO",)], "name string")
+    names = spark.createDataFrame(_NAMED, "doc_id long, name string")
     return O.reset(_parts(spark, sf_dir), O.ONLY, names).select("k", "value")
 
 
@@ -208,20 +210,37 @@ def g10_reset_field(spark, sf_dir):
 
 @book.query("SELECT l_orderkey AS field, l_linenumber AS kid, CASE WHEN l_linenumber % 3 = l_orderkey % 3 THEN 'v' || l_orderkey % 3 ELSE 'Off' END AS state FROM lineitem")
 def g11_radio_states(spark, sf_dir):
-    """The kids that bear the value are on, their siblings are off."""
+    """The kids that bear the value are on, their siblings are off; every order is a form with one group."""
     name = lambda c: F.concat(F.lit("v"), (F.col(c) % 3).cast("string"))
-    rows = table(spark, sf_dir, "lineitem")
-    kids = rows.select(F.col("l_orderkey").alias("field"), F.col("l_linenumber").alias("kid"), F.array(F.lit("Off"), name("l_linenumber")).alias("states"))
-    values = rows.select(F.col("l_orderkey").alias("field"), name("l_orderkey").alias("value")).distinct()
-    return O.button_states(kids, values).select("field", "kid", "state")
+    rows = table(spark, sf_dir, "lineitem").withColumn("name", F.lit("group"))
+    kids = rows.select(F.col("l_orderkey").alias("doc_id"), "name", F.col("l_linenumber").alias("kid"), F.array(F.lit("Off"), name("l_linenumber")).alias("states"))
+    values = rows.select(F.col("l_orderkey").alias("doc_id"), "name", name("l_orderkey").alias("value")).distinct()
+    return O.button_states(kids, values).select(F.col("doc_id").alias("field"), "kid", "state")
 
 
-@book.query("SELECT c_custkey AS field, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN s_name END, c_name) AS value FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey")
+@book.query("SELECT n_nationkey AS doc_id, c_custkey AS field, CASE WHEN n_nationkey = 1 AND s_suppkey IS NOT NULL THEN s_name ELSE c_name END AS value FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey, nation WHERE n_nationkey < 3")
 def g12_set_values(spark, sf_dir):
-    """A keyed update: new values where there are some."""
-    fields = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_name").alias("value"))
-    new = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_name").alias("value")).join(fields.select("name"), "name", "left_semi")
-    return O.set_values(fields, new).select(F.col("name").alias("field"), "value")
+    """A keyed update in one of three copies of a form: new values where there are some."""
+    copies = table(spark, sf_dir, "nation").where("n_nationkey < 3").select(F.col("n_nationkey").alias("doc_id"))
+    fields = copies.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.col("c_name").alias("value")), F.lit(True))
+    new = table(spark, sf_dir, "supplier").select(F.lit(1).cast("int").alias("doc_id"), F.col("s_suppkey").alias("name"), F.col("s_name").alias("value")).join(fields.select("name").distinct(), "name", "left_semi")
+    return O.set_values(fields, new).select("doc_id", F.col("name").alias("field"), "value")
+
+
+@book.query("""WITH f AS (SELECT o_orderkey AS doc_id, o_orderkey % 6 AS t, o_orderstatus AS v FROM orders), w AS (SELECT l_orderkey AS doc_id, l_linenumber AS widget, min(l_quantity) AS q FROM lineitem GROUP BY ALL),
+    r AS (SELECT f.*, widget, CAST(widget % 4 AS INTEGER) AS page, CASE WHEN widget % 3 > 0 THEN 's' || widget END AS state, row_number() OVER (PARTITION BY doc_id ORDER BY widget) AS n FROM f JOIN w USING (doc_id) WHERE widget % 4 <> 0)
+    SELECT doc_id, (['text', 'dropdown', 'radio', 'checkbox', 'unknown', 'signature'])[CAST(t + 1 AS INTEGER)] AS kind, CASE WHEN t < 2 THEN CASE WHEN v = 'F' THEN '' ELSE v END WHEN t < 4 THEN CASE WHEN v = 'F' THEN 'Off' ELSE v END ELSE '' END AS value,
+        CASE t WHEN 2 THEN coalesce(state, '') WHEN 3 THEN coalesce(state, 'Yes') ELSE '' END AS export_value, CASE WHEN t = 1 THEN ['shown', 'both'] ELSE CAST([] AS VARCHAR[]) END AS options, t = 0 AS read_only, widget, page FROM r WHERE n = 1 OR t = 2""")
+def c12_form_fields(spark, sf_dir):
+    """A form per order: groups of radio buttons give a row per button, other fields one."""
+    kind = F.col("o_orderkey") % 6
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (kind + 1).cast("int"))
+    options = F.array(F.array(F.lit("export"), F.lit("shown")), F.array(F.lit("both")))
+    fields = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("f").alias("name"), pick("Tx", "Ch", "Btn", "Btn", "Btn", "Sig").alias("ft"), pick(1, 0, O.RADIO, 0, O.PUSHBUTTON, 0).alias("flags"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("value"), options.alias("options"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("widget")).agg(F.min("l_quantity"))
+    states = F.when(F.col("widget") % 3 > 0, F.array(F.lit("Off"), F.concat(F.lit("s"), F.col("widget").cast("string")))).otherwise(F.array(F.lit("Off")))
+    widgets = rows.select("doc_id", F.lit("f").alias("name"), "widget", (F.col("widget") % 4).cast("int").alias("page"), states.alias("states"))
+    return O.form_fields(fields, widgets).drop("name")
 
 
 @book.query("SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN [p_brand, p_type] ELSE [p_name, p_brand, p_type] END AS options FROM part")

@@ -1,100 +1,12 @@
-"""A data source for PDF files: one row per page with its size and rotation.
-
-The standard library is all there is, so this reads classic files: objects are found by
-their markers, page trees are followed from the catalogue with inheritance, and object
-streams are inflated. Files that can't be read give one row with an error, never a failed
-job. Encrypted files say so.
-"""
+"""Pages of PDF files, and the sink of their text."""
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "path string, page int, width double, height double, rotation int, linearized boolean, error string"
-MOST_OBJECTS, MOST_DEPTH = 500_000, 64
-
-_OBJECT = re.compile(rb"(?<!\d)(\d{1,10})\s+(\d{1,5})\s+obj\b(.*?)\bendobj", re.DOTALL)
-_REFERENCE = re.compile(rb"(\d+)\s+\d+\s+R")
-_NUMBER = rb"[-+]?(?:\d+\.?\d*|\.\d+)"
-_BOX = re.compile(rb"/(MediaBox|CropBox)\s*\[\s*(" + _NUMBER + rb")\s+(" + _NUMBER + rb")\s+(" + _NUMBER + rb")\s+(" + _NUMBER + rb")\s*\]")
-
-
-def objects(data: bytes) -> dict[int, bytes]:
-    """Bodies of all objects by number; later ones win, as in an updated file."""
-    found: dict[int, bytes] = {}
-    for m in _OBJECT.finditer(data):
-        found[int(m[1])] = m[3]
-        if len(found) > MOST_OBJECTS:
-            raise ValueError("too many objects")
-    for body in list(found.values()):
-        if b"/ObjStm" in body[:400]:
-            found.update(packed(body))
-    return found
-
-
-def packed(body: bytes) -> dict[int, bytes]:
-    """Objects inside an object stream; none if it can't be read."""
-    head, _, stream = body.partition(b"stream")
-    count, first = re.search(rb"/N\s+(\d+)", head), re.search(rb"/First\s+(\d+)", head)
-    if not (count and first):
-        return {}
-    stream = stream.lstrip(b"\r\n")
-    if b"/FlateDecode" in head:
-        try:
-            stream = zlib.decompressobj().decompress(stream)
-        except zlib.error:
-            return {}
-    numbers = [int(x) for x in stream[: int(first[1])].split()[: 2 * int(count[1])]]
-    starts = [int(first[1]) + o for o in numbers[1::2]]
-    return {n: stream[s:e] for n, s, e in zip(numbers[::2], starts, [*starts[1:], len(stream)])}
-
-
-def pages(data: bytes) -> list[tuple[float, float, int]]:
-    """Width, height and rotation of each page in reading order."""
-    if not data.lstrip()[:5].startswith(b"%PDF-"):
-        raise ValueError("not a PDF file")
-    if re.search(rb"/Encrypt\b", data[-4096:]) or re.search(rb"trailer.{0,400}/Encrypt\b", data, re.DOTALL):
-        raise PermissionError("PASSWORD_REQUIRED")
-    found = objects(data)
-    roots = [b for b in found.values() if re.search(rb"/Type\s*/Catalog\b", b)]
-    root = roots and re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", roots[-1])
-    if not root:
-        raise ValueError("no page tree")
-    out: list[tuple[float, float, int]] = []
-
-    def walk(number: int, box, rotation: int, depth: int, seen: frozenset) -> None:
-        body = found.get(number)
-        if body is None or depth > MOST_DEPTH or number in seen:
-            return
-        boxes = {m[1]: tuple(float(m[i]) for i in range(2, 6)) for m in _BOX.finditer(body)}
-        box = boxes.get(b"CropBox") or boxes.get(b"MediaBox") or box
-        if turn := re.search(rb"/Rotate\s+(-?\d+)", body):
-            rotation = int(turn[1]) % 360
-        kids = re.search(rb"/Kids\s*\[(.*?)\]", body, re.DOTALL)
-        if kids:
-            for kid in _REFERENCE.finditer(kids[1]):
-                walk(int(kid[1]), box, rotation, depth + 1, seen | {number})
-        elif re.search(rb"/Type\s*/Page\b", body):
-            x0, y0, x1, y1 = box or (0.0, 0.0, 612.0, 792.0)
-            w, h = abs(x1 - x0), abs(y1 - y0)
-            out.append((h, w, rotation) if rotation % 180 else (w, h, rotation))
-
-    walk(int(root[1]), None, 0, 0, frozenset())
-    return out
-
-
-def rows(path: str, data: bytes) -> Iterator[tuple]:
-    linearized = b"/Linearized" in data[:2048]
-    try:
-        for n, (w, h, r) in enumerate(pages(data), 1):
-            yield path, n, w, h, r, linearized, None
-    except Exception as e:  # the file's fault: its row says so
-        yield path, None, None, None, None, linearized, str(e) or type(e).__name__
+from ..lineage import Rounds
+from .objects import page_rows, parse_objects
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -103,23 +15,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_pages(files: DataFrame) -> DataFrame:
-    """Pages of files (path, content), parsed on the executors, a file at a time."""
-    from ..shipping import ship
-
-    ship(files.sparkSession)
-    files = files.select("path", "content")
-
-    def run(batches):
-        import pyarrow as pa
-
-        kinds = [pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.string()]
-        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        for b in batches:
-            for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                columns = list(zip(*rows(p, content))) or [[]] * len(kinds)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-
-    return files.mapInArrow(run, SCHEMA)
+    """Path, page, width, height, rotation, linearized and error of every page of files
+    (path, content). What can't be read, of a file or of its page tree, is a row with an error and
+    no page; a file's other pages are there. The objects are written once and joined."""
+    objects, _ = Rounds(files.sparkSession).keep(parse_objects(files))
+    flags = objects.where("object IS NULL").select("path", F.coalesce(F.col("entries")["Linearized"] == "true", F.lit(False)).alias("linearized"))
+    return page_rows(objects).join(flags, "path").select("path", "page", "width", "height", "rotation", "linearized", "error")
 
 
 def write_text(exported: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import binary as B
 from pagewright.functions import cms, labels
 from pagewright.functions import text as T
-from pagewright.operators import folds, pages, scrub, search, trees
+from pagewright.operators import fields, folds, pages, scrub, search, trees
 from pagewright.plans import catalogue
 from pagewright.sources import pdf
 from pagewright.streaming import search as stream
@@ -269,13 +269,59 @@ trailer << /Root 1 0 R >>
 %%EOF"""
 
 
+def test_cms_never_raises():
+    """An attribute without contents, and whole messages that are cut, flipped or shuffled."""
+    der = lambda tag, *parts: bytes([tag]) + (lambda b: (bytes([len(b)]) if len(b) < 128 else b"\x81" + bytes([len(b)])) + b)(b"".join(parts))
+    digest = der(0x06, bytes.fromhex("2A864886F70D010904"))
+    algorithm = der(0x30, der(0x06, bytes.fromhex("608648016503040201")))
+
+    def message(*attributes: bytes) -> bytes:
+        signer = der(0x30, der(2, b"\1"), der(0x30, der(2, b"\7")), algorithm, der(0xA0, *attributes))
+        return der(0x30, der(0x06, bytes.fromhex("2A864886F70D010702")), der(0xA0, der(0x30, der(2, b"\1"), der(0x31, algorithm), der(0x30, der(0x06, b"\x2a")), der(0x31, signer))))
+
+    sealed = der(0x30, digest, der(0x31, der(4, b"seal")))
+    assert cms.facts(message(sealed))["sealed"] == b"seal"
+    assert cms.facts(message(der(0x30), sealed))["sealed"] == b"seal"
+    assert cms.facts(message(der(0x30), der(0x30, digest)))["sealed"] is None
+    assert list(cms.children(b"\x9f\x81\x01\x02ab\x04\x01c")) == [(0x9F, b"ab"), (4, b"c")]
+    rnd, whole = random.Random(4), message(der(0x30), sealed)
+    for _ in range(3000):
+        data = bytearray(whole[: rnd.randrange(len(whole) + 1)])
+        for _ in range(rnd.randrange(4)):
+            if data:
+                data[rnd.randrange(len(data))] = rnd.randrange(256)
+        found = cms.facts(bytes(data))
+        assert found is None or set(found) == {"digest_oid", "sealed", "signer"}
+
+
+def test_two_copies_of_a_form(spark):
+    """What is named, reset or set in one document leaves its copy alone; a name of the other document is none."""
+    rows = [(d, n, "Tx", "old", n + "0") for d in (1, 2) for n in ("a", "b")]
+    form = spark.createDataFrame(rows, "doc_id long, name string, ft string, value string, default string")
+    names = spark.createDataFrame([(1, "a")], "doc_id long, name string")
+    of = lambda df: {(r["doc_id"], r["name"]): r["value"] for r in df.collect()}
+    same = {(r[0], r[1]): "old" for r in rows}
+    assert of(fields.reset(form, fields.ONLY, names)) == same | {(1, "a"): "a0"}
+    assert of(fields.reset(form, fields.EXCEPT, names)) == {(1, "a"): "old", (1, "b"): "b0", (2, "a"): "a0", (2, "b"): "b0"}
+    assert set(of(fields.in_scope(form, fields.ONLY, names))) == {(1, "a")}
+    new = spark.createDataFrame([(2, "b", "new")], "doc_id long, name string, value string")
+    assert of(fields.set_values(form, new)) == same | {(2, "b"): "new"}
+    with pytest.raises(Exception, match="no field of that name"):
+        fields.set_values(form, spark.createDataFrame([(3, "b", "new")], new.schema)).collect()
+    kids = spark.createDataFrame([(d, "a", k, ["Off", k]) for d in (1, 2) for k in ("x", "y")], "doc_id long, name string, kid string, states array<string>")
+    states = fields.button_states(kids, spark.createDataFrame([(1, "a", "x"), (2, "a", "y")], "doc_id long, name string, value string"))
+    assert {(r["doc_id"], r["kid"]): r["state"] for r in states.collect()} == {(1, "x"): "x", (1, "y"): "Off", (2, "x"): "Off", (2, "y"): "y"}
+
+
+
 def test_pdf_source(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(PDF)
     (tmp_path / "b.pdf").write_bytes(b"no pdf")
     (tmp_path / "c.pdf").write_bytes(PDF.replace(b"trailer <<", b"trailer << /Encrypt 9 0 R"))
     got = {(r["path"][-5:], r["page"]): r for r in pdf.read_pages(spark, str(tmp_path)).collect()}
-    sizes = {k[1]: (r["width"], r["height"], r["rotation"]) for k, r in got.items() if k[0] == "a.pdf"}
+    sizes = {k[1]: (r["width"], r["height"], r["rotation"]) for k, r in got.items() if k[0] == "a.pdf" and k[1]}
     assert sizes == {1: (200.0, 300.0, 0), 2: (50.0, 100.0, 90), 3: (200.0, 300.0, 0)}
+    assert got["a.pdf", None]["error"] == "object 5 is listed in several places"
     assert got["b.pdf", None]["error"] == "not a PDF file" and got["c.pdf", None]["error"] == "PASSWORD_REQUIRED"
 
 
