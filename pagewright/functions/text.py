@@ -50,19 +50,12 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(line_regex(pattern)), F.lit(0))
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """start and end (code points, end exclusive) of each match of a pattern without empty matches."""
-    found = matches(text, pattern)
-    gaps = F.split(text, line_regex(pattern), -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(gaps, i))
-        end = begin + F.length(F.get(found, i))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("spans"))
-
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda acc: acc["spans"])
+def search_pattern(query: str, match_case: bool = False, whole_word: bool = False, use_regex: bool = False) -> str:
+    """The pattern that a search looks for; in regex mode the other two options don't apply."""
+    if use_regex:
+        return line_regex(query)
+    word = rf"(?<![\p{{L}}\p{{N}}]){_quoted(query)}(?![\p{{L}}\p{{N}}])" if whole_word else _quoted(query)
+    return word if match_case else "(?iu)" + word
 
 
 def needles(queries: list[str]) -> list[str]:
@@ -189,6 +182,9 @@ OTHER_WIDTHS = (
 DEFAULT_WIDTH, COURIER_WIDTH = 556, 600
 _WIDTHS = dict(enumerate(ASCII_WIDTHS, 0x20)) | {b: w for lo, hi, w in OTHER_WIDTHS for b in range(lo, hi + 1)}
 
+#: Widths of the characters that have a byte.
+CHARACTER_WIDTHS = {chr(c): _WIDTHS.get(b, DEFAULT_WIDTH) for b, c in [*((b, b) for b in (*range(0x20, 0x7F), *range(0xA0, 0x100))), *ANSI_EXTRA.items()]}
+
 
 def ansi_byte(char: Column) -> Column:
     """Byte of a character in the Windows code page, null where it has none."""

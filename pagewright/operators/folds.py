@@ -1,21 +1,41 @@
 """Ordered folds: lines, runs and wrapping, as aggregates over sorted arrays or windows.
 
-Items of a page come as an array of structs in their order; each fold is one expression, so
-pages are independent rows and no Python runs.
+Items of a page come as an array of structs in their order, or as rows with an ordinal. Where
+what an item begins depends on the item before it alone, windows say so. Greedy folds, whose
+state is what they have built so far, are loops over a page's items in an Arrow function: one
+pass, as long as the page. Pages are rows and spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from ..functions import geometry as G
 from ..functions import text as T
+from ..shipping import ship
 
 #: A gap of more than this share of the font size is written as a tab.
 TAB_GAP = 0.2
 
 
+def _folded(kind: str, fold: Callable, *items: Column) -> Column:
+    """``fold`` of each row's values, a list of the type ``kind``; null where the first is null."""
+    ship(SparkSession.active())
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
+    @F.arrow_udf(kind)
+    def run(*columns: pa.Array) -> pa.Array:
+        return pa.array([None if row[0] is None else fold(*row) for row in zip(*(c.to_pylist() for c in columns))], arrow)
+
+    return run(*items)
+
+
 def line_numbers(items: DataFrame, *keys: str) -> DataFrame:
     """``line`` of each item (keys, ord, y, height): a new one begins where an item doesn't
     overlap the one before it vertically."""
@@ -29,18 +49,17 @@ def anchored_lines(words: Column, element: str) -> Column:
     """Words (x, y, height, ...; origin below) as an array of lines, from the top: a word
     joins the last line if its y is within half the taller height of that line's first word;
     within a line words go by x. ``element`` is the type of a word."""
-    down = F.array_sort(words, lambda a, b: F.when(a["y"] > b["y"], -1).when(a["y"] < b["y"], 1).when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0))
-    empty = F.array().cast(f"array<array<{element}>>")
 
-    def step(lines: Column, w: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        anchor = F.get(last, F.lit(0))
-        near = F.abs(anchor["y"] - w["y"]) <= F.greatest(anchor["height"], w["height"]) * 0.5
-        joined = F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(F.array_append(last, w)))
-        return F.when((F.size(lines) > 0) & near, joined).otherwise(F.array_append(lines, F.array(w)))
+    def fold(words: list[dict]) -> list[list[dict]]:
+        lines: list[list[dict]] = []
+        for w in sorted(words, key=lambda w: (-w["y"], w["x"])):
+            if lines and abs(lines[-1][0]["y"] - w["y"]) <= max(lines[-1][0]["height"], w["height"]) * 0.5:
+                lines[-1].append(w)
+            else:
+                lines.append([w])
+        return [sorted(line, key=lambda w: w["x"]) for line in lines]
 
-    across = lambda line: F.array_sort(line, lambda a, b: F.when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0))
-    return F.transform(F.aggregate(down, empty, step), across)
+    return _folded(f"array<array<{element}>>", fold, words)
 
 
 def line_text(lines: Column) -> Column:
@@ -65,15 +84,26 @@ _RECT = "struct<x:double,y:double,width:double,height:double>"
 
 def merge_runs(rects: Column) -> Column:
     """Each rectangle joins the first box so far that it shares a line with (the box grows),
-    else it begins a box; then top to bottom and left to right."""
-
-    def step(boxes: Column, r: Column) -> Column:
-        hit = F.array_position(F.transform(boxes, lambda b: G.shares_line(b, r)), True)
-        grown = F.transform(boxes, lambda b, i: F.when(i == hit - 1, G.union_rect(b, r)).otherwise(b))
-        return F.when(hit > 0, grown).otherwise(F.array_append(boxes, r))
-
-    merged = F.aggregate(rects, F.array().cast(f"array<{_RECT}>"), step)
-    return F.array_sort(merged, lambda a, b: F.when(a["y"] < b["y"], -1).when(a["y"] > b["y"], 1).when(a["x"] < b["x"], -1).when(a["x"] > b["x"], 1).otherwise(0))
+    else it begins a box; then top to bottom and left to right. A rectangle is held against all
+    boxes so far at once."""
+
+    def fold(rects: list[dict]) -> list[dict]:
+        at = np.empty((len(rects), 4))  # left, top, right and bottom of the boxes so far
+        n = 0
+        for r in rects:
+            own = np.array((r["x"], r["y"], r["x"] + r["width"], r["y"] + r["height"]))
+            some = at[:n]
+            shared = np.minimum(some[:, 3], own[3]) - np.maximum(some[:, 1], own[1])
+            hit = np.flatnonzero(shared > 0.5 * np.minimum(some[:, 3] - some[:, 1], r["height"]))
+            if len(hit):
+                box = at[hit[0]]
+                box[:2], box[2:] = np.minimum(box[:2], own[:2]), np.maximum(box[2:], own[2:])
+            else:
+                at[n] = own
+                n += 1
+        return [dict(x=x, y=y, width=r - x, height=b - y) for x, y, r, b in sorted(at[:n].tolist(), key=lambda v: (v[1], v[0]))]
+
+    return _folded(f"array<{_RECT}>", fold, rects)
 
 
 _RUN = "struct<text:string,x:double,y:double,width:double,height:double,size:double>"
@@ -84,46 +114,60 @@ def text_runs(chars: Column) -> Column:
     if sizes differ by less than 0.5, its y lies within half the run's height of the run's, and
     the gap is under half its size; runs of white space alone are dropped."""
 
-    def step(runs: Column, c: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        fits = (F.abs(last["size"] - c["size"]) < 0.5) & (F.abs(last["y"] - c["y"]) < last["height"] * 0.5) & (c["x"] - (last["x"] + last["width"]) < c["size"] * 0.5)
-        box = G.union_rect(last, c)
-        grown = F.struct(F.concat(last["text"], c["text"]).alias("text"), box["x"].alias("x"), box["y"].alias("y"), box["width"].alias("width"), box["height"].alias("height"), last["size"].alias("size"))
-        return F.when((F.size(runs) > 0) & fits, F.array_append(F.slice(runs, F.lit(1), F.size(runs) - 1), grown)).otherwise(F.array_append(runs, c))
-
-    return F.filter(F.aggregate(chars, F.array().cast(f"array<{_RUN}>"), step), lambda r: ~T.is_blank(r["text"]))
-
-
-def copied_text(tokens: Column) -> Column:
-    """Tokens (text, line, x, right, size) as they are copied: a line feed where the line
-    changes, a tab over a wide gap; tokens without a line change nothing."""
-    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("long").alias("line"), F.lit(None).cast("double").alias("right"))
-
-    def step(acc: Column, t: Column) -> Column:
-        placed = t["line"].isNotNull()
-        broken = placed & acc["line"].isNotNull() & (t["line"] != acc["line"])
-        wide = placed & acc["line"].isNotNull() & acc["right"].isNotNull() & (t["size"] > 0) & (t["x"] - acc["right"] > t["size"] * TAB_GAP)
-        mark = F.when(broken, "\n").when(wide, "\t").otherwise("")
-        return F.struct(F.concat(acc["out"], mark, t["text"]).alias("out"), F.when(placed, t["line"]).otherwise(acc["line"]).alias("line"), F.when(placed, t["right"]).otherwise(acc["right"]).alias("right"))
-
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    def fold(chars: list[dict]) -> list[dict]:
+        runs: list[tuple[list[str], dict]] = []
+        for c in chars:
+            last = runs[-1][1] if runs else None
+            if last and abs(last["size"] - c["size"]) < 0.5 and abs(last["y"] - c["y"]) < last["height"] * 0.5 and c["x"] - (last["x"] + last["width"]) < c["size"] * 0.5:
+                x, y = min(last["x"], c["x"]), min(last["y"], c["y"])
+                right, bottom = max(last["x"] + last["width"], c["x"] + c["width"]), max(last["y"] + last["height"], c["y"] + c["height"])
+                runs[-1][0].append(c["text"])
+                last.update(x=x, y=y, width=right - x, height=bottom - y)
+            else:
+                runs.append(([c["text"]], dict(c)))
+        return [{**box, "text": text} for parts, box in runs for text in ["".join(parts)] if text.strip()]
+
+    return _folded(f"array<{_RUN}>", fold, chars)
+
+
+def copied_text(tokens: DataFrame, *keys: str) -> DataFrame:
+    """Keys and copied of tokens (keys, ord, text, line, x, right, size) as they are copied: a
+    line feed where the line changes, a tab over a wide gap; tokens without a line change nothing."""
+    before = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    placed = F.col("line").isNotNull()
+    rows = tokens.withColumn("_last", F.last(F.when(placed, F.struct("line", "right")), ignorenulls=True).over(before))
+    seen = placed & F.col("_last").isNotNull()
+    wide = F.col("_last.right").isNotNull() & (F.col("size") > 0) & (F.col("x") - F.col("_last.right") > F.col("size") * TAB_GAP)
+    mark = F.when(seen & (F.col("line") != F.col("_last.line")), "\n").when(seen & wide, "\t").otherwise("")
+    part = F.struct("ord", F.concat(mark, F.coalesce("text", F.lit(""))).alias("t"))
+    return rows.select(*keys, part.alias("_part")).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("_part")), lambda p: p["t"]), "").alias("copied"))
 
 
 def wrapped(text: Column, family: Column, size: Column, width: Column, inset: float = 2.0) -> Column:
-    """Greedy wrapping to a width in points; blank paragraphs stay, a long word overflows."""
-    inner = F.greatest(width - 2.0 * inset, F.lit(1.0))
-
-    def paragraph(p: Column) -> Column:
-        start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
-
-        def step(acc: Column, word: Column) -> Column:
-            longer = F.when(acc["line"] == "", word).otherwise(F.concat(acc["line"], F.lit(" "), word))
-            fits = (acc["line"] == "") | (T.run_width(longer, family, size) <= inner)
-            return F.struct(F.when(fits, acc["lines"]).otherwise(F.array_append(acc["lines"], acc["line"])).alias("lines"), F.when(fits, longer).otherwise(word).alias("line"))
-
-        return F.aggregate(F.split(T.encodable(p), " "), start, step, lambda acc: F.array_append(acc["lines"], acc["line"]))
-
-    return F.flatten(F.transform(F.split(text, "\n"), paragraph))
+    """Greedy wrapping to a width in points; blank paragraphs stay, a long word overflows.
+    Characters that the font has no byte for are left out."""
+
+    def fold(text: str, family: str, size: float, width: float) -> list[str]:
+        room = max(width - 2.0 * inset, 1.0)
+        thousandths = (lambda c: T.COURIER_WIDTH) if family == "Courier" else T.CHARACTER_WIDTHS.__getitem__
+        lines: list[str] = []
+        for paragraph in text.split("\n"):
+            line, wide, empty = [], 0, True
+            for word in "".join(c for c in paragraph if c in T.CHARACTER_WIDTHS).split(" "):
+                own = sum(map(thousandths, word))
+                longer = own if empty else wide + thousandths(" ") + own
+                if empty or size * longer / 1000.0 <= room:
+                    line = [] if empty else line
+                    line.append(word)
+                    wide = longer
+                else:
+                    lines.append(" ".join(line))
+                    line, wide = [word], own
+                empty = line == [""]
+            lines.append(" ".join(line))
+        return lines
+
+    return _folded("array<string>", fold, text, family, size, width)
 
 
 def run_extent(counts: DataFrame, least: int, *keys: str) -> DataFrame:

@@ -86,9 +86,8 @@ def e05_text_runs(spark, sf_dir):
 
 @book.query(f"""SELECT doc_id, page, string_agg(CASE WHEN prev IS NULL THEN '' WHEN line <> prev THEN chr(10) WHEN ord * 10.0::DOUBLE + ord % 3 - prev_right > 12 * 0.2::DOUBLE THEN chr(9) ELSE '' END || text, '' ORDER BY ord) AS copied FROM (SELECT *, lag(line) OVER w AS prev, lag(ord * 10.0::DOUBLE + 9.0::DOUBLE) OVER w AS prev_right FROM {_WORDS} WINDOW w AS (PARTITION BY doc_id, page ORDER BY ord)) GROUP BY doc_id, page""")
 def e08_copied_text(spark, sf_dir):
-    token = F.struct("ord", "text", F.col("line"), (F.col("ord") * 10.0 + F.col("ord") % 3).alias("x"), (F.col("ord") * 10.0 + 9.0).alias("right"), F.lit(12.0).alias("size"))
-    pages = words(spark, sf_dir).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(token), lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("tokens"))
-    return pages.select("doc_id", "page", O.copied_text(F.col("tokens")).alias("copied"))
+    placed = [(F.col("ord") * 10.0 + F.col("ord") % 3).alias("x"), (F.col("ord") * 10.0 + 9.0).alias("right"), F.lit(12.0).alias("size")]
+    return O.copied_text(words(spark, sf_dir).select("doc_id", "page", "ord", "text", "line", *placed), "doc_id", "page")
 
 
 @book.query("""WITH c AS (SELECT l_orderkey AS k, l_linenumber AS idx, l_quantity >= 15 AS good FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity DESC)),

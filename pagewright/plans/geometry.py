@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -220,16 +221,18 @@ def h66_fit_zoom(spark, sf_dir):
     return keyed(rects(spark, sf_dir), G.fit_zoom(mode, F.col("x") + 10.0, F.col("y") + 10.0, F.lit(900.0), F.lit(700.0), 40.0).cast("long").alias("zoom"))
 
 
-@book.query(f"SELECT k, n, x, y FROM {RECTS} ")
+@book.query(f"SELECT k, n, x, y, row_number() OVER (PARTITION BY k ORDER BY y, x, n, width, height) AS position FROM {RECTS}")
 def f01_rect_order(spark, sf_dir):
-    """All rectangles from the top, then from the left."""
-    return keyed(rects(spark, sf_dir), "x", "y").orderBy("y", "x", "k", "n")
+    """The rectangles of each page from the top, then from the left, with their place."""
+    place = F.row_number().over(Window.partitionBy("k").orderBy("y", "x", "n", "width", "height")).cast("long")
+    return keyed(rects(spark, sf_dir), "x", "y", place.alias("position"))
 
 
-@book.query(f"SELECT k, n, x, y FROM {RECTS} ")
+@book.query(f"SELECT k, n, x, y, row_number() OVER (PARTITION BY k ORDER BY y DESC, x, n, width, height) AS position FROM {RECTS}")
 def f02_word_order(spark, sf_dir):
-    """All words, whose origin is below, from the top, then from the left."""
-    return keyed(rects(spark, sf_dir), "x", "y").orderBy(F.desc("y"), "x", "k", "n")
+    """The words of each page, whose origin is below, from the top, then from the left, with their place."""
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("y"), "x", "n", "width", "height")).cast("long")
+    return keyed(rects(spark, sf_dir), "x", "y", place.alias("position"))
 
 
 @book.query(f"SELECT k, n, greatest(x - 25.0::DOUBLE, 0.0::DOUBLE) AS x, greatest(width - 20.0::DOUBLE, 24.0::DOUBLE) AS width, greatest(height - 5.0::DOUBLE, 16.0::DOUBLE) AS height FROM {RECTS}")

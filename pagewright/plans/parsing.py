@@ -102,23 +102,29 @@ def _pixels(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.unhex(text).alias("pixels"))
 
 
-@book.query("SELECT n_nationkey AS k, list_transform(range(3), lambda i: lpad(hex(255 - i), 2, '0') || lpad(hex((i * 3) % 256), 2, '0') || lpad(hex((n_nationkey * 7 + i) % 256), 2, '0') || 'FF') AS first FROM nation")
+_PIXEL = "lpad(hex((n_nationkey * 7 + i) % 256), 2, '0') || lpad(hex((i * 3) % 256), 2, '0') || lpad(hex(255 - i), 2, '0') || 'FF'"
+
+
+@book.query("SELECT n_nationkey AS k, array_to_string(list_transform(range(64), lambda i: lpad(hex(255 - i), 2, '0') || lpad(hex((i * 3) % 256), 2, '0') || lpad(hex((n_nationkey * 7 + i) % 256), 2, '0') || 'FF'), '') AS pixels FROM nation")
 def h69_swap_channels(spark, sf_dir):
-    hexed = F.hex(B.over(B.swap_red_blue, "binary")("pixels"))
-    return _pixels(spark, sf_dir).select("k", hexed.alias("h")).select("k", F.array(*[F.substring("h", 8 * i + 1, 8) for i in range(3)]).alias("first"))
+    ship(spark)
+    return _pixels(spark, sf_dir).select("k", F.hex(B.over(B.swap_red_blue, "binary")("pixels")).alias("pixels"))
 
 
-@book.query("SELECT n_nationkey AS k, 6 * 4 AS n, lpad(hex((n_nationkey * 7 + 10) % 256), 2, '0') || lpad(hex(30), 2, '0') || lpad(hex(245), 2, '0') || 'FF' AS first FROM nation")
+@book.query(f"SELECT n_nationkey AS k, array_to_string(list_transform(list_filter(range(64), lambda i: i % 8 BETWEEN 2 AND 3 AND i // 8 BETWEEN 1 AND 3), lambda i: {_PIXEL}), '') AS pixels FROM nation")
 def h27_crop(spark, sf_dir):
     """Columns 2 and 3 of rows 1 to 3."""
+    ship(spark)
     cropped = B.over(lambda p: B.crop(p, 8, (2, 1, 4, 4)), "binary")("pixels")
-    return _pixels(spark, sf_dir).select("k", F.octet_length(cropped).alias("n"), F.substring(F.hex(cropped), 1, 8).alias("first"))
+    return _pixels(spark, sf_dir).select("k", F.hex(cropped).alias("pixels"))
 
 
-@book.query("SELECT n_nationkey AS k, '000000FF' AS burnt, lpad(hex((n_nationkey * 7) % 256), 2, '0') || '00FFFF' AS kept FROM nation")
+@book.query(f"SELECT n_nationkey AS k, array_to_string(list_transform(range(64), lambda i: CASE WHEN (i % 8 BETWEEN 1 AND 2 AND i // 8 < 2) OR (i % 8 >= 6 AND i // 8 BETWEEN 5 AND 6) THEN '000000FF' ELSE {_PIXEL} END), '') AS pixels FROM nation")
 def h26_burn_regions(spark, sf_dir):
-    burnt = F.hex(B.over(lambda p: B.burn(p, 8, [(1, 0, 3, 2)]), "binary")("pixels"))
-    return _pixels(spark, sf_dir).select("k", F.substring(burnt, 9, 8).alias("burnt"), F.substring(burnt, 1, 8).alias("kept"))
+    """Two windows of eight by eight pixels are black, the others as they were."""
+    ship(spark)
+    burnt = B.over(lambda p: B.burn(p, 8, [(1, 0, 3, 2), (6, 5, 8, 7)]), "binary")("pixels")
+    return _pixels(spark, sf_dir).select("k", F.hex(burnt).alias("pixels"))
 
 
 @book.query("SELECT n_nationkey AS k, [n_nationkey % 5, n_nationkey // 5, n_nationkey % 5 + 2 + n_nationkey % 2, n_nationkey // 5 + 3]::INTEGER[] AS box FROM nation")

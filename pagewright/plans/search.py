@@ -55,9 +55,35 @@ def b06_search_regex(spark, sf_dir):
     SELECT doc_id, page, k AS match, CAST(sum(gap) OVER w + sum(length(hit)) OVER w - length(hit) AS BIGINT) AS "start", CAST(sum(gap) OVER w + sum(length(hit)) OVER w AS BIGINT) AS "end"
     FROM g WINDOW w AS (PARTITION BY doc_id, page ORDER BY k)""")
 def b07_match_spans(spark, sf_dir):
-    spans = T.match_spans(F.col("text"), "th[a-z]+")
-    rows = pages(spark, sf_dir).select("doc_id", "page", F.posexplode(spans).alias("k", "s"))
-    return rows.select("doc_id", "page", (F.col("k") + 1).cast("long").alias("match"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+    return S.match_rows(pages(spark, sf_dir), T.line_regex("th[a-z]+"))
+
+
+#: Every character of a page in a box of its own, forty a line.
+_COLUMNS = 40
+
+
+def characters(spark, sf_dir) -> DataFrame:
+    rows = pages(spark, sf_dir).where("text <> ''").select("doc_id", "page", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("idx"))
+    column, line = F.col("idx") % _COLUMNS, F.floor(F.col("idx") / _COLUMNS)
+    return rows.select("doc_id", "page", "idx", (column * 6.0).alias("x"), (line * 12.0).alias("y"), F.lit(6.0).alias("width"), F.lit(10.0).alias("height"))
+
+
+_HITS = rf"""m AS (SELECT doc_id, page, unnest(regexp_extract_all(text, '{{p}}')) AS hit, generate_subscripts(regexp_extract_all(text, '{{p}}'), 1) AS k, string_split_regex(text, '{{p}}') AS gaps FROM {_PAGES}),
+    s AS (SELECT doc_id, page, k AS match, CAST(sum(length(gaps[k]) + length(hit)) OVER (PARTITION BY doc_id, page ORDER BY k) AS BIGINT) AS e, length(hit) AS n FROM m),
+    l AS (SELECT doc_id, page, match, e - n AS s, e, unnest(range((e - n) // {_COLUMNS}, (e - 1) // {_COLUMNS} + 1)) AS line FROM s),
+    b AS (SELECT doc_id, page, match, line, greatest(s, line * {_COLUMNS}) AS f, least(e, (line + 1) * {_COLUMNS}) AS t FROM l)"""
+
+
+@book.query(rf"""WITH {_HITS.format(p="[a-z]+ th[a-z]+")} SELECT doc_id, page, match, CAST(row_number() OVER (PARTITION BY doc_id, page, match ORDER BY line) AS INTEGER) AS part, CAST(f % {_COLUMNS} * 6 AS DOUBLE) AS x, CAST(line * 12 AS DOUBLE) AS y, CAST((t - f) * 6 AS DOUBLE) AS width, 10.0::DOUBLE AS height FROM b""")
+def b05_hit_rectangles(spark, sf_dir):
+    """Boxes of matches of two words, of which some go over the end of a line."""
+    return S.search_hits(pages(spark, sf_dir), characters(spark, sf_dir), "[a-z]+ th[a-z]+", use_regex=True)
+
+
+@book.query(rf"""WITH {_HITS.format(p="(?i)and the")} SELECT DISTINCT doc_id, page, CAST(f % {_COLUMNS} * 6 - 1 AS DOUBLE) AS x, CAST(line * 12 - 1 AS DOUBLE) AS y, CAST((t - f) * 6 + 2 AS DOUBLE) AS width, 12.0::DOUBLE AS height FROM b""")
+def b11_redaction_regions(spark, sf_dir):
+    """What a redaction of a phrase covers: its hits, a point wider on every side."""
+    return S.redaction_regions(pages(spark, sf_dir), characters(spark, sf_dir), [" and THE", ""], 1.0)
 
 
 @book.query(rf"SELECT doc_id, page, CAST(len(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w = 'the')) AS BIGINT) AS n_matches FROM {_PAGES} WHERE len(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w = 'the')) > 0")
@@ -68,10 +94,10 @@ def b08_search_whole_word(spark, sf_dir):
 _EDGES = r"list_filter(range(1, length(t) + 1), lambda i: substr(t, i, {n}) = '{q}' AND NOT regexp_matches(substr(' ' || t, i, 1), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(substr(t || ' ', i + {n}, 1), '[\p{{L}}\p{{N}}]'))"
 
 
-@book.query(f"SELECT * FROM (SELECT doc_id, page, CAST(len({_EDGES.format(n=5, q='e, an')}) AS BIGINT) + CAST(len({_EDGES.format(n=2, q='e,')}) AS BIGINT) AS n_matches FROM (SELECT doc_id, page, lower(text) AS t FROM {_PAGES})) WHERE n_matches > 0")
+@book.query(f"SELECT * FROM (SELECT doc_id, page, CAST(len({_EDGES.format(n=6, q='of the')}) AS BIGINT) + CAST(len({_EDGES.format(n=4, q='the ')}) AS BIGINT) AS n_matches FROM (SELECT doc_id, page, lower(text) AS t FROM {_PAGES})) WHERE n_matches > 0")
 def b08_search_whole_phrase(spark, sf_dir):
     """Queries of several words and with punctuation; what they begin or end in the middle of doesn't count."""
-    found = [S.search_pages(pages(spark, sf_dir), q, whole_word=True) for q in ("e, an", "E,")]
+    found = [S.search_pages(pages(spark, sf_dir), q, whole_word=True) for q in ("of the", "The ")]
     return found[0].unionByName(found[1]).groupBy("doc_id", "page").agg(F.sum("n_matches").alias("n_matches"))
 
 

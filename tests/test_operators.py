@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import pytest
@@ -81,6 +83,90 @@ def test_recognised_words_to_lines(spark):
     assert got == ["Hello World\nBye", "a b"]
 
 
+def test_folds_of_a_page_of_100_000_words(spark):
+    """One pass each: a page of very many words takes seconds."""
+    n, line = 100_000, 50
+    word = F.struct(F.concat(F.lit("w"), F.col("id").cast("string")).alias("text"), (F.col("id") % line * 9.0).alias("x"), (-F.floor(F.col("id") / line) * 12.0).alias("y"), F.lit(8.0).alias("width"), F.lit(10.0).alias("height"), F.lit(9.0).alias("size"))
+    page = spark.range(n).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", word.alias("w")))), lambda p: p["w"]).alias("w"))
+    kind = "struct<text:string,x:double,y:double,width:double,height:double,size:double>"
+    began = time.time()
+    row = page.select(
+        F.size(folds.anchored_lines(F.col("w"), kind)).alias("lines"), F.size(folds.text_runs(F.col("w"))).alias("runs"), F.size(folds.merge_runs(F.col("w"))).alias("boxes"),
+        F.size(folds.wrapped(F.array_join(F.transform("w", lambda w: w["text"]), " "), F.lit("Helvetica"), F.lit(12.0), F.lit(300.0))).alias("wrapped"),
+    ).first()
+    assert (row["lines"], row["boxes"]) == (n // line, n // line) and row["runs"] == n // line and row["wrapped"] > 10_000
+    assert time.time() - began < 30
+
+
+def test_copied_text(spark):
+    tokens = [(1, "a", 1, 0.0, 5.0), (2, "b", 1, 5.5, 9.0), (3, "?", None, None, None), (4, "c", 1, 20.0, 25.0), (5, "d", 2, 0.0, None), (6, "e", 2, 99.0, 100.0), (7, None, None, None, None)]
+    df = spark.createDataFrame([(1, *t, 10.0) for t in tokens], "k int, ord int, text string, line long, x double, right double, size double")
+    assert [tuple(r) for r in folds.copied_text(df, "k").collect()] == [(1, "ab?\tc\nde")]
+
+
+def brute_hits(text: str, pattern: str, boxes: list[tuple]) -> list[list[list[float]]]:
+    """Boxes of each match: characters in a row on a line make a box, boxes on a line are merged."""
+    shares = lambda a, b: min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]) > 0.5 * min(a[3], b[3])
+    union = lambda a, b: [min(a[0], b[0]), min(a[1], b[1]), max(a[0] + a[2], b[0] + b[2]) - min(a[0], b[0]), max(a[1] + a[3], b[1] + b[3]) - min(a[1], b[1])]
+    out = []
+    for m in re.finditer(pattern, text):
+        stretches, before = [], None
+        for box in (list(boxes[i]) for i in range(m.start(), m.end()) if boxes[i]):
+            if before and shares(before, box):
+                stretches[-1] = union(stretches[-1], box)
+            else:
+                stretches.append(box)
+            before = box
+        merged: list[list[float]] = []
+        for s in stretches:
+            for k, b in enumerate(merged):
+                if shares(b, s):
+                    merged[k] = union(b, s)
+                    break
+            else:
+                merged.append(s)
+        out.append(sorted(merged, key=lambda b: (b[1], b[0])))
+    return out
+
+
+def test_hit_rectangles(spark, monkeypatch):
+    monkeypatch.setattr(search, "CHARS_PER_KEY", 7)
+    rnd = random.Random(6)
+    words = ["one", "two", "𝒳x", "tw o", "on", "e\ntwo"]
+    pages, chars, want = [], [], {}
+    for page in range(1, 6):
+        text = " ".join(rnd.choice(words) for _ in range(60))
+        boxes = [None if rnd.random() < 0.05 else (float(i % 23 * 6 + rnd.choice([0, 2])), float(i // 23 % 4 * 12 + rnd.choice([0, 0, 1, 7])), 6.0, rnd.choice([9.0, 10.0, 14.0])) for i in range(len(text))]
+        pages.append((1, page, text))
+        chars += [(1, page, i, *(b or (None,) * 4)) for i, b in enumerate(boxes)]
+        want[page] = brute_hits(text, r"(?<!\w)one\s+\S+", boxes)
+    pages, chars = spark.createDataFrame([*pages, (2, 1, None), (2, 2, "")], "doc_id int, page int, text string"), spark.createDataFrame(chars, "doc_id int, page int, idx int, x double, y double, width double, height double")
+    got: dict = {}
+    for r in search.search_hits(pages, chars, r"(?<!\w)one\s+\S+", use_regex=True).orderBy("page", "match", "part").collect():
+        got.setdefault((r["page"], r["match"]), []).append([r["x"], r["y"], r["width"], r["height"]])
+    assert got == {(p, k): boxes for p, all_ in want.items() for k, boxes in enumerate(all_, 1) if boxes}
+    assert search.search_hits(pages, chars, "").collect() == [] and search.redaction_regions(pages, chars, [" "]).collect() == []
+    assert search.search_hits(pages, chars, "TWO", match_case=True).collect() == []
+    assert search.search_hits(pages, chars, "TWO").count() > search.search_hits(pages, chars, "TWO", whole_word=True).count() - 1 > 0
+
+
+def test_from_search_to_redaction(spark):
+    """The hits of a query are the regions of a redaction; afterwards no word of them is left."""
+    text = "the secret word is here and SECRET twice"
+    spans = [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    pages = spark.createDataFrame([(1, 1, text, {"Contents": "x"}), (2, 1, "nothing", {"Contents": "x"})], "doc_id int, page int, text string, keys map<string,string>")
+    chars = spark.createDataFrame([(1, 1, i, 6.0 * i, 0.0, 6.0, 10.0) for i in range(len(text))], "doc_id int, page int, idx int, x double, y double, width double, height double")
+    words = spark.createDataFrame([(1, 1, k, w, 6.0 * a, 0.0, 6.0 * (b - a), 10.0) for k, (w, a, b) in enumerate(spans)], "doc_id int, page int, ord int, text string, x double, y double, width double, height double")
+    docs = spark.createDataFrame([(d, None, {}, {}, {}) for d in (1, 2)], "doc_id int, info map<string,string>, catalogue map<string,string>, names map<string,string>, form map<string,string>")
+    fields = spark.createDataFrame([], "doc_id int, node string, parent string, name string")
+    notes = spark.createDataFrame([], "doc_id int, page int, widget string, node string")
+    regions = search.redaction_regions(pages, chars, ["secret"])
+    assert sorted((r["x"], r["width"]) for r in regions.collect()) == [(24.0, 36.0), (168.0, 36.0)]
+    result, tables = scrub.redact(docs, pages, words, fields, notes, regions, ["secret"])
+    assert {r["doc_id"]: (r["regions"], r["verified"]) for r in result.collect()} == {1: (2, True), 2: (0, True)}
+    assert [r["text"] for r in tables["words"].orderBy("ord").collect()] == [w for w, _, _ in spans if w.lower() != "secret"]
+
+
 @pytest.mark.parametrize(("pattern", "n"), [("Total", 2), ("^Total", 1), ("Total$", 1), ("^Total 5$", 1), ("(?-m)^Total", 1), ("(?-m)Total 5$", 0)])
 def test_line_anchors(spark, pattern, n):
     df = spark.createDataFrame([(1, 1, "Total 5\r\nSubtotal Total")], "doc_id int, page int, text string")
