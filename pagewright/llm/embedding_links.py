@@ -32,7 +32,9 @@ from .vectors import finite_rows
 LEAST_COSINE = 0.95
 BLOCK_DIMS = 8
 #: Vectors of one chunk, and of a cell that isn't cut. A vector is sent once per chunk of its cell.
-CHUNK_ROWS = 16_384
+CHUNK_ROWS = 1 << 16
+#: Vectors that are rotated at a time.
+TURNED_ROWS = 4096
 #: By how much one more dimension of the grid thins cells out, about; it only chooses the plan.
 THINS = 1.7
 #: What budgets and boxes give away to rounding; rotated coordinates are stored as floats.
@@ -90,8 +92,8 @@ def placed(groups: DataFrame, least: float, grid: int, payload: bool = True) ->
             raws = batch.column(3).to_pylist()
             for dim in np.unique(dims).tolist():
                 of = np.flatnonzero(dims == dim)
-                for i in range(0, len(of), CHUNK_ROWS):
-                    own = of[i : i + CHUNK_ROWS]
+                for i in range(0, len(of), TURNED_ROWS):
+                    own = of[i : i + TURNED_ROWS]
                     turned = (unit(_doubles([raws[k] for k in own], dim)) @ rotation(dim)).astype("<f4")
                     packed = pa.array([r.tobytes() for r in turned], pa.binary())
                     for b, ((first, end), share) in enumerate(zip(blocks_of(dim), budgets(dim, least))):
@@ -134,8 +136,10 @@ class Members:
         self.vectors = unit(vectors[order])
         self.low = [self.rotated[a:b, first].min() if b > a else np.inf for a, b in zip(self.ends, self.ends[1:])]
         self.high = [self.rotated[a:b, first].max() if b > a else -np.inf for a, b in zip(self.ends, self.ends[1:])]
-        self.block = self.rotated[:, first:end].astype(np.float32)
-        self.square = (self.block * self.block).sum(axis=1)
+        # Products of these are squared distances in the block.
+        block = self.rotated[:, first:end].astype(np.float32)
+        square, one = (block * block).sum(axis=1, keepdims=True), np.ones((n, 1), dtype=np.float32)
+        self.left, self.right = np.hstack((-2 * block, square, one)), np.hstack((block, one, square))
         self.key = self.rotated[:, self.by].copy()
 
     def near(self, other: Members, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -151,8 +155,8 @@ class Members:
                     a, b = low + np.searchsorted(other.key[low:high], (self.key[i] - reach, self.key[j - 1] + reach), side="left")
                     a = max(a, i) if other is self and k == slab else a
                     if a < b:
-                        square = self.square[i:j, None] + other.square[None, a:b] - 2 * (self.block[i:j] @ other.block[a:b].T)
-                        x, y = np.nonzero(square <= np.float32(share + FLOAT_SLACK))
+                        square = self.left[i:j] @ other.right[a:b].T
+                        x, y = np.divmod(np.flatnonzero(square <= np.float32(share + FLOAT_SLACK)), b - a)
                         x, y = x + i, y + a
                         if other is self and k == slab:
                             x, y = x[y > x], y[y > x]

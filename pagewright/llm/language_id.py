@@ -42,12 +42,20 @@ KEPT_LETTERS = 64
 BLOCK_CHARS, RESCALED = 1 << 17, 16
 #: Nats per letter below which the best language doesn't explain a text; see `drop_undetermined`.
 LEAST_LIKELIHOOD = -9.0
-#: Characters that Python counts as alphanumeric, but that are neither letters nor decimal digits.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORD = re.compile(r"[^\W\d_]+")
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters of the lower-cased text. What the pattern finds may hold numerals that are no
+    decimal digits, outside ASCII alone; such words are cut there."""
+    text = text.lower()
+    words = _WORD.findall(text)
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [part for w in words for part in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> list[str]:
     """The normal pieces of a sentencepiece model file, lower case only (texts are lower-cased)."""
@@ -199,7 +207,7 @@ class Scorer:
 
     def score(self, texts: list[str | None]) -> list[tuple[np.ndarray, int] | None]:
         """Log probability of each text by language, and its letters; None where it has none."""
-        words = [_WORD.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         if len(self.place) > MOST_WORDS:
             self.clear()
         new = list(set().union(*words).difference(self.place))

@@ -232,7 +232,8 @@ def test_letters_beside_numerals(spark):
     assert {i for i in odd if got[i] == "und"} == {1002} and got[1003] == "en"
     assert {1000, 1001, 1003, 1004} <= {r["doc_id"] for r in language_id.drop_undetermined(df, path, least=-20.0).collect()}
     some = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
-    assert [c for c in some if bool(language_id._WORD.fullmatch(c)) != c.isalpha()] == []
+    assert [c for c in some if any(w.isalpha() for w in language_id.words_of(c)) != any(x.isalpha() for x in c.lower())] == []
+    assert language_id.words_of("Ab²cd x_y 3e½") == ["ab", "cd", "x", "y", "e"]
 
 
 def test_range_cuts(spark):
