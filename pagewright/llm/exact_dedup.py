@@ -39,6 +39,8 @@ def keyed_state(rows: DataFrame) -> DataFrame:
 #: The number of stores is fixed by the first run.
 BYTES_PER_STORE, KEY_BYTES = 1 << 30, 200
 LEAST_STORES = 12
+#: Memory of all stores of an executor, beside its heap.
+STORES_MB = 200
 
 
 def _session(spark: SparkSession, stores: int) -> SparkSession:
@@ -51,6 +53,9 @@ def _session(spark: SparkSession, stores: int) -> SparkSession:
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     # Files aren't extended ahead of need: there is one store per state partition.
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    # An executor's stores share so much memory, however many they are.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", str(STORES_MB))
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     return own
 

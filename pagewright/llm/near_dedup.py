@@ -27,6 +27,7 @@ from .components import connected
 from .ranges import HOT_SHARE, join_unique
 from .shingles import mix64, pieces, shingle_hashes
 from .storage import identified, written
+from .workers import resident
 
 SIMILARITY = 0.8
 #: 24 bands of 5 registers: a pair of similarity 0.8 shares a band with probability
@@ -126,6 +127,7 @@ def sign(docs: DataFrame, bands: int = BANDS, band_rows: int = BAND_ROWS) -> Dat
     """doc_id, a 128-bit digest of the bag (null where there are no words) and one key per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("near-duplicates", lambda: None)  # a model that the worker has kept is let go
         for batch in batches:
             for at, to in pieces(batch.column(1)):
                 b = batch.slice(at, to - at)

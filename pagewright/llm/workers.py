@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
+
 _kept: list[tuple[Hashable, Any]] = []
 
 
@@ -17,6 +20,15 @@ def resident(key: Hashable, make: Callable[[], Any]) -> Any:
     """
     if not _kept or _kept[0][0] != key:
         _kept.clear()
-        gc.collect()
+        returned()
         _kept.append((key, make()))
     return _kept[0][1]
+
+
+def returned() -> None:
+    """Give memory that isn't used any more back to the system, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
