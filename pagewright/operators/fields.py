@@ -177,3 +177,29 @@ def signature_drawing(strokes: Column, width: Column, height: Column) -> Column:
 
     border = F.format_string("0.5 w 0 G\n0.50 0.50 %.2f %.2f re S\n1.5 w 1 J 1 j\n", F.greatest(width - 1.0, F.lit(0.0)), F.greatest(height - 1.0, F.lit(0.0)))
     return F.concat(border, F.array_join(F.transform(F.filter(strokes, lambda s: F.size(s) > 0), stroke), ""))
+
+
+def set_strokes(fields: DataFrame, new: DataFrame) -> DataFrame:
+    """Signature fields (doc_id, name, rect: four numbers, appearance) whose appearance is
+    drawn anew from the strokes of ``new`` (doc_id, name, strokes), or taken away where they are
+    empty or null; the others are as they are.
+
+    A name that no field of its document has and a field to change without a rectangle fail the
+    job. What was replaced isn't held by any field: see `orphaned`.
+    """
+    given = new.select(*_KEYS, F.col("strokes").alias("_strokes"), F.lit(True).alias("_given"))
+    rows = fields.withColumn("_here", F.lit(True)).join(given, _KEYS, "full_outer").withColumn("_given", F.coalesce("_given", F.lit(False)))
+    known = F.coalesce("_here", F.lit(False))
+    placed = ~F.col("_given") | (F.coalesce(F.size("rect"), F.lit(0)) == 4)
+    rows = rows.where(F.assert_true(known, "no signature field of that name").isNull() & F.assert_true(placed, "a signature field without a rectangle").isNull())
+    side = lambda k: F.abs(F.col("rect")[k + 2] - F.col("rect")[k])
+    drawn = F.when(F.size("_strokes") > 0, signature_drawing(F.col("_strokes"), side(0), side(1)))
+    return rows.withColumn("appearance", F.when(F.col("_given"), drawn).otherwise(F.col("appearance"))).drop("_here", "_given", "_strokes")
+
+
+def orphaned(before: DataFrame, after: DataFrame) -> DataFrame:
+    """doc_id, name and appearance of drawings that a change of ``before`` into ``after`` left
+    behind: what a writer of the file needn't keep."""
+    held = before.where("appearance IS NOT NULL").select(*_KEYS, "appearance")
+    now = after.select(*_KEYS, F.col("appearance").alias("_now"))
+    return held.join(now, _KEYS, "left").where(~F.col("appearance").eqNullSafe(F.col("_now"))).drop("_now")

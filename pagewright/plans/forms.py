@@ -266,3 +266,31 @@ def h29_signature_appearance(spark, sf_dir):
     point = lambda x, y: F.array(F.lit(x), F.lit(y))
     strokes = F.array(F.array(point(0.25, 0.5), point(0.75, 0.75)), F.array(point(0.5, 0.25)))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), O.signature_drawing(strokes, F.col("p_size") * 10.0, F.lit(20.0)).alias("drawing"))
+
+
+_SIGNED = "(SELECT p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'old ' || p_name END AS old, 'S' || (p_partkey % 3) AS name, CAST(p_partkey // 3 AS BIGINT) AS doc_id, CAST(p_size AS BIGINT) AS s FROM part)"
+
+
+def _signatures(spark, sf_dir):
+    """Signature fields of parts, three a document; of every second there is a drawing. New strokes
+    come for the first of each document, none any more for the second."""
+    k = F.col("p_partkey")
+    here = table(spark, sf_dir, "part").select(
+        (F.floor(k / 3)).cast("long").alias("doc_id"), F.concat(F.lit("S"), (k % 3).cast("string")).alias("name"),
+        F.array(F.lit(110.0), F.lit(60.0), F.lit(10.0), 60.0 + F.col("p_size")).alias("rect"), F.when(k % 2 == 0, F.concat(F.lit("old "), "p_name")).alias("appearance"),
+    )
+    stroke = F.array(F.array(F.array(F.lit(0.5), F.lit(1.0))))
+    return here, here.where("name <> 'S2'").select("doc_id", "name", F.when(F.col("name") == "S0", stroke).alias("strokes"))
+
+
+@book.query(f"""SELECT doc_id, name, CASE name WHEN 'S2' THEN old WHEN 'S0' THEN '0.5 w 0 G' || chr(10) || '0.50 0.50 99.00 ' || (s - 1) || '.00 re S' || chr(10) || '1.5 w 1 J 1 j' || chr(10)
+    || '50.00 0.00 m' || chr(10) || '50.00 0.00 l' || chr(10) || 'S' || chr(10) END AS appearance FROM {_SIGNED}""")
+def g13_signature_strokes(spark, sf_dir):
+    fields, new = _signatures(spark, sf_dir)
+    return O.set_strokes(fields, new).select("doc_id", "name", "appearance")
+
+
+@book.query(f"SELECT doc_id, name, old AS appearance FROM {_SIGNED} WHERE old IS NOT NULL AND name <> 'S2'")
+def g13_orphaned_drawings(spark, sf_dir):
+    fields, new = _signatures(spark, sf_dir)
+    return O.orphaned(fields, O.set_strokes(fields, new))

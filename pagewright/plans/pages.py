@@ -199,3 +199,17 @@ def a01_pages_of_files(spark, sf_dir):
     tail = F.concat(F.lit("trailer << /Root 1 0 R "), F.when(owner % 7 == 1, "/Encrypt 8 0 R ").otherwise(""), F.lit(">>"))
     content = F.encode(F.concat(head, tree, F.col("objects"), tail), "UTF-8")
     return pdf.parse_pages(files.select(owner.cast("string").alias("path"), content.alias("content")))
+
+
+@book.query(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(string_agg('--- Page ' || page || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page)) AS sha256 FROM {_PAGES} GROUP BY doc_id")
+def a14_saved_documents(spark, sf_dir):
+    """Exported texts in files, one a document, read back from the folder that was committed."""
+    from ..lineage import Rounds
+    from ..sources import text_files
+
+    text_files.register(spark)
+    folder = Rounds(spark).folder
+    rows = P.export_text(pages(spark, sf_dir)).select("doc_id", F.col("exported").alias("content"), F.lit(True).alias("verified"))
+    rows.write.format("document_files").mode("append").option("path", folder).save()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return files.select(F.regexp_extract("path", r"([^/]+)\.txt$", 1).alias("doc_id"), F.sha2("content", 256).alias("sha256"))

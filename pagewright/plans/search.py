@@ -294,3 +294,16 @@ def j01_recognised_words(spark, sf_dir):
 
     images = pages(spark, sf_dir).select("doc_id", "page", F.encode("text", "UTF-8").alias("image"))
     return recognise(images, WordsInBytes()).select("doc_id", "page", "ord", "text", "x")
+
+
+@book.query(f"SELECT doc_id, page, ord, text, CAST((ord - 1) * 10 AS DOUBLE) AS x, false AS failed FROM {_WORDS} WHERE page % 4 <> 0 UNION ALL SELECT doc_id, page, 0, '', -1, true FROM (SELECT conv_id AS doc_id, turn + 1 AS page FROM conversations) WHERE page % 4 = 0")
+def j01_recognition_in_sql(spark, sf_dir):
+    """The same as a table function of SQL; every fourth page's image is none."""
+    from ..sources.recognise import WordsInBytes, register
+
+    register(spark, WordsInBytes())
+    image = F.when(F.col("page") % 4 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.encode("text", "UTF-8"))
+    images = pages(spark, sf_dir).select("doc_id", "page", image.alias("image"))
+    rows = spark.sql("SELECT * FROM recognise(TABLE({images}) PARTITION BY (doc_id, page))", images=images)
+    said = (F.coalesce(c, F.lit(none)).alias(c) for c, none in (("ord", 0), ("text", ""), ("x", -1.0)))
+    return rows.select("doc_id", "page", *said, F.col("error").isNotNull().alias("failed"))

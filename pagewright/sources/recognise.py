@@ -40,3 +40,37 @@ def recognise(images: DataFrame, engine: Engine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split(" ")[0] for x in WORDS.split(", ")])
 
     return images.select("doc_id", "page", "image").mapInArrow(run, WORDS)
+
+
+def register(spark, engine: Engine, name: str = "recognise") -> None:
+    """Recognition as a table function of SQL, by ``engine``:
+    ``SELECT * FROM recognise(TABLE(images) PARTITION BY (doc_id, page))``. ``images`` has doc_id,
+    page and image; the result is that of `recognise` and error, which is why an image couldn't be
+    read: such an image is one row, and the others are there."""
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.types import StructType
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    from ..shipping import ship
+
+    ship(spark)
+    schema = StructType.fromDDL(f"{WORDS}, error string")
+
+    class Recognise:
+        @staticmethod
+        def analyze(images: AnalyzeArgument) -> AnalyzeResult:
+            missing = {"doc_id", "page", "image"} - (set(images.dataType.names) if images.isTable else set())
+            if missing:
+                raise ValueError(f"recognition takes a table of images; {sorted(missing)} are missing")
+            return AnalyzeResult(schema)
+
+        def eval(self, row):
+            try:
+                found = list(engine.recognise(bytes(row["image"])))
+            except Exception as e:  # whatever an engine makes of bytes that are no image
+                yield row["doc_id"], row["page"], None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+                return
+            for k, (text, *box) in enumerate(found, 1):
+                yield row["doc_id"], row["page"], k, text, *map(float, box), None
+
+    spark.udtf.register(name, udtf(Recognise))

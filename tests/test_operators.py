@@ -479,3 +479,18 @@ def test_every_page_is_recognised(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     want = [(c, turn + 1, i + 1, w, 10.0 * i) for c, turn, text in rows for i, w in enumerate(text.split())]
     assert sorted(tuple(r) for r in catalogue.queries()["j01_recognised_words"](spark, str(tmp_path)).collect()) == want
+
+
+def test_strokes_are_set_replaced_and_cleared_by_document(spark):
+    box = [10.0, 0.0, 110.0, 40.0]
+    form = spark.createDataFrame([(1, "a", box, None, 7), (1, "b", box, "old", 7), (2, "a", box, "old", 7), (2, "n", None, "kept", 7)], "doc_id long, name string, rect array<double>, appearance string, more int")
+    shape = "doc_id long, name string, strokes array<array<array<double>>>"
+    new = spark.createDataFrame([(1, "a", [[[0.0, 0.0], [1.0, 1.0]], []]), (1, "b", []), (2, "a", None)], shape)
+    rows = fields.set_strokes(form, new)
+    found = {(r["doc_id"], r["name"]): r["appearance"] for r in rows.collect()}
+    assert rows.columns == form.columns
+    assert found == {(1, "a"): "0.5 w 0 G\n0.50 0.50 99.00 39.00 re S\n1.5 w 1 J 1 j\n0.00 40.00 m\n100.00 0.00 l\nS\n", (1, "b"): None, (2, "a"): None, (2, "n"): "kept"}
+    assert sorted(tuple(r) for r in fields.orphaned(form, rows).collect()) == [(1, "b", "old"), (2, "a", "old")]
+    for bad, why in ((3, "a"), "no signature field"), ((2, "n"), "without a rectangle"):
+        with pytest.raises(Exception, match=why):
+            fields.set_strokes(form, spark.createDataFrame([(*bad, [])], shape)).collect()
