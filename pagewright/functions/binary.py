@@ -183,12 +183,22 @@ def extent(counts: np.ndarray, least: int) -> tuple[int, int] | None:
     return (int(pairs[0]), int(pairs[-1]) + 1) if len(pairs) else None
 
 
-def ink_box(pixels: bytes, width: int, dark: int = 200, share: float = 0.005) -> list[int] | None:
+#: A pixel is ink when its darkest channel is below DARK; a row or column has ink
+#: when this share of it, one pixel at least, is.
+DARK, SHARE = 200, 0.005
+
+
+def enough(length: int, share: float = SHARE) -> int:
+    """Pixels of ink that a row or column of so many pixels must have."""
+    return max(1, int(np.ceil(length * share)))
+
+
+def ink_box(pixels: bytes, width: int, dark: int = DARK, share: float = SHARE) -> list[int] | None:
     """Box of the rows and columns with enough pixels whose darkest channel is below ``dark``."""
     ink = np.frombuffer(pixels, dtype=np.uint8).reshape(-1, width, 4)[:, :, :3].min(axis=2) < dark
     height = ink.shape[0]
-    rows = extent(ink.sum(axis=1), max(1, int(np.ceil(width * share))))
-    columns = extent(ink.sum(axis=0), max(1, int(np.ceil(height * share))))
+    rows = extent(ink.sum(axis=1), enough(width, share))
+    columns = extent(ink.sum(axis=0), enough(height, share))
     return None if rows is None or columns is None else [columns[0], rows[0], columns[1] + 1, rows[1] + 1]
 
 

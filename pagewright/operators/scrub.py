@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from . import trees
+from . import overlap, trees
 
 # Keys that go, by dictionary.
 EXTRA_KEYS = ("Metadata", "OpenAction")
@@ -118,13 +118,10 @@ def redact(docs: DataFrame, pages: DataFrame, words: DataFrame, fields: DataFram
     flat = regions.select("doc_id", "page").distinct()
     pages = pages.join(flat.withColumn("_flat", F.lit(True)), ["doc_id", "page"], "left")
     pages = pages.withColumn("keys", F.when(F.col("_flat"), without(F.col("keys"), PAGE_KEYS)).otherwise(F.col("keys"))).drop("_flat")
-    marks = regions.select("doc_id", "page", box().alias("region"))
-    boxed = lambda rows: rows.withColumn("_box", box())
-    met = lambda rows, how: boxed(rows).alias("w").join(marks.alias("r"), (F.col("w.doc_id") == F.col("r.doc_id")) & (F.col("w.page") == F.col("r.page")) & G.overlaps(F.col("w._box"), F.col("r.region")), how)
-    words = met(words, "left_anti").select(*words.columns)
+    words = overlap.apart(words, regions)
     docs, pages, fields = scrub_leaks(docs, pages, fields, annotations, queries)
 
-    meets = marks.alias("r").join(boxed(words).alias("w"), (F.col("w.doc_id") == F.col("r.doc_id")) & (F.col("w.page") == F.col("r.page")) & G.overlaps(F.col("w._box"), F.col("r.region")), "left_semi")
+    meets = overlap.meeting(regions, words)
     texts = words.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda w: w["text"]), " ").alias("text"))
     hits = texts.where(T.contains_any(F.col("text"), T.needles(queries)))
     leaks = meets.select("doc_id").unionByName(hits.select("doc_id"))

@@ -8,6 +8,7 @@ from ..functions import geometry as G
 from ..operators import fields as O
 from ..operators import images as I
 from ..operators import notes as N
+from ..operators import overlap as V
 from ..operators import pages as P
 from .geometry import RECTS, r_, rects
 from .registry import Book, table
@@ -18,10 +19,9 @@ _OVER = "least(c.x + c.width, r.x + r.width) - greatest(c.x, r.x) > 1.0 AND leas
 
 
 def _sides(spark, sf_dir):
-    df = rects(spark, sf_dir).withColumn("y", F.col("y") % 60)
-    regions = df.where("n = 1").select("k", r_().alias("region"))
-    chars = df.where("n > 1").select("k", "n", r_().alias("char"))
-    return regions, chars
+    df = rects(spark, sf_dir).withColumns({"y": F.col("y") % 60, "page": F.lit(1)}).withColumnRenamed("k", "doc_id")
+    sides = df.select("doc_id", "page", "n", "x", "y", "width", "height")
+    return sides.where("n = 1"), sides.where("n > 1")
 
 
 _SIDES = f"WITH a AS (SELECT k, n, x, fmod(y, 60) AS y, width, height FROM {RECTS}), r AS (SELECT * FROM a WHERE n = 1), c AS (SELECT * FROM a WHERE n > 1)"
@@ -29,26 +29,25 @@ _SIDES = f"WITH a AS (SELECT k, n, x, fmod(y, 60) AS y, width, height FROM {RECT
 
 @book.query(f"{_SIDES} SELECT c.k, c.n FROM c JOIN r ON c.k = r.k AND {_OVER}")
 def c05_overlapping_pairs(spark, sf_dir):
-    """The page is the equality key; overlap is tested within it."""
+    """Each pair once, found in the cells of the page that both lie in."""
     regions, chars = _sides(spark, sf_dir)
-    return chars.join(regions, "k").where(G.overlaps(F.col("char"), F.col("region"))).select("k", "n")
+    return V.pairs(chars, regions).select(F.col("doc_id").alias("k"), "l.n")
 
 
 @book.query(f"{_SIDES} SELECT r.k, r.x FROM r WHERE EXISTS (SELECT 1 FROM c WHERE c.k = r.k AND {_OVER})")
 def c07_leaking_regions(spark, sf_dir):
     """Each region that still has characters under it, once."""
     regions, chars = _sides(spark, sf_dir)
-    r, c = regions.alias("r"), chars.alias("c")
-    return r.join(c, (F.col("r.k") == F.col("c.k")) & G.overlaps(F.col("c.char"), F.col("r.region")), "left_semi").select("k", "region.x")
+    return V.meeting(regions, chars).select(F.col("doc_id").alias("k"), "x")
 
 
 @book.query(f"{_SIDES} SELECT r.k, CAST(count(c.n) AS BIGINT) AS leaks, count(c.n) = 0 AS verified FROM r LEFT JOIN c ON c.k = r.k AND {_OVER} GROUP BY r.k")
 def d24_verify_regions(spark, sf_dir):
     """Leaks per document, and whether there are none."""
     regions, chars = _sides(spark, sf_dir)
-    r, c = regions.alias("r"), chars.alias("c")
-    joined = r.join(c, (F.col("r.k") == F.col("c.k")) & G.overlaps(F.col("c.char"), F.col("r.region")), "left")
-    return joined.groupBy("r.k").agg(F.count("c.n").alias("leaks"), (F.count("c.n") == 0).alias("verified"))
+    leaks = V.pairs(chars, regions).groupBy("doc_id").agg(F.count("*").alias("leaks"))
+    rows = regions.select("doc_id").distinct().join(leaks, "doc_id", "left").select(F.col("doc_id").alias("k"), F.coalesce("leaks", F.lit(0)).alias("leaks"))
+    return rows.withColumn("verified", F.col("leaks") == 0)
 
 
 @book.query(f"SELECT k, list(n ORDER BY n) AS regions FROM {RECTS} GROUP BY k")

@@ -7,6 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from ..functions import binary as B
+from ..operators import margins as M
 from ..shipping import ship
 from .registry import Book, table
 
@@ -138,6 +139,26 @@ def d06_ink_box(spark, sf_dir):
     return rows.select("k", B.over(lambda p: B.ink_box(p, 8), "array<int>")("pixels").alias("box"))
 
 
+#: Strips of G24: per part a page of 12 x 24 pixels in three strips, white but for a dark rectangle.
+_INK = "(SELECT p_partkey AS k, p_size % 7 AS x0, p_size % 5 AS w, p_partkey % 17 AS y0, p_partkey % 8 AS h FROM part)"
+
+
+@book.query(f"SELECT k, CASE WHEN h > 1 AND w > 1 THEN [x0, y0, x0 + w, y0 + h]::INTEGER[] END AS box, CASE WHEN h > 1 AND w > 1 THEN [x0 * 50.0, 792.0 - (y0 + h) * 33.0, (x0 + w) * 50.0, 792.0 - y0 * 33.0]::DOUBLE[] END AS ink FROM {_INK}")
+def g24_margins(spark, sf_dir):
+    """Ink boxes of pages from partial results of strips; rectangles cross strips or lie within one,
+    and lines of a single pixel are no ink."""
+    ship(spark)
+    k, size = F.col("p_partkey"), F.col("p_size")
+    x0, w, y0, h = size % 7, size % 5, k % 17, k % 8
+    x, y = lambda i: i % 12, lambda i: F.floor(i / 12) + F.col("y0")
+    dark = lambda i: (x(i) >= x0) & (x(i) < x0 + w) & (y(i) >= y0) & (y(i) < y0 + h)
+    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: F.when(dark(i), "FF40FFFF").otherwise("FFFFFFFF")), "")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.array(*map(F.lit, (0, 8, 16)))).alias("y0"))
+    strips = parts.select(k.alias("doc_id"), F.lit(1).alias("page"), "y0", F.lit(8).alias("rows"), F.lit(12).alias("width"), F.lit(24).alias("height"), F.lit(600.0).alias("page_w"), F.lit(792.0).alias("page_h"), F.unhex(pixels).alias("pixels"))
+    sides = lambda b, t: F.when(F.col(b).isNotNull(), F.array(*[F.col(f"{b}.{c}") for c in ("x0", "y0", "x1", "y1")])).cast(t)
+    return M.ink_boxes(strips).select(F.col("doc_id").alias("k"), sides("box", "array<int>").alias("box"), F.transform(sides("ink", "array<double>"), lambda v: F.round(v, 6)).alias("ink"))
+
+
 @book.query("SELECT n_nationkey AS k, 2.0::DOUBLE * (n_nationkey + 1) AS width FROM nation")
 def e10_displayed_width(spark, sf_dir):
     """q, a scaling, an image, Q, the image again at its natural size."""
