@@ -6,7 +6,7 @@ import importlib
 
 from .registry import Query
 
-NAMES = ("search", "pages", "objects", "geometry", "overlap", "labels", "viewer", "forms", "images", "metadata", "redaction", "signatures", "folds", "notes", "parsing")
+NAMES = ("search", "pages", "objects", "geometry", "overlap", "labels", "viewer", "forms", "images", "metadata", "redaction", "signatures", "folds", "notes", "parsing", "jobs")
 BOOKS = tuple(importlib.import_module(f"{__package__}.{name}").book for name in NAMES)
 
 
