@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
+from ..lineage import Rounds
 from .folds import merge_runs
 
 RESULTS_PER_PAGE = 20
@@ -121,6 +122,8 @@ def redaction_regions(pages: DataFrame, characters: DataFrame, queries: list[str
 #: Tokens of a query that are looked up together, and how many queries without so many are
 #: tested against every text.
 KEY_TOKENS, MOST_SHORT = 4, 1000
+#: Bytes of queries that are sent to every task, each with so many for its keys.
+MOST_BROADCAST, QUERY_BYTES = 32 << 20, 64
 
 
 def holding(texts: DataFrame, queries: DataFrame) -> DataFrame:
@@ -128,7 +131,8 @@ def holding(texts: DataFrame, queries: DataFrame) -> DataFrame:
     (item_id, query) it holds, case aside.
 
     A text that holds a query holds its inner tokens in a row: the first few are looked up by
-    hash, and what shares them is compared in full. Shorter queries are tested against every
+    hash, and what shares them is compared in full. Queries of up to MOST_BROADCAST bytes go to
+    every task, so that no place of a text is shuffled. Shorter queries are tested against every
     text; they are counted first, and more than MOST_SHORT raise.
     """
     tokens = lambda s: F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda t: t != "")
@@ -136,10 +140,19 @@ def holding(texts: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.where(F.col("query") != "").withColumn("tokens", tokens(F.col("query")))
     # The first and last token may be the end and beginning of longer ones in a text.
     long = asked.where(F.size("tokens") >= KEY_TOKENS + 2).select("item_id", "query", key(F.col("tokens"), F.lit(2)).alias("key"))
-    cut = texts.withColumn("tokens", tokens(F.col("text"))).where(F.size("tokens") >= KEY_TOKENS)
-    keyed = cut.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - KEY_TOKENS + 1), lambda i: key(F.col("tokens"), i)))))
-    places = keyed.join(long.select("key").distinct(), "key", "left_semi").select(*texts.columns, "key")
-    found = places.join(long, "key").where(F.contains(F.lower("text"), F.lower("query"))).select(*texts.columns, "item_id")
+    keyed = lambda rows: (
+        rows.withColumn("tokens", tokens(F.col("text"))).where(F.size("tokens") >= KEY_TOKENS)
+        .withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tokens") - KEY_TOKENS + 1), lambda i: key(F.col("tokens"), i)))))
+    )
+    if (long.agg(F.sum(F.octet_length("query") + QUERY_BYTES).alias("n")).first()["n"] or 0) <= MOST_BROADCAST:
+        places = keyed(texts).join(F.broadcast(long), "key")
+    else:
+        # Places are met by number and key alone, and whole texts come to those that share a key.
+        row = "_row"
+        numbered, _ = Rounds(texts.sparkSession).keep(texts.withColumn(row, F.monotonically_increasing_id()))
+        met = keyed(numbered.select(row, "text")).select(row, "key").join(long.select("key", "item_id"), "key").select(row, "item_id")
+        places = met.join(numbered, row).join(long, "item_id")
+    found = places.where(F.contains(F.lower("text"), F.lower("query"))).select(*texts.columns, "item_id")
     short = [(r["item_id"], r["query"]) for r in asked.where(F.size("tokens") < KEY_TOKENS + 2).select("item_id", "query").limit(MOST_SHORT + 1).collect()]
     if len(short) > MOST_SHORT:
         raise ValueError(f"more than {MOST_SHORT} queries of fewer than {KEY_TOKENS + 2} words")
