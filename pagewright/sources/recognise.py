@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
 from typing import Protocol
 
 import pyarrow as pa
@@ -22,9 +24,20 @@ class WordsInBytes:
         return [(w, 10.0 * i, 0.0, 9.0, 10.0) for i, w in enumerate(w for w in image.decode().replace("\n", " ").split(" ") if w)]
 
 
+#: Words that a task holds at a time, beside those of one page.
+BATCH_WORDS = 4096
 WORDS = "doc_id long, page long, ord long, text string, x double, y double, width double, height double"
 
 
+def _word_batches(batches: Iterator[pa.RecordBatch], engine: Engine) -> Iterator[pa.RecordBatch]:
+    """However many pages and words the batches hold, no more than BATCH_WORDS words are held at a time."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * 4]
+    names = [x.split(" ")[0] for x in WORDS.split(", ")]
+    words = ((d.as_py(), p.as_py(), k, *w) for b in batches for d, p, image in zip(*(b.column(i) for i in range(3))) for k, w in enumerate(engine.recognise(image.as_py()), 1))
+    while rows := list(islice(words, BATCH_WORDS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+
 def recognise(images: DataFrame, engine: Engine) -> DataFrame:
     """A row per word of each image (doc_id, page, image); a page without words has
     none. An image that the engine can't read fails the job."""
@@ -32,14 +45,7 @@ def recognise(images: DataFrame, engine: Engine) -> DataFrame:
 
     ship(images.sparkSession)
 
-    def run(batches):
-        for b in batches:
-            rows = [(d, p, k, *w) for d, p, image in zip(*(b.column(i).to_pylist() for i in range(3))) for k, w in enumerate(engine.recognise(image), 1)]
-            columns = list(zip(*rows)) or [[]] * 8
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.float64()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split(" ")[0] for x in WORDS.split(", ")])
-
-    return images.select("doc_id", "page", "image").mapInArrow(run, WORDS)
+    return images.select("doc_id", "page", "image").mapInArrow(lambda batches: _word_batches(batches, engine), WORDS)
 
 
 def register(spark, engine: Engine, name: str = "recognise") -> None:
