@@ -227,7 +227,7 @@ def appearance_style(da: Column) -> Column:
     tokens = F.filter(F.split(da, r"(?U)\s+"), lambda t: t != "")
     empty = F.struct(F.lit(None).cast("string").alias("font"), F.lit(None).cast("double").alias("size"), F.lit(None).cast("string").alias("color"))
 
-    def step(acc: Column, i: Column) -> Column:
+    def step(tokens: Column, acc: Column, i: Column) -> Column:
         t = lambda k: F.get(tokens, i - k)
         num = lambda k: t(k).try_cast("double")
         op = t(0)
@@ -240,5 +240,9 @@ def appearance_style(da: Column) -> Column:
         name = F.when(F.startswith(t(2), F.lit("/")), font_family(t(2)))
         return F.struct(F.when(is_font, name).otherwise(acc["font"]).alias("font"), F.when(is_font, num(1)).otherwise(acc["size"]).alias("size"), F.coalesce(color, acc["color"]).alias("color"))
 
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, empty, step)
+    def folded(tokens: Column) -> Column:
+        places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, empty, lambda acc, i: step(tokens, acc, i))
+
+    # The string is split once: what a lambda refers to is computed anew at each step unless it has a name.
+    return F.transform(F.array(tokens), folded)[0]
