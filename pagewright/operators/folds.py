@@ -8,7 +8,7 @@ pass, as long as the page. Pages are rows and spread over tasks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,21 +45,57 @@ def line_numbers(items: DataFrame, *keys: str) -> DataFrame:
     return items.withColumn("_new", apart.cast("long")).withColumn("line", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def _lists(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[tuple[list[int], np.ndarray, list[list]]]:
+    """Per batch of list columns of one shape: rows that aren't null, where the items of each end,
+    and the columns' items, all rows' in one list."""
+    for columns in parts:
+        rows = np.flatnonzero(np.asarray(columns[0].is_valid()))
+        ends = np.cumsum(np.asarray(columns[0].value_lengths().fill_null(0), dtype=np.int64))
+        yield rows.tolist(), ends, [c.flatten().to_pylist() for c in columns]
+
+
+def _sides(items: Column, *names: str) -> list[Column]:
+    """A list per name of what the items are there."""
+    of = lambda name: F.transform(items, lambda i: i[name].cast("double"))
+    return [of(name) for name in names]
+
+
+def _offsets(sizes: list[int]) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
+
+
 def anchored_lines(words: Column, element: str) -> Column:
     """Words (x, y, height, ...; origin below) as an array of lines, from the top: a word
     joins the last line if its y is within half the taller height of that line's first word;
-    within a line words go by x. ``element`` is the type of a word."""
-
-    def fold(words: list[dict]) -> list[list[dict]]:
-        lines: list[list[dict]] = []
-        for w in sorted(words, key=lambda w: (-w["y"], w["x"])):
-            if lines and abs(lines[-1][0]["y"] - w["y"]) <= max(lines[-1][0]["height"], w["height"]) * 0.5:
-                lines[-1].append(w)
-            else:
-                lines.append([w])
-        return [sorted(line, key=lambda w: w["x"]) for line in lines]
+    within a line words go by x. ``element`` is the type of a word. The words' places are sorted,
+    the words themselves stay where they are."""
+    ship(SparkSession.active())
 
-    return _folded(f"array<array<{element}>>", fold, words)
+    @F.arrow_udf("array<array<int>>")
+    def placed(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for rows, ends, (xs, ys, heights) in _lists(parts):
+            lines, sizes, places, there = [0] * len(ends), [], [], np.zeros(len(ends), dtype=bool)
+            there[rows] = True
+            for row in rows:
+                start, end = int(ends[row - 1]) if row else 0, int(ends[row])
+                line: list[int] = []
+                for i in sorted(range(start, end), key=lambda i: (-ys[i], xs[i])):
+                    if line and abs(ys[line[0]] - ys[i]) <= max(heights[line[0]], heights[i]) * 0.5:
+                        line.append(i)
+                        continue
+                    if line:
+                        places += [k - start for k in sorted(line, key=xs.__getitem__)]
+                        sizes.append(len(line))
+                        lines[row] += 1
+                    line = [i]
+                if line:
+                    places += [k - start for k in sorted(line, key=xs.__getitem__)]
+                    sizes.append(len(line))
+                    lines[row] += 1
+            inside = pa.ListArray.from_arrays(_offsets(sizes), pa.array(places, pa.int32()))
+            yield pa.ListArray.from_arrays(_offsets(lines), inside, mask=pa.array(~there))
+
+    return F.transform(placed(*_sides(words, "x", "y", "height")), lambda line: F.transform(line, lambda i: F.get(words, i))).cast(f"array<array<{element}>>")
 
 
 def line_text(lines: Column) -> Column:
@@ -87,23 +123,59 @@ def merge_runs(rects: Column) -> Column:
     else it begins a box; then top to bottom and left to right. A rectangle is held against all
     boxes so far at once."""
 
-    def fold(rects: list[dict]) -> list[dict]:
-        at = np.empty((len(rects), 4))  # left, top, right and bottom of the boxes so far
-        n = 0
-        for r in rects:
-            own = np.array((r["x"], r["y"], r["x"] + r["width"], r["y"] + r["height"]))
-            some = at[:n]
-            shared = np.minimum(some[:, 3], own[3]) - np.maximum(some[:, 1], own[1])
-            hit = np.flatnonzero(shared > 0.5 * np.minimum(some[:, 3] - some[:, 1], r["height"]))
-            if len(hit):
-                box = at[hit[0]]
-                box[:2], box[2:] = np.minimum(box[:2], own[:2]), np.maximum(box[2:], own[2:])
+    ship(SparkSession.active())
+    shape = pa.struct([(c, pa.float64()) for c in ("x", "y", "width", "height")])
+
+    @F.arrow_udf(f"array<{_RECT}>")
+    def merged(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for rows, ends, columns in _lists(parts):
+            sizes, boxes, there = [0] * len(ends), [], np.zeros(len(ends), dtype=bool)
+            there[rows] = True
+            for row in rows:
+                start, end = int(ends[row - 1]) if row else 0, int(ends[row])
+                own = _merged(*(c[start:end] for c in columns))
+                sizes[row] = len(own)
+                boxes += own
+            at = np.array(boxes, dtype=np.float64).reshape(-1, 4)
+            sides = [at[:, 0], at[:, 1], at[:, 2] - at[:, 0], at[:, 3] - at[:, 1]]
+            inside = pa.StructArray.from_arrays([pa.array(v) for v in sides], fields=list(shape))
+            yield pa.ListArray.from_arrays(_offsets(sizes), inside, mask=pa.array(~there))
+
+    return merged(*_sides(rects, "x", "y", "width", "height"))
+
+
+#: Boxes from which on a rectangle is held against all of them by one array operation.
+MANY_BOXES = 32
+
+
+def _merged(xs: list[float], ys: list[float], widths: list[float], heights: list[float]) -> list[list[float]]:
+    """Left, top, right and bottom of the boxes that rectangles make, from top to bottom."""
+    boxes: list[list[float]] = []
+    at, n = np.empty((0, 4)), 0  # the same as an array, once there are many
+    for x, y, w, h in zip(xs, ys, widths, heights):
+        right, bottom = x + w, y + h
+        if n < MANY_BOXES:
+            for box in boxes:
+                if min(box[3], bottom) - max(box[1], y) > 0.5 * min(box[3] - box[1], h):
+                    box[:] = min(box[0], x), min(box[1], y), max(box[2], right), max(box[3], bottom)
+                    break
             else:
-                at[n] = own
+                boxes.append([x, y, right, bottom])
                 n += 1
-        return [dict(x=x, y=y, width=r - x, height=b - y) for x, y, r, b in sorted(at[:n].tolist(), key=lambda v: (v[1], v[0]))]
-
-    return _folded(f"array<{_RECT}>", fold, rects)
+                if n == MANY_BOXES:
+                    at = np.empty((len(xs), 4))
+                    at[:n] = boxes
+            continue
+        some = at[:n]
+        shared = np.minimum(some[:, 3], bottom) - np.maximum(some[:, 1], y)
+        hit = np.flatnonzero(shared > 0.5 * np.minimum(some[:, 3] - some[:, 1], h))
+        if len(hit):
+            box = at[hit[0]]
+            box[:2], box[2:] = np.minimum(box[:2], (x, y)), np.maximum(box[2:], (right, bottom))
+        else:
+            at[n] = x, y, right, bottom
+            n += 1
+    return sorted(at[:n].tolist() if n >= MANY_BOXES else boxes, key=lambda v: (v[1], v[0]))
 
 
 _RUN = "struct<text:string,x:double,y:double,width:double,height:double,size:double>"
