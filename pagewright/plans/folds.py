@@ -14,8 +14,8 @@ book = Book()
 
 
 def _page_rects(spark, sf_dir, low: float = 40.0):
-    """Rectangles of each order, close together."""
-    df = rects(spark, sf_dir).withColumn("y", F.col("y") % low)
+    """Rectangles of each order, close together; an order's lie in one task, as what follows takes them."""
+    df = rects(spark, sf_dir).select("k", "n", "x", (F.col("y") % low).alias("y"), "width", "height").repartition("k")
     return df.groupBy("k", "n").agg(*[F.min(c).alias(c) for c in ("x", "y", "width", "height")])
 
 
