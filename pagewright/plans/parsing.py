@@ -150,9 +150,12 @@ def g24_margins(spark, sf_dir):
     ship(spark)
     k, size = F.col("p_partkey"), F.col("p_size")
     x0, w, y0, h = size % 7, size % 5, k % 17, k % 8
-    x, y = lambda i: i % 12, lambda i: F.floor(i / 12) + F.col("y0")
-    dark = lambda i: (x(i) >= x0) & (x(i) < x0 + w) & (y(i) >= y0) & (y(i) < y0 + h)
-    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: F.when(dark(i), "FF40FFFF").otherwise("FFFFFFFF")), "")
+    white, dark = "FFFFFFFF", "FF40FFFF"
+    inked = F.concat(F.repeat(F.lit(white), x0), F.repeat(F.lit(dark), w), F.repeat(F.lit(white), 12 - x0 - w))
+    above = F.least(F.greatest(y0 - F.col("y0"), F.lit(0)), F.lit(8))
+    upto = F.least(F.greatest(y0 + h - F.col("y0"), F.lit(0)), F.lit(8))
+    blank = lambda n: F.repeat(F.lit(white * 12), n.cast("int"))
+    pixels = F.concat(blank(above), F.repeat(inked, (upto - above).cast("int")), blank(8 - upto))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.array(*map(F.lit, (0, 8, 16)))).alias("y0"))
     strips = parts.select(k.alias("doc_id"), F.lit(1).alias("page"), "y0", F.lit(8).alias("rows"), F.lit(12).alias("width"), F.lit(24).alias("height"), F.lit(600.0).alias("page_w"), F.lit(792.0).alias("page_h"), F.unhex(pixels).alias("pixels"))
     sides = lambda b, t: F.when(F.col(b).isNotNull(), F.array(*[F.col(f"{b}.{c}") for c in ("x0", "y0", "x1", "y1")])).cast(t)
