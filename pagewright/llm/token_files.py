@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .bpe import cuttable
 from .ranges import MOST_TASKS, range_cuts, range_part, text_tasks
 from .shingles import pieces
-from .workers import resident
+from .workers import resident, returned
 
 END = 2
 #: Pieces of text that a worker keeps by last use: when there are so many of late, those before go.
@@ -37,7 +37,7 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>
 
 def _encoder(path: str):
     """The library's tokenizer, how many bytes each id stands for, and the ids, packed, of pieces
-    of text, those used of late and those before; one per Python worker."""
+    of text (``late``: those used of late, ``before``: those before); one per Python worker."""
 
     def make() -> tuple:
         from tokenizers import Tokenizer
@@ -47,7 +47,7 @@ def _encoder(path: str):
         lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():  # a byte-level token has a character per byte
             lengths[i] = len(token)
-        return tokenizer, lengths, [{}, {}]
+        return tokenizer, lengths, {}
 
     return resident(("token files", path), make)
 
@@ -60,9 +60,10 @@ def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
     other texts go to it whole, and so do all if a token should cross a piece's end.
     """
     tokenizer, lengths, kept = _encoder(path)
-    if len(kept[0]) > GENERATION:
-        kept[:] = {}, kept[0]
-    known, before = kept
+    known, before = kept.setdefault("late", {}), kept.setdefault("before", {})
+    if len(known) > GENERATION:
+        kept["late"], kept["before"] = known, before = {}, known
+        returned()  # the pieces let go lie between those that stay
     cut = [cuttable(t) for t in texts]
     parts = pc.split_pattern(pc.replace_substring(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string()), "\n", " \n"), " ")
     starts = np.asarray(parts.offsets, dtype=np.int64)
@@ -122,6 +123,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end: int | None = EN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start = TaskContext.get().partitionId(), 0
+        returned()  # what the worker's last task has freed
         for batch in batches:
             for at, to in pieces(batch.column(1), BATCH_BYTES):
                 b = batch.slice(at, to - at)
