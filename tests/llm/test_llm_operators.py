@@ -509,6 +509,25 @@ def test_tokens_that_cross_pieces(monkeypatch):
     assert [x.tolist() for x in token_files.encode_batch(name, texts)] == want
 
 
+def test_pieces_with_tails(monkeypatch):
+    """A known piece with another tail doesn't go to the library; all ids are the library's."""
+    from tokenizers import Tokenizer
+
+    name = P.path("byte_bpe_50k.json")
+    tokenizer, lengths, _ = token_files._encoder(name)
+    kept, sent = {}, []
+    encode_new = token_files._encode_new
+    monkeypatch.setattr(token_files, "_encoder", lambda path: (tokenizer, lengths, kept))
+    monkeypatch.setattr(token_files, "_encode_new", lambda t, n, new, known: sent.append(list(new)) or encode_new(t, n, new, known))
+    texts = ["a castle flower\nhouse", "a castle. flower,$$$ castle\nhouse.*** grün! грач: don't. it's,%% x<|endoftext|>. <|endoftext|>, 7. ... \u5b57. \u0e01\u0e34. a\u0301. <.>. castle....!!!!\nhouse;"]
+    library = Tokenizer.from_file(name)
+    for text in texts:
+        assert token_files.encode_batch(name, [text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sorted(sent[0]) == ["\nhouse", "castle", "flower"]
+    later = [p for new in sent[1:] for p in new]
+    assert not [p for p in later if "castle" in p or "flower" in p or "house" in p] and "grün" in later and "\u5b57." in later
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
