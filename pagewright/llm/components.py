@@ -28,7 +28,7 @@ def connected(edges: DataFrame) -> DataFrame:
         """``rows`` with what ``key`` is mapped to by ``to`` (node, m), or itself, as ``name``."""
         uses = rows.groupBy(F.col(key).alias("node")).agg(F.count("*").alias("uses"))
         found = uses.join(to.hint("merge"), "node", "left").select(F.col("node").alias(key), F.coalesce("m", "node").alias(name), "uses")
-        return join_unique(rows, found, [key], "uses", total)
+        return join_unique(rows, found, [key], "uses", total, uses)
 
     edges, at = kept(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     labels, labels_at = kept(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")), "labels")

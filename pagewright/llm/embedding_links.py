@@ -269,9 +269,10 @@ def vector_links(vectors: DataFrame, least: float = LEAST_COSINE, chunk_rows: in
     groups = groups.select("digest", "loc", "vec_id", "copies").join(counts.hint("merge"), "loc", "left").join(labels.withColumnRenamed("node", "loc").hint("merge"), "loc", "left")
     groups = written(groups.select("digest", "vec_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "loc").alias("label")), "vector-labelled")
     least_id = groups.groupBy("label").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("n"))
+    labelled = groups
     groups = join_unique(groups, least_id, ["label"], "n", n_groups)
     groups = groups.select("digest", "copies", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component_id")
-    linked = join_unique(some.select("vec_id", "loc", "digest"), groups, ["digest"], "copies", rows.count())
+    linked = join_unique(some.select("vec_id", "loc", "digest"), groups, ["digest"], "copies", rows.count(), labelled)
     alone = rows.where("vector IS NULL").select("vec_id", "loc", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     every = linked.select("vec_id", "loc", "n_links", "component_id").unionByName(alone)
     kept = F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")

@@ -46,6 +46,7 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), text.alias("text"))
     rows = written(rows.select("doc_id", "part", mask.alias("mask"), F.sha2("text", 256).alias("digest")), "audit-flags")
     total = rows.count()
+    rows_of_id = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     rows = join_unique(rows, texts, ["digest"], "n", total)
     repeated = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
@@ -54,7 +55,7 @@ def flagged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     said = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id"))
     said = said.agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic")).withColumn("no_id", F.lit(False))
     ids = ids.join(said.hint("merge"), ["no_id", "id"], "left").select("no_id", "id", "n", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
-    return join_unique(rows, ids, ["no_id", "id"], "n", total).select("part", "mask", "good", "toxic")
+    return join_unique(rows, ids, ["no_id", "id"], "n", total, rows_of_id).select("part", "mask", "good", "toxic")
 
 
 def all_orders(docs: DataFrame, letters: str = LETTERS) -> DataFrame:

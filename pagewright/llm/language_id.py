@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shingles import pieces
-from .workers import resident
+from .workers import resident, returned
 
 UNDETERMINED = "und"
 MARK = "▁"
@@ -248,15 +248,15 @@ def fit(docs: DataFrame, path: str, sample_documents: int = SAMPLE_DOCUMENTS, sa
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
     # A limit by group is applied before rows are sent; ties go by the word itself.
     by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= sample_words).select("lang", "word", "n").collect()
+    top = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= sample_words).select("lang", "word", "n").toArrow()
+    top = top.sort_by([("lang", "ascending"), ("word", "ascending")])
     number: dict[str, int] = {}
-    for r in sorted(top, key=lambda r: (r["lang"], r["word"])):
-        number.setdefault(r["word"], len(number))
-    place = {lang: k for k, lang in enumerate(languages)}
+    row = [number.setdefault(w, len(number)) for w in top["word"].to_pylist()]
     table = np.zeros((len(number), len(languages)))
-    for r in top:
-        table[number[r["word"]], place[r["lang"]]] = r["n"]
-    return languages, learn(path, list(number), table)
+    table[row, np.searchsorted(languages, top["lang"].to_numpy())] = top["n"].to_numpy()
+    p = learn(path, list(number), table)
+    returned()  # the driver goes on without what learning took
+    return languages, p
 
 
 def predict(docs: DataFrame, path: str, languages: list[str], p: np.ndarray, keep: tuple[Column, ...] = ()) -> DataFrame:

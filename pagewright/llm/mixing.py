@@ -60,6 +60,8 @@ def _buckets(rows: DataFrame, digits: int, total: int) -> DataFrame:
     rows = rows.withColumn("bucket", F.substring("key", 1, digits))
     for upto in (DIGITS[0] + digits, sum(DIGITS[:2]) + digits):
         hot = rows.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") > most).select("bucket", F.lit(True).alias("hot"))
+        if hot.isEmpty():  # nor does cutting on
+            return rows
         rows = rows.join(F.broadcast(hot), "bucket", "left").withColumn("bucket", F.when(F.col("hot"), F.substring("key", 1, upto)).otherwise(F.col("bucket"))).drop("hot")
     return rows
 

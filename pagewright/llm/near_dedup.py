@@ -234,7 +234,7 @@ def block_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 def _members(rows: DataFrame, total: int) -> DataFrame:
     """band, id, score of the bands that hold more than one row. The score is the number of
     others that a document meets in its bands: the text that copies were made from meets most."""
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = written(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
     met = written(join_unique(rows, sizes.withColumn("others", F.col("n") - 1), ["band"], "n", total), "near-met")
     return met.select("band", "id").join(met.groupBy("id").agg(F.sum("others").alias("score")), "id")
 
@@ -242,7 +242,7 @@ def _members(rows: DataFrame, total: int) -> DataFrame:
 def _led(shared: DataFrame, total: int) -> DataFrame:
     """``shared`` with the leader of each band, the document of highest score, and its label."""
     first = F.min(F.struct((-F.col("score")).alias("s"), F.col("id").alias("leader"), F.col("label").alias("leader_label")))
-    lead = shared.groupBy("band").agg(first.alias("x"), F.count("*").alias("n")).select("band", "n", "x.leader", "x.leader_label")
+    lead = written(shared.groupBy("band").agg(first.alias("x"), F.count("*").alias("n")).select("band", "n", "x.leader", "x.leader_label"), "near-lead")
     return join_unique(shared, lead, ["band"], "n", total)
 
 
@@ -295,8 +295,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     n_class = of.groupBy("class_id").agg(F.count("*").alias("class_size"), F.count("*").alias("n"))
     sized = join_unique(of, n_class, ["class_id"], "n", total)
     # Rows of one doc_id may be very many, and so may those without one.
-    uses = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("uses")).join(sized.hint("merge"), "doc_id", "left")
-    rows = join_unique(signed.select("doc_id").where(F.col("doc_id").isNotNull()), uses, ["doc_id"], "uses", signed.count())
+    uses = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("uses"))
+    sized = uses.join(sized.hint("merge"), "doc_id", "left")
+    rows = join_unique(signed.select("doc_id").where(F.col("doc_id").isNotNull()), sized, ["doc_id"], "uses", signed.count(), uses)
     without = signed.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"))
     return rows.union(without).select(
         "doc_id",

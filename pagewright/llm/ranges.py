@@ -66,15 +66,22 @@ def text_tasks(rows: DataFrame, bytes_per_task: int = 32 << 20) -> tuple[int, in
     return min(MOST_TASKS, max(1, math.ceil((size or 0) / bytes_per_task))), total
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int, counts: DataFrame | None = None) -> DataFrame:
     """Inner join with ``right``, whose ``keys`` are unique and whose ``count`` column says
     how many of the ``total`` left rows have them.
 
     Hot keys are fewer than HOT_SHARE, so they are broadcast; the others are shuffled, and
-    none of them has more than 1/HOT_SHARE of the rows; they are merged at every size, so the
-    plan on little data is the plan on much. ``count`` is dropped.
+    none of them has more than 1/HOT_SHARE of the rows; they are merged at every size. Where
+    all keys are of one kind there is one join, and nothing is planned or broadcast for the
+    other kind: which that is says a first look at ``count`` in ``counts`` (``right``, if that
+    is cheap to read, or what it was made from). ``count`` is dropped.
     """
     most = max(1, total // HOT_SHARE)
+    least, greatest = (right if counts is None else counts).agg(F.min(count), F.max(count)).first()
+    if greatest is None or greatest <= most:
+        return left.join(right.drop(count).hint("merge"), keys)
+    if least > most:
+        return left.join(F.broadcast(right.drop(count)), keys)
     hot = right.where(F.col(count) > most).drop(count)
     cold = right.where(F.col(count) <= most).drop(count)
     return left.join(F.broadcast(hot), keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.hint("merge"), keys))

@@ -172,6 +172,24 @@ def test_signatures_estimate_weighted_similarity():
         assert near_dedup.overlap(texts.slice(i, 1), texts.slice(j, 1))[0] == pytest.approx(want)
 
 
+def test_join_of_one_kind_of_keys(spark):
+    """Where no key is hot nothing is broadcast, where all are nothing is merged; rows are the same."""
+
+    def joined(sizes):
+        rows = [(k, i) for k, n in enumerate(sizes) for i in range(n)]
+        left = spark.createDataFrame(rows, "k long, i long")
+        right = spark.createDataFrame([(k, n, str(k)) for k, n in enumerate(sizes)], "k long, n long, s string")
+        df = ranges.join_unique(left, right, ["k"], "n", len(rows))
+        assert df.columns == ["k", "i", "s"] and sorted(map(tuple, df.collect())) == [(k, i, str(k)) for k, i in rows]
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("strategy=broadcast"), plan.count("strategy=merge")
+
+    assert joined([1] * 50) == (0, 1)
+    assert joined([3] * 50) == (1, 0)
+    assert joined([1] * 50 + [3]) == (2, 1)
+    assert joined([]) == (0, 1)
+
+
 def test_connected(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 440)] + [(600, k) for k in range(601, 660)]
