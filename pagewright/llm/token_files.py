@@ -26,9 +26,9 @@ from .workers import resident, returned
 
 END = 2
 #: Pieces of text that a worker keeps by last use: when there are so many of late, those before go.
-GENERATION = 350_000
+GENERATION = 600_000
 #: Text that is encoded at a time: the more there is, the fewer of its pieces differ.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 #: New pieces that go to the library at a time.
 NEW_PIECES = 20_000
 #: Between a letter and these is a border of pretokens: a new piece that ends in them is its stem,
@@ -39,9 +39,34 @@ ROW_GROUP_BYTES, PAGE_ROWS = 16 << 20, 256
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
+class Known:
+    """Pieces of text and their packed ids, as Arrow has strings: looked up many at a time, without
+    an object of Python's for each."""
+
+    def __init__(self):
+        self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.late = np.zeros(0, dtype=bool)  # those used of late
+
+    def find(self, pieces: pa.LargeStringArray) -> np.ndarray:
+        """Where each piece is, -1 if it isn't known."""
+        at = np.asarray(pc.index_in(pieces, value_set=self.pieces).fill_null(-1))
+        self.late[at[at >= 0]] = True
+        return at
+
+    def add(self, pieces: pa.LargeStringArray, ids: pa.LargeBinaryArray) -> None:
+        self.pieces, self.ids = pa.concat_arrays([self.pieces, pieces]), pa.concat_arrays([self.ids, ids])
+        self.late = np.concatenate((self.late, np.ones(len(pieces), dtype=bool)))
+
+    def forget(self) -> None:
+        """Let go of all that weren't used since the last time."""
+        late = pa.array(self.late)
+        self.pieces, self.ids = self.pieces.filter(late), self.ids.filter(late)
+        self.late = np.zeros(len(self.pieces), dtype=bool)
+
+
 def _encoder(path: str):
-    """The library's tokenizer, how many bytes each id stands for, and the ids, packed, of pieces
-    of text (``late``: those used of late, ``before``: those before); one per Python worker."""
+    """The library's tokenizer, how many bytes each id stands for, and what is kept of pieces of
+    text (``pieces``) and their tails (``tails``); one per Python worker."""
 
     def make() -> tuple:
         from tokenizers import Tokenizer
@@ -64,56 +89,68 @@ def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
     other texts go to it whole, and so do all if a token should cross a piece's end.
     """
     tokenizer, lengths, kept = _encoder(path)
-    known, before = kept.setdefault("late", {}), kept.setdefault("before", {})
-    if len(known) > GENERATION:
-        kept["late"], kept["before"] = known, before = {}, known
-        returned()  # the pieces let go lie between those that stay
+    known, tails = kept.setdefault("pieces", Known()), kept.setdefault("tails", {})
+    if known.late.sum() > GENERATION:
+        known.forget()
+        returned()
     cut = [cuttable(t) for t in texts]
-    parts = pc.split_pattern(pc.replace_substring(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string()), "\n", " \n"), " ")
-    starts = np.asarray(parts.offsets, dtype=np.int64)
-    behind = np.ones(len(parts.values), dtype=bool)
-    behind[starts[:-1]] = False
-    # Pieces behind each text's first, as places in the list of those that differ.
-    coded = parts.values.filter(pa.array(behind)).dictionary_encode()
+    starts, data = _strings(pa.array([t for t, c in zip(texts, cut) if c], pa.large_string()))
+    # A piece begins with the blank before it; a text's first has none, and is no string here.
+    begins = (data == 32) | (data == 10)
+    begins[starts[:-1]] = True
+    begins = np.flatnonzero(begins)
+    firsts = np.searchsorted(begins, starts)
+    behind = np.ones(len(begins), dtype=bool)
+    behind[firsts[:-1]] = False
+    pieces = _array(pa.large_string(), np.append(begins, len(data)), data, behind)
+    # Pieces as places in the list of those that differ; of these, the stems.
+    coded = pieces.dictionary_encode()
+    stems, tail = _stems(coded.dictionary)
+    stems = stems.dictionary_encode()
+    at = known.find(stems.dictionary)
+    missing = at < 0
+    at = np.where(missing, len(known.pieces) + np.cumsum(missing) - 1, at)  # new ones are added in this order
     # By way of numpy a list of strings takes an eighth of the time that to_pylist takes.
-    place, needed = np.asarray(coded.indices), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    new, tailed = [], []
-    for p in needed:
-        if p not in known:
-            if p in before:
-                known[p] = before[p]
-            elif p[-1:] in TAIL and (last := (stem := p.rstrip(TAIL))[-1:]) < LETTERS_END and last.isalpha():
-                tailed.append((p, stem))
-            else:
-                new.append(p)
-    if tailed:
-        fresh = set(new)
-        for _, stem in tailed:
-            if stem not in known and stem not in fresh:
-                if stem in before:
-                    known[stem] = before[stem]
-                else:
-                    fresh.add(stem)
-                    new.append(stem)
+    new = pc.utf8_ltrim(stems.dictionary.filter(pa.array(missing)), " ").to_numpy(zero_copy_only=False).tolist()
     for i in range(0, len(new), NEW_PIECES):
         if not _encode_new(tokenizer, lengths, new[i : i + NEW_PIECES], known):
             return _whole(tokenizer, texts)
-    tails = kept.setdefault("tails", {})
-    for p, stem in tailed:
-        known[p] = known[stem] + _tail(tokenizer, tails, p[len(stem) :])
-    packed = [known[p] for p in needed]
-    every = np.frombuffer(b"".join(packed), dtype="<u4")
-    sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-    size, first = sizes[place], (np.cumsum(sizes) - sizes)[place]
-    upto = np.concatenate(([0], np.cumsum(size)))
-    ids = every[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])]
-    ends = upto[starts[1:] - np.arange(1, len(starts))]
-    first_ids = _whole(tokenizer, parts.values.take(pa.array(starts[:-1])).to_pylist())
-    cut_ids = (np.concatenate((x, y)) for x, y in zip(first_ids, np.split(ids, ends[:-1])))
+    tail = tail.dictionary_encode()
+    tail_ids = pa.array([_tail(tokenizer, tails, t) for t in tail.dictionary.to_pylist()], pa.large_binary()).take(tail.indices)
+    packed = pc.binary_join_element_wise(known.ids.take(pa.array(at)).take(stems.indices), tail_ids, pa.scalar(b"", pa.large_binary()))
+    upto, ids = _strings(packed.take(coded.indices))
+    first_text = [data[i:j].tobytes().decode() for i, j in zip(starts[:-1], np.append(begins, len(data))[firsts[:-1] + 1])]
+    first_ids = _whole(tokenizer, first_text)
+    cut_ids = (np.concatenate(x) for x in zip(first_ids, np.split(ids.view("<u4"), upto[firsts[1:-1]] // 4)))
     whole_ids = iter(_whole(tokenizer, [t for t, c in zip(texts, cut) if not c]))
     return [next(cut_ids) if c else next(whole_ids) for c in cut]
 
 
+def _strings(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string starts, and the last ends, among the bytes; the bytes."""
+    _, offsets, data = strings.buffers()
+    upto = np.frombuffer(offsets, dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1] if offsets else np.zeros(1, dtype=np.int64)
+    return upto - upto[0], np.frombuffer(data or b"", dtype=np.uint8)[upto[0] : upto[-1]]
+
+
+def _array(kind: pa.DataType, upto: np.ndarray, data: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """The other way round; without copies."""
+    bits = None if valid is None else pa.py_buffer(np.packbits(valid, bitorder="little"))
+    return pa.Array.from_buffers(kind, len(upto) - 1, [bits, pa.py_buffer(np.ascontiguousarray(upto, dtype=np.int64)), pa.py_buffer(data)])
+
+
+def _stems(pieces: pa.LargeStringArray) -> tuple[pa.LargeStringArray, pa.LargeStringArray]:
+    """Each piece without its tail, and its tail; where that wouldn't be a border, all of it and ""."""
+    stems = pc.utf8_rtrim(pieces, TAIL)
+    last = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+    letter = np.array([c < LETTERS_END and c.isalpha() for c in last.dictionary.to_pylist()], dtype=bool)[np.asarray(last.indices)]
+    stems = pc.if_else(pa.array(letter), stems, pieces)
+    upto, data = _strings(pieces)
+    size = np.diff(upto) - np.diff(_strings(stems)[0])
+    ends = np.concatenate(([0], np.cumsum(size)))
+    return stems, _array(pa.large_string(), ends, data[np.repeat(upto[1:] - ends[1:], size) + np.arange(ends[-1])])
+
+
 def _tail(tokenizer, tails: dict[str, bytes], tail: str) -> bytes:
     """The packed ids of a piece's tail; short ones are kept, of which there are few."""
     found = tails.get(tail)
@@ -128,17 +165,16 @@ def _whole(tokenizer, texts: list[str]) -> list[np.ndarray]:
     return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
-def _encode_new(tokenizer, lengths: np.ndarray, new: list[str], known: dict[str, bytes]) -> bool:
+def _encode_new(tokenizer, lengths: np.ndarray, new: list[str], known: Known) -> bool:
     """Add the packed ids of new pieces; False if a token crosses a piece's end."""
-    spelled = [p if p[:1] == "\n" else " " + p for p in new]
-    ids = np.array(tokenizer.encode_batch_fast(["".join(spelled)], add_special_tokens=False)[0].ids, dtype="<u4")
+    pieces = pa.array([p if p[0] == "\n" else " " + p for p in new], pa.large_string())
+    upto, data = _strings(pieces)
+    ids = np.array(tokenizer.encode_batch_fast([data.tobytes().decode()], add_special_tokens=False)[0].ids, dtype="<u4")
     ends = np.cumsum(lengths[ids])
-    borders = np.cumsum([len(p.encode()) for p in spelled], dtype=np.int64)
-    at = np.searchsorted(ends, borders) + 1
-    if at[-1] != len(ids) or (ends[at - 1] != borders).any():
+    at = np.searchsorted(ends, upto[1:]) + 1
+    if at[-1] != len(ids) or (ends[at - 1] != upto[1:]).any():
         return False
-    packed, at = ids.tobytes(), [0, *(4 * at).tolist()]
-    known.update(zip(new, (packed[i:j] for i, j in zip(at, at[1:]))))
+    known.add(pieces, _array(pa.large_binary(), np.append(0, 4 * at), ids))
     return True
 
 

@@ -546,6 +546,35 @@ def test_pieces_with_tails(monkeypatch):
     assert not [p for p in later if "castle" in p or "flower" in p or "house" in p] and "grün" in later and "\u5b57." in later
 
 
+def test_kept_pieces(monkeypatch):
+    """No piece that is kept is an object of Python's; those not used of late go; all ids are the library's."""
+    import gc
+    import sys
+
+    from tokenizers import Tokenizer
+
+    name = P.path("byte_bpe_50k.json")
+    tokenizer, lengths, _ = token_files._encoder(name)
+    kept = {}
+    monkeypatch.setattr(token_files, "_encoder", lambda path: (tokenizer, lengths, kept))
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("etaoinéßд", k=9)) for _ in range(20_000)]
+    one, other = ([" ".join(words[i : i + 500]) for i in range(at, at + 10_000, 500)] for at in (0, 10_000))
+    library = Tokenizer.from_file(name)
+    want = lambda texts: [library.encode(t, add_special_tokens=False).ids for t in texts]
+    same = lambda texts: [x.tolist() for x in token_files.encode_batch(name, texts)] == want(texts)
+    assert same(one[:1]) and same([]) and same(["", " ", "a\n"])
+    gc.collect()
+    before = sys.getallocatedblocks()
+    assert same(one) and same(one[::-1])
+    gc.collect()
+    assert sys.getallocatedblocks() - before < 5_000
+    monkeypatch.setattr(token_files, "GENERATION", 100)
+    assert same(other) and len(kept["pieces"].pieces) == len({p for t in one + other for p in t.split()[1:]})
+    assert same(other) and len(kept["pieces"].pieces) == len({p for t in other for p in t.split()[1:]})
+    assert same(one)
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
