@@ -48,9 +48,13 @@ class Known:
         self.late = np.zeros(0, dtype=bool)  # those used of late
 
     def find(self, pieces: pa.LargeStringArray) -> np.ndarray:
-        """Where each piece is, -1 if it isn't known."""
-        at = np.asarray(pc.index_in(pieces, value_set=self.pieces).fill_null(-1))
-        self.late[at[at >= 0]] = True
+        """Where each of the pieces, which differ, is, -1 if it isn't known."""
+        # What is known is looked up among the pieces, as the table of these is much smaller.
+        found = np.asarray(pc.index_in(self.pieces, value_set=pieces).fill_null(-1))
+        known = np.flatnonzero(found >= 0)
+        self.late[known] = True
+        at = np.full(len(pieces), -1)
+        at[found[known]] = known
         return at
 
     def add(self, pieces: pa.LargeStringArray, ids: pa.LargeBinaryArray) -> None:
@@ -109,7 +113,7 @@ def encode_batch(path: str, texts: list[str]) -> list[np.ndarray]:
     stems = stems.dictionary_encode()
     at = known.find(stems.dictionary)
     missing = at < 0
-    at = np.where(missing, len(known.pieces) + np.cumsum(missing) - 1, at)  # new ones are added in this order
+    at[missing] = len(known.pieces) + np.arange(missing.sum())  # new ones are added in this order
     # By way of numpy a list of strings takes an eighth of the time that to_pylist takes.
     new = pc.utf8_ltrim(stems.dictionary.filter(pa.array(missing)), " ").to_numpy(zero_copy_only=False).tolist()
     for i in range(0, len(new), NEW_PIECES):
