@@ -236,9 +236,10 @@ class Pieces(dict):
 def cuttable(text: str) -> bool:
     """Whether every blank of the text is also a border of pretokens: blanks are single spaces and
     line feeds inside the text."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+    flat = text.replace("\n", " ")
+    if not flat or flat[0] == " " or flat[-1] == " " or "  " in flat:
         return False
-    return text.replace("\n", " ").isprintable()  # no other white space, no controls
+    return flat.isprintable()  # no other white space, no controls
 
 
 def split(text: str) -> list[str] | None:
