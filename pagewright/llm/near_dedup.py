@@ -246,12 +246,12 @@ def _led(shared: DataFrame, total: int) -> DataFrame:
     return join_unique(shared, lead, ["band"], "n", total)
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), class_size and kept of every row of ``docs``.
+def _classes(docs: DataFrame, similarity: float, bands: int, band_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """The signed rows of ``docs``; doc_id and class_id, written, of each doc_id that isn't null
+    and has a text with words; how many rows those are.
 
-    Texts without words are in a class of their own, null doc_ids in a class of id null and
-    size 1; such rows are kept. Rows that share a doc_id are one document: a link of any of
-    its texts counts. Texts of equal bags are joined by digest before anything else, so
+    Rows that share a doc_id are one document: a link of any of its texts counts. Texts of
+    equal bags are joined by digest before anything else, so
     groups of copies cost one row each. Joins with texts are merges at every size. Links are sought in bands: each band's documents are
     tested against its leader, the one with most others in its bands. Documents of a band that
     are in different classes after that are tested against each other, pair by pair in bands
@@ -291,13 +291,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
         label = connected(written(links.union(more), "near-links"))
     # Labels are least ids of components of representatives; a class also has their copies.
     of = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
-    of = written(of.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "near-classes")
+    return signed, written(of.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "near-classes"), total
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class), class_size and kept of every row of ``docs``.
+
+    Texts without words are in a class of their own, null doc_ids in a class of id null and
+    size 1; such rows are kept. Rows that share a doc_id are one document; see `_classes`.
+    """
+    signed, of, total = _classes(docs, similarity, bands, band_rows)
     n_class = of.groupBy("class_id").agg(F.count("*").alias("class_size"), F.count("*").alias("n"))
     sized = join_unique(of, n_class, ["class_id"], "n", total)
     # Rows of one doc_id may be very many, and so may those without one.
     uses = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("uses"))
-    sized = uses.join(sized.hint("merge"), "doc_id", "left")
-    rows = join_unique(signed.select("doc_id").where(F.col("doc_id").isNotNull()), sized, ["doc_id"], "uses", signed.count(), uses)
+    sized = written(uses.join(sized.hint("merge"), "doc_id", "left"), "near-sized")
+    rows = join_unique(signed.select("doc_id").where(F.col("doc_id").isNotNull()), sized, ["doc_id"], "uses", signed.count())
     without = signed.where(F.col("doc_id").isNull()).select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("class_size"))
     return rows.union(without).select(
         "doc_id",
@@ -310,10 +319,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: of each class of rows the one of least
     doc_id (null last). Every row is a document here, whatever rows share its doc_id: where
-    that doesn't tell rows apart, a number does; see `near_classes`."""
+    that doesn't tell rows apart, a number does, so the sizes of `near_classes` aren't needed."""
     rows, locator = identified(docs, "near-located")
-    classes = near_classes(rows.select(F.col(locator).alias("doc_id"), "text"), similarity).select(F.col("doc_id").alias(locator), "class_id")
+    classes = _classes(rows.select(F.col(locator).alias("doc_id"), "text"), similarity, BANDS, BAND_ROWS)[1].withColumnRenamed("doc_id", locator)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col(locator).cast("long").alias("locator"))
     kind = rows.schema[locator].dataType
-    first = rows.select(F.col(locator).cast("long").alias(locator), rank.alias("rank")).join(classes.hint("merge"), locator).groupBy("class_id").agg(F.min("rank").alias("rank"))
+    first = rows.select(F.col(locator).cast("long").alias(locator), rank.alias("rank")).join(classes.hint("merge"), locator, "left").groupBy(F.coalesce("class_id", locator)).agg(F.min("rank").alias("rank"))
     return rows.join(first.select(F.col("rank.locator").cast(kind).alias(locator)).hint("merge"), locator, "left_semi").select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
-from pagewright.llm import bpe, bpe_documents, chat_format, exact_dedup, fingerprints, language_id, mixing, near_dedup, ranges, secret_scan, shingles, token_counts, token_files  # noqa: E402
+from pagewright.llm import bpe, bpe_documents, chat_format, components, exact_dedup, fingerprints, language_id, mixing, near_dedup, ranges, secret_scan, shingles, storage, token_counts, token_files  # noqa: E402
 from pagewright.llm.components import connected  # noqa: E402
 from pagewright.llm.storage import shared_path  # noqa: E402
 
@@ -201,6 +201,24 @@ def test_connected(spark):
     assert got == {x: of[x] for e in edges if e[0] != e[1] for x in e}
 
 
+def test_plans_of_few_joins(spark, docs, monkeypatch):
+    """No step of a round, nor the end of the near stage, is planned again inside another: a join
+    apart for hot keys is three. The driver keeps all of a plan's stages and metrics in memory."""
+    joins = lambda df: len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString()))
+    found = []
+
+    def written(df, name, path=None):
+        found.append((name, joins(df)))
+        return storage.written(df, name, path)
+
+    monkeypatch.setattr(components, "written", written)
+    edges = [(1, k) for k in range(2, 40)] + [(k, k + 1) for k in range(100, 110)] + [(39, 100)]
+    got = connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {tuple(r) for r in got} == {(x, 1) for e in edges for x in e}
+    assert max(n for _, n in found) == 3
+    assert joins(near_dedup.drop_near_duplicates(docs)) == 2
+
+
 # 2: language
 
 
